@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from .dedup import exact_dedup
 from .mixing import mix_sources
+from .packing import pack_best_fit
+from .scratch import scratch_root
 from .sharding import stratified_shards
+from .wavelet import token_shards
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +30,22 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_stratified_shards, op4_mix_sources)}
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_best_fit(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096)
+
+
+def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch_root(spark)}/storyatlas/shards-{uuid.uuid4().hex}"
+    return token_shards(_table(spark, sf_dir, "documents"), path, _vocabulary("byte_bpe_50k.json"), end_id=0)
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_stratified_shards, op4_mix_sources, op5_pack_best_fit, op10_token_shards)}
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
