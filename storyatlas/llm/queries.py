@@ -7,10 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from .dedup import exact_dedup
+from .licenses import scan_licenses
 from .mixing import mix_sources
 from .packing import pack_best_fit
+from .quality import score_quality
 from .scratch import scratch_root
 from .sharding import stratified_shards
+from .toxicity import score_toxicity
 from .wavelet import token_shards
 
 
@@ -40,12 +43,24 @@ def op5_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_best_fit(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
+def op6_score_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op8_score_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch_root(spark)}/storyatlas/shards-{uuid.uuid4().hex}"
     return token_shards(_table(spark, sf_dir, "documents"), path, _vocabulary("byte_bpe_50k.json"), end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_stratified_shards, op4_mix_sources, op5_pack_best_fit, op10_token_shards)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_stratified_shards, op4_mix_sources, op5_pack_best_fit, op6_score_quality, op7_scan_licenses, op8_score_toxicity, op10_token_shards)}
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
