@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from .dedup import exact_dedup
+from .jaccard import jaccard_components
 from .licenses import scan_licenses
 from .mixing import mix_sources
 from .packing import pack_best_fit
@@ -55,12 +56,16 @@ def op8_score_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch_root(spark)}/storyatlas/shards-{uuid.uuid4().hex}"
     return token_shards(_table(spark, sf_dir, "documents"), path, _vocabulary("byte_bpe_50k.json"), end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_stratified_shards, op4_mix_sources, op5_pack_best_fit, op6_score_quality, op7_scan_licenses, op8_score_toxicity, op10_token_shards)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_stratified_shards, op4_mix_sources, op5_pack_best_fit, op6_score_quality, op7_scan_licenses, op8_score_toxicity, op9_jaccard_components, op10_token_shards)}
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
