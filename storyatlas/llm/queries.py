@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .ann import nearest
 from .dedup import exact_dedup
 from .jaccard import jaccard_components
 from .licenses import scan_licenses
@@ -26,6 +28,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op3_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stratified_shards(_table(spark, sf_dir, "documents"), shards=40)
 
@@ -65,7 +71,7 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(_table(spark, sf_dir, "documents"), path, _vocabulary("byte_bpe_50k.json"), end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_stratified_shards, op4_mix_sources, op5_pack_best_fit, op6_score_quality, op7_scan_licenses, op8_score_toxicity, op9_jaccard_components, op10_token_shards)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_nearest_neighbours, op3_stratified_shards, op4_mix_sources, op5_pack_best_fit, op6_score_quality, op7_scan_licenses, op8_score_toxicity, op9_jaccard_components, op10_token_shards)}
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
