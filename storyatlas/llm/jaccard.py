@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import store
+from .scratch import stable, store, unused, without
 from .tokens import chunks
 
 #: Sets that a block has, about.
@@ -153,15 +153,6 @@ def signatures(values: np.ndarray, bounds: np.ndarray, top: int = 80, bottom: in
     return np.concatenate(out_sig), np.concatenate(out_row)
 
 
-def _stable(docs: DataFrame) -> DataFrame:
-    """``docs``, stored first unless it is a scan of files, whose rows come in the same order each time."""
-    import re
-
-    plan = docs._jdf.queryExecution().optimizedPlan().toString()
-    plain = all(re.match(r"[\s:+-]*(Project|Filter|Relation)", line) for line in plan.splitlines() if line.strip())
-    return docs if plain else store(docs, "docs")
-
-
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (sig, rid) whose signature occurs more than once in the partition.
 
@@ -277,7 +268,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     connects what all of them connect: sets link when the intersection is
     at least top / bottom of the union.
     """
-    docs = _stable(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    docs = stable(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     rows = docs.withColumn("rid", F.monotonically_increasing_id())
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,17 +335,31 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return base, store(dealt.mapInArrow(_links(top, bottom), "a long, b long"), "links")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, top: int = 80, bottom: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id, cid for each row of ``docs``.
-
-    ``component_id`` is the smallest doc_id that the row reaches by links, its own
-    included.  NULL texts and texts without words have no shingles and no links.
-    Rows with the same shingles are linked, repeated rows too.  NULL ids take part
-    and are never the smallest unless alone.  An empty table gives an empty result.
-    """
-    base, links = jaccard_links(docs, id_col, text_col, width, top, bottom)
+def _components(docs: DataFrame, **options) -> DataFrame:
+    """rid, doc_id, n_shingles, component_id, kept; ``rid`` is the row's number in a stable ``docs``."""
+    base, links = jaccard_links(docs, **options)
     roots = components(links)
     named = base.join(roots, F.col("cid") == F.col("node"), "left").select("rid", "doc_id", "n_shingles", F.coalesce("root", "cid").alias("_root"))
     named = store(named, "named")
     least = store(named.groupBy("_root").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("_keep")), "least")
-    return named.join(least, "_root").select("doc_id", "n_shingles", "component_id", (F.col("rid") == F.col("_keep.rid")).alias("kept"))
+    return named.join(least, "_root").select("rid", "doc_id", "n_shingles", "component_id", (F.col("rid") == F.col("_keep.rid")).alias("kept"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, top: int = 80, bottom: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of ``docs``.
+
+    ``component_id`` is the smallest doc_id that the row reaches by links, its own
+    included; the row with that id is ``kept``.  NULL texts and texts without words have
+    no shingles and no links, and are kept.  Rows with the same shingles are linked,
+    repeated rows too, of which one is kept.  A NULL id takes part, and is a component's
+    id only if no other is there.  An empty table gives an empty result.
+    """
+    return _components(docs, id_col=id_col, text_col=text_col, width=width, top=top, bottom=bottom).drop("rid")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, top: int = 80, bottom: int = 100) -> DataFrame:
+    """The rows of ``docs``, whole, of which ``jaccard_components`` keeps one in each component."""
+    docs = stable(docs)
+    found = _components(docs, id_col=id_col, text_col=text_col, width=width, top=top, bottom=bottom)
+    row = unused(docs, "_row")
+    return without(docs.withColumn(row, F.monotonically_increasing_id()), row, found.where("NOT kept").select(F.col("rid").alias(row)))

@@ -101,81 +101,104 @@ def min_cost_flow(supply: list[int], members: list[list[int]], quota: list[int],
     return out
 
 
-def _partial(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows (_pattern, _h, size, ...) with ``_extra``: whether the seeded order reaches them before ``_rest`` tokens.
+#: Whether seeded order reaches a row, and how often it is taken in all.
+_UPTO = "_h < _below OR coalesce(struct(_h, doc_id, _tie) <= _last, false)"
+_COPIES = f"_copies + CASE WHEN _below IS NULL THEN 0 WHEN {_UPTO} OR struct(_h, doc_id, _tie) <=> _also THEN 1 ELSE 0 END"
 
-    The order is cut at the same place in three steps: by the first 12 bits of
-    the hash, by the next 12, and by rank within that one cell.  Only sums per
-    cell cross the network, so a pattern of any size needs no single task.
-    """
-    cell1, cell2 = F.shiftrightunsigned("_h", 52), F.shiftrightunsigned("_h", 40).bitwiseAND(F.lit(4095))
-    rows = rows.withColumns({"_c1": cell1, "_c2": cell2})
-
-    def cut(cells: DataFrame, by: str) -> DataFrame:
-        """The cell of each pattern in which the sum passes ``_rest``, and what is left for it."""
-        run = Window.partitionBy("_pattern").orderBy(by)
-        sums = cells.groupBy("_pattern", "_rest", by).agg(F.sum("size").alias("_sum")).withColumn("_upto", F.sum("_sum").over(run))
-        hit = sums.where("_upto > _rest").groupBy("_pattern").agg(F.min(F.struct(by, (F.col("_rest") - F.col("_upto") + F.col("_sum")).alias("_left"))).alias("_x"))
-        return hit.select("_pattern", F.col(f"_x.{by}").alias(f"_at{by}"), F.col("_x._left").alias(f"_left{by}"))
-
-    first = cut(rows, "_c1")
-    rows = rows.join(F.broadcast(first), "_pattern", "left")
-    inside = rows.where("_c1 = _at_c1")
-    second = cut(inside.select("_pattern", F.col("_left_c1").alias("_rest"), "_c2", "size"), "_c2")
-    rows = rows.join(F.broadcast(second), "_pattern", "left")
-    tail = (F.col("_c1") == F.col("_at_c1")) & (F.col("_c2") == F.col("_at_c2"))
-    before = F.sum("size").over(Window.partitionBy("_pattern", "_c1", "_c2").orderBy("_h", "doc_id", "_tie").rowsBetween(Window.unboundedPreceding, 0))
-    last = rows.where(tail).withColumn("_extra", before <= F.col("_left_c2"))
-    early = F.coalesce(F.col("_c1") < F.col("_at_c1"), F.lit(True)) | F.coalesce((F.col("_c1") == F.col("_at_c1")) & (F.col("_c2") < F.col("_at_c2")), F.lit(False))
-    rest = rows.where(~F.coalesce(tail, F.lit(False))).withColumn("_extra", early)
-    return rest.unionByName(last)
 
+def _cut(cells: DataFrame, by: str) -> DataFrame:
+    """_pattern, _at, _left: the cell in which the sum of sizes passes ``_rest``, and what is left for it."""
+    run = Window.partitionBy("_pattern").orderBy(by)
+    sums = cells.groupBy("_pattern", "_rest", by).agg(F.sum("size").alias("_sum")).withColumn("_upto", F.sum("_sum").over(run))
+    hit = sums.where("_upto > _rest").groupBy("_pattern").agg(F.min(F.struct(by, (F.col("_rest") - F.col("_upto") + F.col("_sum")).alias("_left"))).alias("_x"))
+    return hit.select("_pattern", F.col(f"_x.{by}").alias("_at"), F.col("_x._left").alias("_left"))
 
-def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 29, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, taken for each row, with ``_pattern`` free documents of one source each.
 
-    ``source_col`` may also be an array: a document of several sources serves
-    any of their quotas, and ``target`` and ``source_size`` are sums over them.
-    Sources in order of code points, NULL last, get ``weights`` in turn; together
-    they take ``share`` of all words, each at most ``most`` times its own size.
-    ``taken`` counts words with repeats: whole documents, up to ``most`` times.
-    A NULL text has size 0.  Rows that repeat an id are rows of their own; equal
-    rows are interchangeable.  An empty table gives an empty result.
+def _cutoffs(rows: DataFrame) -> DataFrame:
+    """_pattern, _below, _last, _also: seeded order up to there holds at most ``_rest`` tokens of the pattern.
+
+    ``_also`` is the document behind it whose size comes nearest to what is left, if it helps.
+
+    Found in three steps: by the first 12 bits of the hash, by the next 12, and
+    by rank within that one cell.  Only sums per cell cross the network, so a
+    pattern of any size needs no single task.
     """
+    rows = rows.withColumns({"_c1": F.shiftright("_h", 51), "_c2": F.shiftright("_h", 39).bitwiseAND(F.lit(4095))})
+    first = store(_cut(rows, "_c1"), "cut").withColumnRenamed("_at", "_at1")  # a row per pattern, as all below
+    inside = rows.drop("_rest").join(F.broadcast(first.withColumnRenamed("_left", "_rest")), "_pattern").where("_c1 = _at1")
+    second = store(_cut(inside, "_c2"), "cut").withColumnRenamed("_at", "_at2")
+    cell = inside.drop("_rest").join(F.broadcast(second.withColumnRenamed("_left", "_rest")), "_pattern").where("_c2 = _at2")
+    upto = F.sum("size").over(Window.partitionBy("_pattern").orderBy("_h", "doc_id", "_tie"))
+    last = cell.withColumn("_upto", upto).where("_upto <= _rest").groupBy("_pattern").agg(F.max(F.struct("_h", "doc_id", "_tie")).alias("_last"), F.max("_upto").alias("_took"))
+    below = F.shiftleft("_at1", 51) + F.shiftleft("_at2", 39)
+    ends = first.join(second.withColumnRenamed("_left", "_rest2"), "_pattern").select("_pattern", below.alias("_below"), "_rest2").join(last, "_pattern", "left")
+    ends = store(ends.select("_pattern", "_below", "_last", (F.col("_rest2") - F.coalesce("_took", F.lit(0))).alias("_open")), "ends")
+    behind = rows.drop("_rest").join(F.broadcast(ends), "_pattern").where(f"NOT ({_UPTO})").where("abs(size - _open) < _open")
+    also = behind.groupBy("_pattern").agg(F.min(F.struct(F.abs(F.col("size") - F.col("_open")).alias("d"), F.struct("_h", "doc_id", "_tie").alias("k"))).alias("_m"))
+    return store(ends.join(also.select("_pattern", F.col("_m.k").alias("_also")), "_pattern", "left").drop("_open"), "cutoffs")
+
+
+def _seeded(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> dict[str, Column]:
     plural = dict(docs.dtypes)[source_col].startswith("array")
-    pattern = F.array_sort(F.array_distinct(F.col(source_col))) if plural else F.array(F.col(source_col))
+    members = F.array(F.col(source_col).cast("string"))
     if plural:
-        pattern = F.when(F.coalesce(F.size(source_col), F.lit(0)) > 0, pattern).otherwise(F.array(F.lit(None).cast("string")))
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        word_count(text_col).alias("size"),
-        pattern.alias("_members"),
-        F.crc32(F.coalesce(F.col(text_col), F.lit(""))).alias("_tie"),
-        F.xxhash64(F.lit(seed), F.col(id_col)).alias("_h"),
-    )
-    rows = store(rows, "mix")
+        members = F.when(F.coalesce(F.size(source_col), F.lit(0)) > 0, F.array_sort(F.array_distinct(F.col(source_col).cast("array<string>")))).otherwise(F.array(F.lit(None).cast("string")))
+    return {
+        "doc_id": F.col(id_col),
+        "size": word_count(text_col),
+        "_key": F.to_json(F.struct(members.alias("k")), {"ignoreNullFields": "false"}),
+        "_members": members,
+        "_tie": F.crc32(F.coalesce(F.col(text_col), F.lit(""))),
+        "_h": F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 1),
+    }
+
+
+def mixing_plan(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 29, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, size, _key, _h, _tie) and, for each membership pattern, how they are taken."""
+    rows = store(docs.select(*[c.alias(n) for n, c in _seeded(docs, seed, id_col, text_col, source_col).items()]), "mix")
     # one row per pattern: as many as there are combinations of sources, not documents
-    found = rows.groupBy("_members").agg(F.sum("size").alias("n")).collect()
-    names = sorted({m for r in found for m in r["_members"]}, key=lambda x: (x is None, x))
+    found = rows.groupBy("_key", "_members").agg(F.sum("size").alias("n")).collect()
+    found.sort(key=lambda r: r["_key"])
+    names = sorted({m for r in found for m in r["_members"]}, key=lambda x: (x is None, x or ""))
     place = {m: i for i, m in enumerate(names)}
     own = [0] * len(names)
     for r in found:
         for m in r["_members"]:
             own[place[m]] += r["n"]
-    total = sum(r["n"] for r in found)
-    target = capped_targets(own, [float(weights[i % len(weights)]) for i in range(len(names))], share * total, most)
+    target = capped_targets(own, [float(weights[i % len(weights)]) for i in range(len(names))], share * sum(r["n"] for r in found), most)
     supply = [r["n"] for r in found]
-    flow = min_cost_flow(supply, [[place[m] for m in r["_members"]] for r in found], [int(round(t)) for t in target], most)
+    flow = min_cost_flow(supply, [[place[m] for m in r["_members"]] for r in found], [round(t) for t in target], most)
     plan = []
-    for r, n, f in zip(found, supply, flow, strict=True):
+    for i, (r, n, f) in enumerate(zip(found, supply, flow, strict=True)):
         copies, rest = divmod(sum(f), n) if n else (0, 0)
-        plan.append((r["_members"], copies, rest, float(sum(target[place[m]] for m in r["_members"])), sum(own[place[m]] for m in r["_members"])))
-    spark = docs.sparkSession
-    plan = [(i, *p) for i, p in enumerate(plan)]
-    table = spark.createDataFrame(plan, "_pattern int, _key array<string>, _copies long, _rest long, target double, source_size long")
-    key = lambda c: F.to_json(F.struct(F.col(c).alias("k")), {"ignoreNullFields": "false"})
-    table = table.withColumn("_key", key("_key"))
-    rows = rows.withColumn("_key", key("_members")).join(sized_broadcast(table, len(plan)), "_key")
-    chosen = _partial(rows.select("doc_id", "size", "_tie", "_h", "_pattern", "_copies", "_rest", "target", "source_size"), table)
-    taken = F.col("size") * (F.col("_copies") + F.when(F.col("_extra") & (F.col("_rest") > 0), 1).otherwise(0))
-    return chosen.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+        members = [place[m] for m in r["_members"]]
+        plan.append((r["_key"], i, copies, rest, float(sum(target[m] for m in members)), sum(own[m] for m in members)))
+    table = docs.sparkSession.createDataFrame(plan, "_key string, _pattern int, _copies long, _rest long, target double, source_size long")
+    cut = _cutoffs(rows.join(sized_broadcast(table, len(plan)), "_key").where("_rest > 0").select("_pattern", "_rest", "size", "_h", "doc_id", "_tie"))
+    return rows, table.join(cut, "_pattern", "left")
+
+
+def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 29, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, size, source_size, target, taken for each row.
+
+    ``source_col`` may also be an array: a document of several sources serves
+    any of their quotas, and ``target`` and ``source_size`` are sums over them.
+    Sources in order of code points, NULL last, get ``weights`` in turn; together
+    they take ``share`` of all words, each at most ``most`` times its own size.
+    ``taken`` counts words with repeats: whole documents, up to ``most`` times.
+    A NULL text has size 0.  Rows that repeat an id are rows of their own; equal
+    rows are taken alike.  An empty table gives an empty result.
+    """
+    rows, plan = mixing_plan(docs, weights, share, most, seed, id_col, text_col, source_col)
+    plan = store(plan, "plan")
+    return rows.join(sized_broadcast(plan, plan.count()), "_key").select("doc_id", "size", "source_size", "target", (F.col("size") * F.expr(_COPIES)).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 29, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs``, whole, each as often as ``mix_sources`` takes it.  Texts are not shuffled."""
+    _, plan = mixing_plan(docs, weights, share, most, seed, id_col, text_col, source_col)
+    plan = store(plan, "plan")
+    own = _seeded(docs, seed, id_col, text_col, source_col)
+    facts = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[own[c].alias(c) for c in ("_key", "_h", "_tie", "doc_id")])
+    copies = facts.join(sized_broadcast(plan, plan.count()), "_key").withColumn("_n", F.expr(_COPIES))
+    return copies.select("_row", F.explode(F.array_repeat(F.lit(1), F.col("_n").cast("int"))).alias("_i")).select("_row.*")

@@ -40,14 +40,14 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
 def op5_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_best_fit(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096)
+    return pack_best_fit(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
 def op6_score_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ def op9_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch_root(spark)}/storyatlas/shards-{uuid.uuid4().hex}"
-    return token_shards(_table(spark, sf_dir, "documents"), path, _vocabulary("byte_bpe_50k.json"), end_id=0)
+    return token_shards(_table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"), end_id=0)
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_nearest_neighbours, op3_stratified_shards, op4_mix_sources, op5_pack_best_fit, op6_score_quality, op7_scan_licenses, op8_score_toxicity, op9_jaccard_components, op10_token_shards)}

@@ -7,10 +7,12 @@ back has known sizes, so that adaptive execution can split skewed joins.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CONF = "spark.checkpoint.dir"
 
@@ -38,6 +40,28 @@ def store(df: DataFrame, name: str) -> DataFrame:
 
 def sized_broadcast(df: DataFrame, rows: int, limit: int = 1_000_000):
     """Broadcast ``df`` when its counted ``rows`` are few; else leave the join to Spark."""
-    from pyspark.sql import functions as F
-
     return F.broadcast(df) if rows <= limit else df
+
+
+def stable(docs: DataFrame) -> DataFrame:
+    """``docs``, stored first unless it is a scan of files.
+
+    The rows of a scan come in the same order whenever it is read, so that
+    ``monotonically_increasing_id`` names a row in more than one job.
+    """
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    plain = all(re.match(r"[\s:+-]*(Project|Filter|Relation)", line) for line in plan.splitlines() if line.strip())
+    return docs if plain else store(docs, "docs")
+
+
+def unused(docs: DataFrame, stem: str) -> str:
+    """A column name that ``docs`` does not have."""
+    while stem.lower() in {c.lower() for c in docs.columns}:
+        stem += "_"
+    return stem
+
+
+def without(docs: DataFrame, row: str, dropped: DataFrame) -> DataFrame:
+    """``docs`` (with the row number ``row``) without the rows numbered in ``dropped``."""
+    dropped = store(dropped, "dropped")
+    return docs.join(sized_broadcast(dropped, dropped.count()), row, "left_anti").drop(row)
