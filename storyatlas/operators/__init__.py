@@ -1,0 +1 @@
+"""Relational, segmentation, similarity, geometry and enrichment operators."""

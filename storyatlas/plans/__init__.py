@@ -1,0 +1 @@
+"""Whole plans: views, and the registered queries."""

@@ -1,0 +1 @@
+"""Readers and writers around Spark's own sources."""

@@ -1,0 +1 @@
+"""Extras: the incremental passes as Structured Streaming jobs."""
