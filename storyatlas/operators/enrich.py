@@ -79,14 +79,20 @@ def queries_of(entities: DataFrame) -> DataFrame:
     return rows.withColumn("query_norm", name_key("query"))
 
 
+def _fenced(df: DataFrame) -> DataFrame:
+    """``df`` behind a one-row generator, so that long rules are computed once and not inlined into one another."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def with_attempts(rows: DataFrame) -> DataFrame:
     """``rows`` (query) with ``category`` and ``attempts``: ordered struct(kind, text, low) as the routing rules say.
 
     kind: crossing (two streets joined by " & "), name, or bounded (one borough only).
     """
     q = F.col("query")
-    rows = rows.withColumns({"category": P.classify(q), "_core": P.station_core(q), "_tail": P.location_tail(q), "_first": P.street_pair(q)["one"], "_pair": P.crossing_streets(q), "_pinned": P.is_pinned_street(q)})
-    rows = rows.withColumns({"_core_kind": P.classify("_core"), "_core_pair": P.crossing_streets("_core"), "_tail_pair": P.crossing_streets("_tail")})
+    rows = _fenced(_fenced(rows).withColumns({"category": P.classify(q), "_core": P.station_core(q), "_tail": P.location_tail(q), "_first": P.street_pair(q)["one"], "_pinned": P.is_pinned_street(q)}))
+    rows = _fenced(rows.withColumns({"_pair": P.crossing_streets(q), "_core_kind": P.classify("_core")}))
+    rows = _fenced(rows.withColumns({"_core_pair": P.crossing_streets("_core"), "_tail_pair": P.crossing_streets("_tail")}))
 
     def attempt(kind: str, text: Column, low: bool) -> Column:
         return F.struct(F.lit(kind).alias("kind"), text.alias("text"), F.lit(low).alias("low"))
@@ -105,7 +111,7 @@ def with_attempts(rows: DataFrame) -> DataFrame:
         .when(F.col("_pinned"), F.array(attempt("bounded", P.digit_ordinals(q), True)))
         .otherwise(F.array(*plain))
     )
-    return rows.withColumn("attempts", ways).drop("_core", "_tail", "_first", "_pair", "_pinned", "_core_kind", "_core_pair", "_tail_pair")
+    return _fenced(rows.withColumn("attempts", ways)).drop("_core", "_tail", "_first", "_pair", "_pinned", "_core_kind", "_core_pair", "_tail_pair")
 
 
 def resolve(queries: DataFrame, gazetteer: DataFrame) -> DataFrame:
