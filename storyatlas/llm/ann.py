@@ -32,7 +32,7 @@ BRANCHES = 8
 #: Vectors of the fitting sample below which a node is a leaf.
 LEAF_ROWS = 48
 #: Vectors and queries that one comparison has, about.
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 8192
 QUERY_ROWS = 4096
 
 
