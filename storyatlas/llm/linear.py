@@ -53,12 +53,19 @@ def fit_logistic(x: Rows, y: np.ndarray, n: int, l1: float = 0.0, l2: float = 1e
     scale = 1 / np.sqrt(np.maximum(count, 1) / m)
     w = z = np.zeros(n)
     b = zb = float(np.log(y.mean() / (1 - y.mean())))
-    v = np.ones(n)  # a bound of the curvature, by power iteration
-    for _ in range(12):
-        v = scale * x.pull(x.dot(scale * v), n) / m
-        size = np.linalg.norm(v) or 1.0
-        v /= size
-    step, t = 1 / (0.25 * (size + 1) * 1.1 + l2 + 2 * pair_weight), 1.0
+    def curved(v: np.ndarray) -> np.ndarray:
+        """The loss's curvature, bounded above, in direction ``v``."""
+        out = 0.25 * scale * x.pull(x.dot(scale * v), n) / m
+        if pairs and len(pairs[0].bounds) > 1:
+            diff = pairs[0].dot(scale * v) - pairs[1].dot(scale * v)
+            out += 2 * pair_weight * scale * (pairs[0].pull(diff, n) - pairs[1].pull(diff, n)) / len(diff)
+        return out
+
+    v, size = np.ones(n), 1.0
+    for _ in range(30):  # the largest curvature, by power iteration
+        v = curved(v / (np.linalg.norm(v) or 1.0))
+        size = np.linalg.norm(v)
+    step, t = 1 / (1.1 * size + 0.25 + l2), 1.0
     for _ in range(steps):
         err = sigmoid(x.dot(scale * z) + zb) - y
         grad = scale * x.pull(err, n) / m + l2 * z

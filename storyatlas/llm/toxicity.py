@@ -73,10 +73,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, cuts = _distinct(codes, bounds, len(words))
         own, other = [], []
         named = np.array([w in kinds for w in words], bool)
-        for i, key in enumerate(batch.column("doc_id").to_pylist()):
+        for i in range(batch.num_rows):
             mine = codes[cuts[i] : cuts[i + 1]]
             own.append(np.unique(hashed[mine]).tolist())
-            swapped = [_hash(kinds[words[c]][(key or 0) % len(kinds[words[c]])]) if named[c] else hashed[c] for c in mine.tolist()] if named[mine].any() else []
+            swapped = [_hash(kinds[words[c]][len(mine) % len(kinds[words[c]])]) if named[c] else hashed[c] for c in mine.tolist()] if named[mine].any() else []
             other.append(np.unique(np.array(swapped, np.int64)).tolist())
         cols = [batch.column("doc_id"), batch.column("label"), pa.array(own, pa.list_(pa.int64())), pa.array(other, pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(cols, ["doc_id", "label", "words", "swapped"])

@@ -1,0 +1,247 @@
+"""The operators on small tables with awkward rows, against brute force."""
+
+import hashlib
+import itertools
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from storyatlas.llm.ann import nearest
+from storyatlas.llm.dedup import drop_exact_duplicates, exact_dedup
+from storyatlas.llm.jaccard import drop_near_duplicates, jaccard_components
+from storyatlas.llm.licenses import scan_licenses
+from storyatlas.llm.mixing import mix_sources, mixed_documents
+from storyatlas.llm.packing import pack_best_fit
+from storyatlas.llm.quality import keep_quality, score_quality
+from storyatlas.llm.queries import vocabulary
+from storyatlas.llm.sharding import stratified_shards
+from storyatlas.llm.toxicity import score_toxicity
+from storyatlas.llm.wavelet import token_shards
+
+#: doc_id, text, lang, source, n_chars, and columns whose names clash with inner ones.
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rank string, _rid int, _text string, size int, cid string"
+LONG = " ".join(f"w{i}" for i in range(6000))
+
+
+def doc(i, text, source="s1"):
+    return (i, text, "en", source, len(text or ""), "r", 1, "t", 2, "c")
+
+
+ROWS = [
+    doc(1, "The same text É"), doc(2, "the SAME text É"), doc(3, "the same text é"), doc(4, None), doc(5, "", None), doc(6, " \n"),
+    doc(7, LONG), doc(8, LONG.upper()), doc(9, LONG[:-9] + "x"), doc(10, "one two three"), doc(11, "ONE two\tthree"), doc(12, "one two four"),
+    doc(None, "nobody's text"), doc(13, "repeated row"), doc(13, "repeated row"), (14, "no facts", None, None, None, None, None, None, None, None),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(1, 1, 1), (7, 0, 0), (None, 1, 1), (10, None, None), (99, 1, 0)], "doc_id long, quality int, toxic int")
+
+
+def lower(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+
+
+@pytest.mark.parametrize("bits,block", [(64, 4096), (2, 16), (64, 8)])
+def test_exact_dedup(docs, bits, block):
+    got = exact_dedup(docs, block_bytes=block, locator_bits=bits).collect()
+    groups = {}
+    for i, t, *_ in ROWS:
+        groups.setdefault(lower(t), []).append(i)
+    want = []
+    for t, ids in groups.items():
+        keep = max((i for i in ids if i is not None), default=None)
+        want += [(i, keep, len(ids), hashlib.sha256(t.encode()).hexdigest()) for i in ids]
+    key = lambda r: (str(r[0]), r[3])
+    assert sorted([(r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got], key=key) == sorted(want, key=key)
+    assert sum(r.kept for r in got) == len(groups)
+
+
+def test_drop_exact(docs):
+    left = drop_exact_duplicates(docs)
+    assert left.columns == docs.columns and left.count() == len({lower(r[1]) for r in ROWS})
+
+
+def shingles(t):
+    w = re.findall("[^\x20\x09-\x0d]+", lower(t))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def classes(rows):
+    sets = [shingles(r[1]) for r in rows]
+    root = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        a, b = sets[i], sets[j]
+        if a and b and 100 * len(a & b) >= 80 * len(a | b):
+            old, new = root[j], root[i]
+            root = [new if r == old else r for r in root]
+    least = {r: min((rows[i][0] for i in range(len(rows)) if root[i] == r and rows[i][0] is not None), default=None) for r in set(root)}
+    return sorted(((rows[i][0], len(sets[i]), least[root[i]]) for i in range(len(rows))), key=str), len(least)
+
+
+def test_jaccard(docs):
+    want, n = classes(ROWS)
+    got = jaccard_components(docs).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == want
+    assert sum(r.kept for r in got) == n == drop_near_duplicates(docs).count()
+
+
+def test_jaccard_near_the_threshold(spark, monkeypatch):
+    """Chains of near copies around the threshold, in more than one block and with common signatures."""
+    import storyatlas.llm.jaccard as J
+
+    monkeypatch.setattr(J, "BLOCK", 4)
+    monkeypatch.setattr(J, "MANY_BLOCKS", 1)
+    rng = np.random.default_rng(7)
+    rows = []
+    for g in range(6):
+        words = [f"g{g}w{i}" for i in range(int(rng.integers(8, 140)))]
+        for _ in range(12):
+            for k in rng.choice(len(words), 1 + len(words) // 60, replace=False):
+                words[k] = f"x{rng.integers(1 << 30)}"
+            rows.append((len(rows), " ".join(words)))
+    want, n = classes(rows)
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == want
+    assert 6 < n < len(rows)
+
+
+def test_shards(docs):
+    got = stratified_shards(docs, 5).collect()
+    sizes = sorted(sum(r.shard == s for r in got) for s in range(5))
+    assert sizes == [3, 3, 3, 3, 4] and {r.law for r in got} == {"rows"}
+    for s in range(5):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    assert sorted((str(r.doc_id), r["size"], r.text_crc32) for r in got) == sorted((str(r[0]), len((r[1] or "").encode()) + 16, zlib.crc32((r[1] or "").encode())) for r in ROWS)
+
+
+def test_shards_match_the_mixture(spark):
+    rows = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 10 < 7, "b").alias("source"))
+    got = stratified_shards(rows, 7).join(rows.select("doc_id", "source"), "doc_id").groupBy("source", "shard").count().collect()
+    for source in {r["source"] for r in got}:
+        n = [r["count"] for r in got if r["source"] == source]
+        assert len(n) == 7 and max(n) - min(n) <= 2
+    again = stratified_shards(rows.repartition(9), 7)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, stratified_shards(rows, 7).collect()))
+
+
+def test_mix(spark, docs, sf):
+    got = mix_sources(docs).collect()
+    words = {str(r[0]): len(re.findall("[^\x20\x09-\x0d]+", r[1] or "")) for r in ROWS}
+    assert all(r["size"] == words[str(r.doc_id)] and r.taken <= 2 * r["size"] for r in got)
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    got = mix_sources(table).join(table.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.first("target").alias("t"), F.sum("taken").alias("n"), F.sum("size").alias("s"), F.max("size").alias("most")).collect()
+    assert sum(r["t"] for r in got) == pytest.approx(1.5 * sum(r["s"] for r in got))
+    assert all(abs(r["n"] - r["t"]) <= r["most"] for r in got)  # documents are taken whole, and here there are ten a source
+    taken = {r["doc_id"]: r["taken"] // r["size"] for r in mix_sources(table).collect() if r["size"]}
+    copies = {r["doc_id"]: r["count"] for r in mixed_documents(table).groupBy("doc_id").count().collect()}
+    assert {k: v for k, v in taken.items() if v} == {k: v for k, v in copies.items() if k in taken}
+
+
+def test_mix_overlapping(spark):
+    rows = [(i, "a b c d", [["x"], ["y"], ["x", "y"], None][i % 4]) for i in range(80)]
+    got = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source array<string>"), weights=(1, 1), share=1.0)
+    assert got.agg(F.sum("taken")).first()[0] == pytest.approx(320, abs=12)
+
+
+def test_pack(docs):
+    tok = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    got = pack_best_fit(docs, vocabulary("word_bpe_49k.json"), 1, 128).collect()
+    want = []
+    for i, t, *_ in ROWS:
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        want += [(str(i), k, 128 * k, len(c), zlib.crc32(c.tobytes())) for k, c in enumerate(np.split(ids, range(128, len(ids), 128)))]
+    assert sorted((str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
+    for _, own in itertools.groupby(sorted(got, key=lambda r: (r.sequence_id, r.offset)), lambda r: r.sequence_id):
+        at = 0
+        for r in own:
+            assert r.offset == at
+            at += r.length
+        assert at <= 128
+    assert len({r.sequence_id for r in got}) <= -(-sum(r.length for r in got) // 128) + 1
+
+
+def test_token_shards(docs, tmp_path):
+    tok = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    got = token_shards(docs, str(tmp_path / "s"), vocabulary("byte_bpe_50k.json"), 0, shard_ids=3000).collect()
+    start = 0
+    rows = sorted(got, key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == sorted((r[0] for r in ROWS), key=lambda i: -1 if i is None else i)
+    texts = {r[0]: r[1] for r in ROWS}
+    for r in rows:
+        ids = np.array([*tok.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 0], "<u4")
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
+def test_licenses(docs, spark):
+    got = {r.doc_id: r for r in scan_licenses(docs).collect()}
+    assert got[4].n_words == 0 and got[4].labels == "" and got[10].n_words == 3 and got[10].first_word is None
+
+
+def test_toxicity(docs, labels, spark, sf):
+    got = score_toxicity(docs, labels).collect()
+    assert len(got) == len(ROWS) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+    table, known = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    scored = score_toxicity(table, known)
+    flipped = score_toxicity(table, known.withColumn("toxic", F.when(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, 1 - F.col("toxic")).otherwise(F.col("toxic"))))
+    assert sorted(map(tuple, scored.collect())) == sorted(map(tuple, flipped.collect()))
+
+
+def test_toxicity_is_learned(spark):
+    words = ["alpha", "beta", "gamma", "delta", "omega"]
+    rows = [(i, " ".join(words[(i + k) % 5] for k in range(4)) + (" vileword" if i % 5 == 0 else "") + (" muslim" if i % 10 == 0 else " christian" if i % 4 == 1 else "")) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = score_toxicity(docs, docs.select("doc_id", (F.col("doc_id") % 5 == 0).cast("int").alias("toxic"))).collect()
+    assert all(r.predicted == (r.doc_id % 5 == 0) for r in got)
+    probe = spark.createDataFrame([(2, "muslim alpha"), (6, "christian alpha"), (10, "you vileword")], "doc_id long, text string").unionByName(docs.where("doc_id > 20"))
+    out = {r.doc_id: r.score for r in score_toxicity(probe, docs.where("doc_id > 20").select("doc_id", (F.col("doc_id") % 5 == 0).cast("int").alias("toxic"))).collect()}
+    assert out[2] < 0.3 and out[6] < 0.3 and out[10] > 0.3
+
+
+def test_quality(docs, labels, spark, sf):
+    assert score_quality(docs, labels).count() == len(ROWS)
+    assert keep_quality(docs, labels.where("doc_id IS NULL")).count() == len(ROWS)
+    sf = sf.replace("sf0.001", "sf0.01")  # enough labels of both kinds
+    table, known = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = score_quality(table, known).join(known, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()
+    share = {r["quality"]: r["k"] for r in got}
+    assert share[1] >= 0.97 and share.get(0, 0) <= 0.4
+    assert keep_quality(table, known).count() == score_quality(table, known).where("kept").count()
+
+
+def test_nearest(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 8)).astype(np.float32)
+    x[40:160] = x[40]  # a hot vector
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1020, [0.0] * 8), (1040, [float("nan")] * 8), (1060, [1.0, 2.0]), (1080, [None] * 8), (None, x[3].tolist()), (5, x[5].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = nearest(df, F.col("vec_id") % 20 == 0, k=20, recall=1.0).collect()
+    hit = 0
+    for q in range(0, 400, 20):
+        own = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
+        score = x.astype(float) @ x[q].astype(float)
+        want = [i for i in np.lexsort((np.arange(400), -np.round(score, 9))) if i != q][:20]
+        assert [r[0] for r in own] == list(range(1, 21))
+        assert all(abs(s - score[i]) < 1e-12 for _, i, s in own)
+        hit += len({i for _, i, _ in own} & set(want))
+        if 40 <= q < 160:
+            assert [i for _, i, _ in own] == want
+    assert hit >= 0.95 * 20 * 20 and {r.query_id for r in got} == set(range(0, 400, 20))
+
+
+def test_empty_tables(spark, labels, tmp_path):
+    none = spark.createDataFrame([], SCHEMA)
+    vocab = vocabulary("byte_bpe_50k.json")
+    results = [exact_dedup(none), jaccard_components(none), stratified_shards(none, 3), mix_sources(none), pack_best_fit(none, vocab, 1, 64), token_shards(none, str(tmp_path / "e"), vocab, 0), scan_licenses(none), score_toxicity(none, labels), score_quality(none, labels), score_toxicity(none, labels.limit(0)), nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True))]
+    assert [r.count() for r in results] == [0] * len(results)
