@@ -14,6 +14,8 @@ are put beside the member that most of their signatures share, and what crosses
 the network is pairs of blocks, not pairs of sets.  A comparison of two blocks
 gives a spanning forest of its links.  Signatures that very many blocks share
 are compared where two of them meet, which loses nothing as linked sets share two.
+How many signatures a set shares at least with any linked one is known from its
+own partitions, and blocks that share fewer are not compared.
 """
 
 from __future__ import annotations
@@ -23,21 +25,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import stable, store, unused, without
+from .scratch import sized_broadcast, stable, store, unused, without
 from .tokens import chunks
 
 #: Sets that a block has, about.
-BLOCK = 192
+BLOCK = 512
 #: A signature in more blocks than this is compared only together with a second one.
-MANY_BLOCKS = 12
+MANY_BLOCKS = 48
+#: Members beside one pivot that make a crowd.
+CROWD = 64
 #: Largest set size of bands whose features are their own signatures.
 SMALL = 24
 #: Rows that a task groups at once.
 GROUP_ROWS = 3_000_000
+#: Ids that are sent to every task at most (8 or 16 bytes each); more are joined by shuffle.
+IDS = 2_000_000
 
 _M1, _M2, _M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
@@ -77,7 +83,7 @@ def shingles(texts: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     n = len(h)
     rolled = np.zeros(max(n - width + 1, 0), np.uint64)
     with np.errstate(over="ignore"):
-        for j in range(width):
+        for j in range(width if n >= width else 0):
             rolled = rolled * _M3 + h[j : n - width + 1 + j]
         rolled = _mix(rolled)
         out, sizes = [], np.zeros(len(bounds) - 1, np.int64)
@@ -118,69 +124,84 @@ def _sums(keys: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.
     return low.astype(np.uint64), high.astype(np.uint64)
 
 
-def signatures(values: np.ndarray, bounds: np.ndarray, top: int = 80, bottom: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of sets: the 64-bit signatures and the set of each."""
+def _instances(values: np.ndarray, bounds: np.ndarray, top: int, bottom: int) -> Iterator[tuple]:
+    """For each of the two bands that a set is signed for: which sets are dealt (the others are too small),
+    where each set's partitions begin, the partition of each feature, what is in each, and how sets may differ."""
     sizes = np.diff(bounds)
     ends = bands(int(sizes.max(initial=0)) * 2 + 2, top, bottom)
-    out_sig, out_row = [], []
     own = np.searchsorted(ends, sizes)  # band of each set; 0 for empty sets
     row = np.repeat(np.arange(len(sizes)), sizes)
+    for step in (0, 1):  # as a set of its band, and beside the next one
+        band = np.where(sizes > 0, own + step, 0)
+        differ, parts = partitions(ends[band], top, bottom)
+        big = (ends[band] > SMALL) & (sizes > 0)
+        first = np.concatenate([[0], np.cumsum(np.where(big, parts, 0))])
+        dealt = big[row]
+        at = first[:-1][row[dealt]] + (values[dealt] % parts[row[dealt]].astype(np.uint64)).astype(np.int64)
+        count = np.bincount(at, minlength=int(first[-1]))
+        holder = np.repeat(np.arange(len(sizes)), np.diff(first))
+        filled = np.bincount(holder[count > 0], minlength=len(sizes))
+        yield band, big, first, dealt, at, count, holder, filled, differ
+
+
+def needs(values: np.ndarray, bounds: np.ndarray, top: int = 80, bottom: int = 100) -> np.ndarray:
+    """How many signatures a set shares with any set it is linked to, at least."""
+    sizes = np.diff(bounds)
+    least = -(-top * sizes // bottom)  # of features as signatures
+    out = np.full(len(sizes), np.iinfo(np.int64).max)
+    for _, big, _, _, _, _, _, filled, differ in _instances(values, bounds, top, bottom):
+        out = np.minimum(out, np.where(big, np.maximum(filled - differ, 2), least))
+    return out
+
+
+def signatures(values: np.ndarray, bounds: np.ndarray, top: int = 80, bottom: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of sets: the 64-bit signatures and the set of each."""
+    sizes = np.diff(bounds)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    out_sig, out_row = [], []
     with np.errstate(over="ignore"):
         spread = _mix(values + _M3)
-        for step in (0, 1):  # as a set of its band, and beside the next one
-            band = own + step
-            band[sizes == 0] = 0
-            differ, parts = partitions(ends[band], top, bottom)
-            small = ends[band] <= SMALL
+        for band, big, first, dealt, at, count, holder, filled, differ in _instances(values, bounds, top, bottom):
             salt = _mix(band.astype(np.uint64) * _M2 + _M1)
-            big = ~small & (sizes > 0)
-            first = np.concatenate([[0], np.cumsum(np.where(big, parts, 0))])
-            inside = big[row]
-            at = first[:-1][row[inside]] + (values[inside] % parts[row[inside]].astype(np.uint64)).astype(np.int64)
-            count = np.bincount(at, minlength=int(first[-1]))
-            low, high = _sums(at, spread[inside], int(first[-1]))
-            holder = np.repeat(np.arange(len(sizes)), np.diff(first))
+            low, high = _sums(at, spread[dealt], int(first[-1]))
             number = (np.arange(int(first[-1])) - first[:-1][holder]).astype(np.uint64)
             sig = _mix(_mix(low + salt[holder]) + _mix(high + number * _M3) + count.astype(np.uint64))
-            full = count > 0
-            out_sig.append(sig[full])
-            out_row.append(holder[full])
-            filled = np.bincount(holder[full], minlength=len(sizes))
-            alone = (small & (sizes > 0)) | (big & (filled < differ + 2))
-            each = alone[row]
+            out_sig.append(sig[count > 0])
+            out_row.append(holder[count > 0])
+            each = (~big | (filled < differ + 2))[row]
             out_sig.append(_mix(values[each] ^ salt[row[each]] ^ _M2))
             out_row.append(row[each])
     return np.concatenate(out_sig), np.concatenate(out_row)
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (sig, rid) whose signature occurs more than once in the partition.
+    """Rows (sig, cid) whose signature occurs more than once in the partition, with the smallest such cid.
 
     Of rows with the same signature one is held on when memory is freed, so a
     very common signature takes no more memory than a rare one.
     """
-    sig, rid, told = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    sig, cid, told = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     new: list[tuple[np.ndarray, np.ndarray]] = []
     waiting = 0
 
-    def regroup() -> pa.RecordBatch | None:
-        nonlocal sig, rid, told
+    def regroup() -> pa.RecordBatch:
+        nonlocal sig, cid, told
         s = np.concatenate([sig, *(x[0] for x in new)])
-        r = np.concatenate([rid, *(x[1] for x in new)])
+        c = np.concatenate([cid, *(x[1] for x in new)])
         t = np.concatenate([told, np.zeros(len(s) - len(told), bool)])
         new.clear()
         order = np.argsort(s, kind="stable")
-        s, r, t = s[order], r[order], t[order]
-        head = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
+        s, c, t = s[order], c[order], t[order]
+        head = np.concatenate([[True], s[1:] != s[:-1]])[: len(s)]
         group = np.cumsum(head) - 1
-        shared = (np.bincount(group)[group] > 1) if len(s) else head
+        shared = np.bincount(group)[group] > 1 if len(s) else head
+        least = np.minimum.reduceat(c, np.flatnonzero(head)) if len(s) else c
         emit = shared & ~t
-        t |= shared
-        sig, rid, told = s[head], r[head], t[head]
-        return pa.RecordBatch.from_arrays([pa.array(s[emit]), pa.array(r[emit])], ["sig", "rid"])
+        sig, cid, told = s[head], least, (t | shared)[head]
+        return pa.RecordBatch.from_arrays([pa.array(s[emit]), pa.array(c[emit]), pa.array(least[group][emit])], ["sig", "cid", "pivot"])
 
     for batch in batches:
-        new.append((batch.column("sig").to_numpy(), batch.column("rid").to_numpy()))
+        new.append((batch.column("sig").to_numpy(), batch.column("cid").to_numpy()))
         waiting += batch.num_rows
         if waiting > GROUP_ROWS:
             yield regroup()
@@ -233,7 +254,7 @@ def _compare(sets: list[np.ndarray], side: np.ndarray, top: int, bottom: int) ->
 
 
 def _links(top: int, bottom: int):
-    """For mapInArrow over rows (b1, b2, side, cid, features) sorted by (b1, b2)."""
+    """For mapInArrow over rows (home, party, side, cid, features) sorted by home and party."""
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, sides, sets = None, [], [], []
@@ -243,14 +264,14 @@ def _links(top: int, bottom: int):
 
         for batch in batches:
             found: list[tuple[int, int]] = []
-            b1, b2 = batch.column("b1").to_pylist(), batch.column("b2").to_pylist()
+            home, party = batch.column("home").to_pylist(), batch.column("party").to_pylist()
             cid, side = batch.column("cid").to_pylist(), batch.column("side").to_pylist()
             values = batch.column("features")
             cuts, flat = values.offsets.to_numpy(), values.values.to_numpy()
             for i in range(batch.num_rows):
-                if (b1[i], b2[i]) != key:
+                if (home[i], party[i]) != key:
                     found += done()
-                    key, ids, sides, sets = (b1[i], b2[i]), [], [], []
+                    key, ids, sides, sets = (home[i], party[i]), [], [], []
                 ids.append(cid[i])
                 sides.append(side[i])
                 sets.append(flat[cuts[i] : cuts[i + 1]].copy())
@@ -279,15 +300,15 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             with np.errstate(over="ignore"):
                 one, two = _sums(row, values, n), _sums(row, _mix(values + _M1), n)
                 d1, d2 = _mix(_mix(one[0]) + one[1]), _mix(_mix(two[0]) + two[1])
-            cols = [batch.column("rid"), batch.column("doc_id"), pa.array(np.diff(bounds), pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64))]
-            yield pa.RecordBatch.from_arrays(cols, ["rid", "doc_id", "n_shingles", "d1", "d2"])
+            numbers = (np.diff(bounds), d1.view(np.int64), d2.view(np.int64), needs(values, bounds, top, bottom))
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), *map(pa.array, numbers)], ["rid", "doc_id", "n_shingles", "d1", "d2", "need"])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             sig, row = signatures(*shingles(batch.column("text"), width), top, bottom)
-            rid = batch.column("rid").to_numpy()[row]
+            cid = batch.column("rid").to_numpy()[row]
             for a in range(0, len(sig), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(sig[a : a + (1 << 16)].view(np.int64)), pa.array(rid[a : a + (1 << 16)])], ["sig", "rid"])
+                yield pa.RecordBatch.from_arrays([pa.array(sig[a : a + (1 << 16)].view(np.int64)), pa.array(cid[a : a + (1 << 16)])], ["sig", "cid"])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
@@ -295,43 +316,71 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             cols = [batch.column("rid"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64)))]
             yield pa.RecordBatch.from_arrays(cols, ["cid", "features"])
 
-    base = store(rows.select("rid", "doc_id", "text").mapInArrow(describe, "rid long, doc_id long, n_shingles long, d1 long, d2 long"), "sets")
+    base = store(rows.select("rid", "doc_id", "text").mapInArrow(describe, "rid long, doc_id long, n_shingles long, d1 long, d2 long, need long"), "sets")
     classes = store(base.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("rid").alias("cid")), "classes")
-    base = store(base.join(classes, ["n_shingles", "d1", "d2"], "left").select("rid", "doc_id", "n_shingles", F.coalesce("cid", "rid").alias("cid")), "rows")
+    base = store(base.join(classes, ["n_shingles", "d1", "d2"], "left").select("rid", "doc_id", "n_shingles", "need", F.coalesce("cid", "rid").alias("cid")), "rows")
     spark = docs.sparkSession
     total = base.agg(F.sum("n_shingles")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 2_000_000)
-    signed = rows.select("rid", "text").mapInArrow(sign, "sig long, rid long").repartition(parts, "sig")
-    shared = store(signed.mapInArrow(_grouped, "sig long, rid long"), "shared")
-    members = store(shared.join(base.select("rid", "cid"), "rid").select("sig", "cid").distinct(), "members")
-    groups = store(members.groupBy("sig").agg(F.count("*").alias("n"), F.min("cid").alias("pivot")).where("n > 1"), "groups")
-    members = members.join(groups, "sig").select("sig", "cid", "pivot")
-    best = members.groupBy("cid", "pivot").agg(F.count("*").alias("n")).groupBy("cid").agg(F.max(F.struct("n", (-F.col("pivot")).alias("p"))).alias("m"))
-    best = store(best.select("cid", (-F.col("m.p")).alias("pivot")), "best")
+    # one row of each class is signed
+    copies = base.where("rid <> cid").select(F.col("rid").alias("_copy"))
+    lone = rows.select("rid", "text").join(sized_broadcast(copies, copies.count(), IDS), F.col("rid") == F.col("_copy"), "left_anti")
+    signed = lone.mapInArrow(sign, "sig long, cid long").repartition(parts, "sig")
+    shared = store(signed.mapInArrow(_grouped, "sig long, cid long, pivot long"), "shared")
+    # a member is put beside the pivot with which it shares most, unless that is little, and so beside the pivot's pivot
+    need = base.where("rid = cid AND n_shingles > 0").select("cid", "need")
+    best = shared.groupBy("cid", "pivot").agg(F.count("*").alias("n")).groupBy("cid").agg(F.max(F.struct("n", (-F.col("pivot")).alias("p"))).alias("m"))
+    near = (F.col("m.n") * 4 >= F.greatest("need", F.lit(8))).alias("near")
+    best = store(best.join(need, "cid").select("cid", "need", (-F.col("m.p")).alias("first"), near), "best")
+    root = best.select("cid", F.when(F.col("near"), F.col("first")).otherwise(F.col("cid")).alias("root"))
+    for _ in range(3):
+        root = store(root, "roots")
+        up = root.select(F.col("cid").alias("_c"), F.col("root").alias("_up")).where("_c <> _up")
+        root = root.join(up, F.col("root") == F.col("_c"), "left").select("cid", F.coalesce("_up", "root").alias("root"))
+    root = store(root, "roots")
+    # one that shares little with any pivot is put beside a crowd if its pivot is in one
+    crowds = root.groupBy("root").agg(F.count("*").alias("size")).where(F.col("size") >= CROWD)
+    crowded = root.join(crowds.select("root"), "root").select(F.col("cid").alias("first"), F.col("root").alias("crowd"))
+    best = best.join(root, "cid").join(crowded, "first", "left").select("cid", "need", F.when(F.col("near"), F.col("root")).otherwise(F.coalesce("crowd", "root")).alias("pivot"))
+    best = store(best, "beside")
     sizes = best.groupBy("pivot").agg(F.count("*").alias("size"))
     block = F.xxhash64("pivot", F.pmod(F.xxhash64("cid"), F.ceil(F.col("size") / BLOCK)))
-    blocks = store(best.join(sizes, "pivot").select("cid", block.alias("block")), "blocks")
-    placed = store(members.select("sig", "cid").join(blocks, "cid"), "placed")
-    by_sig = placed.select("sig", "block").distinct()
-    spread = store(by_sig.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1"), "spread")
-    many = spread.where(F.col("n") > MANY_BLOCKS).select("sig")
-    few = by_sig.join(spread.where(F.col("n") <= MANY_BLOCKS).select("sig"), "sig")
+    members = store(best.join(sizes, "pivot").select("cid", "need", block.alias("block")), "members")
+    n = members.count()
+    blocks = store(members.groupBy("block").agg(F.min("need").alias("need"), F.count("*").alias("size")), "blocks")
+    placed = shared.select("sig", "cid").join(sized_broadcast(members.select("cid", "block"), n, IDS), "cid")
+    by_sig = store(placed.select("sig", "block").distinct().withColumn("n", F.count("*").over(Window.partitionBy("sig"))).where("n > 1"), "by-sig")
+    few = by_sig.where(F.col("n") <= MANY_BLOCKS).select("sig", "block", F.lit(False).alias("two"))
     # very common signatures: what shares two of them
-    common = store(placed.join(many, "sig").select("cid", "block", "sig"), "common")
-    two = common.groupBy("cid", "block").agg(F.array_sort(F.collect_set("sig")).alias("sigs")).where(F.size("sigs") > 1)
+    many = by_sig.where(F.col("n") > MANY_BLOCKS).select("sig").distinct()
+    many = store(many, "many")
+    common = placed.join(sized_broadcast(many, many.count(), IDS), "sig").groupBy("cid", "block").agg(F.array_sort(F.collect_set("sig")).alias("sigs")).where(F.size("sigs") > 1)
     pair = F.expr("flatten(transform(sigs, (x, i) -> transform(slice(sigs, i + 2, size(sigs)), y -> xxhash64(x, y))))")
-    two = two.select(F.explode(pair).alias("sig"), "block").distinct()
+    two = common.select(F.explode(pair).alias("sig"), "block").distinct().withColumn("two", F.lit(True))
     keys = store(few.unionByName(two), "keys")
-    left, right = keys.select("sig", F.col("block").alias("b1")), keys.select("sig", F.col("block").alias("b2"))
-    crossed = left.join(right, "sig").where("b1 < b2").select("b1", "b2").distinct()
-    pairs = store(crossed.unionByName(blocks.select(F.col("block").alias("b1"), F.col("block").alias("b2")).distinct()), "pairs")
-    n = blocks.count()
-    wanted = F.broadcast(blocks.select("cid")) if n <= 4_000_000 else blocks.select("cid")  # 8 bytes a row: 32 MB
-    texts = rows.select("rid", "text").join(wanted, F.col("rid") == F.col("cid"), "left_semi")
-    sets = store(texts.mapInArrow(features, "cid long, features array<long>").join(blocks, "cid"), "features")
-    one = sets.join(pairs, F.col("block") == F.col("b1")).select("b1", "b2", F.lit(0).alias("side"), "cid", "features")
-    other = sets.join(pairs.where("b1 <> b2"), F.col("block") == F.col("b2")).select("b1", "b2", F.lit(1).alias("side"), "cid", "features")
-    dealt = one.unionByName(other).repartition(parts, "b1", "b2").sortWithinPartitions("b1", "b2", "side", "cid")
+    left, right = keys.select("sig", "two", F.col("block").alias("b1")), keys.select("sig", "two", F.col("block").alias("b2"))
+    crossed = left.join(right, ["sig", "two"]).where("b1 < b2").groupBy("b1", "b2").agg(F.count_if(~F.col("two")).alias("few"), F.count_if("two").alias("pairs"))
+    # linked sets share at least ``need`` signatures: of the common ones as many as make that many pairs, and one unseen
+    crossed = crossed.withColumn("most", F.col("few") + F.greatest(F.lit(1.0), F.ceil((1 + F.sqrt(1 + 8 * F.col("pairs"))) / 2)))
+    for side in ("b1", "b2"):
+        crossed = crossed.join(blocks.select(F.col("block").alias(side), F.col("need").alias(f"need_{side}")), side)
+    crossed = crossed.where("most >= need_b1 AND most >= need_b2").select("b1", "b2")
+    # the smaller block of a pair is a guest of the larger one; guests of a home come in parties of about a block
+    size = blocks.select("block", "size")
+    pairs = crossed.join(size.select(F.col("block").alias("b1"), F.col("size").alias("s1")), "b1").join(size.select(F.col("block").alias("b2"), F.col("size").alias("s2")), "b2")
+    first = (F.col("s1") > F.col("s2")) | ((F.col("s1") == F.col("s2")) & (F.col("b1") < F.col("b2")))
+    guests = store(pairs.select(F.when(first, F.col("b1")).otherwise(F.col("b2")).alias("home"), F.when(first, F.col("b2")).otherwise(F.col("b1")).alias("guest"), F.least("s1", "s2").alias("size")), "guests")
+    parties = guests.groupBy("home").agg(F.ceil(F.sum("size") / BLOCK).alias("parties"))
+    guests = store(guests.join(parties, "home").select("home", "guest", F.pmod(F.xxhash64("guest"), "parties").cast("long").alias("party")), "parties")
+    alone = blocks.where("size > 1").select(F.col("block").alias("home"), F.lit(-1).cast("long").alias("party"))
+    used = alone.select(F.col("home").alias("block")).union(guests.select("home")).union(guests.select("guest")).distinct()
+    wanted = store(members.join(used, "block").select("cid", "block"), "wanted")
+    texts = rows.select("rid", "text").join(sized_broadcast(wanted.select("cid"), wanted.count(), IDS), F.col("rid") == F.col("cid"), "left_semi")
+    sets = store(texts.mapInArrow(features, "cid long, features array<long>").join(wanted, "cid"), "features")
+    hosts = alone.unionByName(guests.select("home", "party").distinct())
+    one = sets.join(hosts, F.col("block") == F.col("home")).select("home", "party", F.lit(0).alias("side"), "cid", "features")
+    other = sets.join(guests, F.col("block") == F.col("guest")).select("home", "party", F.lit(1).alias("side"), "cid", "features")
+    dealt = one.unionByName(other).repartition(parts, "home", "party").sortWithinPartitions("home", "party", "side", "cid")
     return base, store(dealt.mapInArrow(_links(top, bottom), "a long, b long"), "links")
 
 
