@@ -27,6 +27,8 @@ from .tokens import chunks
 
 #: Rows that the views are fitted on at most: labelled, and as many without label.
 FIT_ROWS = 16_000
+#: Text that is measured at once.
+MEASURED_BYTES = 2 << 20
 #: Bins of a measured feature; edges are quantiles of the fitting rows.
 BINS = 12
 #: Buckets for language and for source.
@@ -200,7 +202,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     wanted = base.join(F.broadcast(store(some, "labelled")), F.col("doc_id") == F.col("_k"), "left")  # about ``fit_rows`` rows
     wanted = wanted.where(F.col("label").isNotNull() | part("doc_id", rows)).drop("_k")
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, most=MEASURED_BYTES):
             a, b = measures(batch)
             cols = [pa.array(a.tolist(), pa.list_(pa.float64())), pa.array(b.tolist(), pa.list_(pa.float64())), pa.array(names_of(batch).tolist(), pa.list_(pa.int64())), batch.column("label")]
             yield pa.RecordBatch.from_arrays(cols, ["content", "page", "names", "label"])
@@ -227,7 +229,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     model = fit_quality(docs, labels, id_col, text_col, label_col, fit_rows)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, most=MEASURED_BYTES):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.float64()) for c in model.score(batch))], ["doc_id", "score", "content_score", "page_score"])
 
     scored = _rows(docs, id_col, text_col).mapInArrow(score, "doc_id long, score double, content_score double, page_score double")
@@ -242,6 +244,6 @@ def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     def score(rows: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         for frame in rows:
             table = pa.RecordBatch.from_pandas(frame, preserve_index=False, schema=pa.schema([("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())]))
-            yield pd.Series(np.concatenate([model.score(c)[0] for c in chunks(iter([table]))] or [np.zeros(0)]))
+            yield pd.Series(np.concatenate([model.score(c)[0] for c in chunks(iter([table]), most=MEASURED_BYTES)] or [np.zeros(0)]))
 
     return docs.where(score(F.struct(*_inputs(docs, text_col))) >= reject_below)

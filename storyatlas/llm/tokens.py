@@ -8,6 +8,7 @@ library's BPE model.  The ids equal those of ``Tokenizer.encode`` with
 
 from __future__ import annotations
 
+import ctypes
 import json
 import unicodedata
 import zlib
@@ -160,14 +161,24 @@ def encoder(path: str) -> PieceEncoder:
     return _ENCODERS[path]
 
 
+def _release() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about ``most`` bytes of text, so that memory does not follow the batch."""
+    _release()  # workers outlive tasks, and keep what earlier ones have freed
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         cuts = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // most, prepend=0)).tolist()
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
             if b > a:
                 yield batch.slice(a, b - a)
+    _release()
 
 
 def encoded(batches: Iterator[pa.RecordBatch], path: str, text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
