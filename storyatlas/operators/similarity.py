@@ -13,6 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import places as P
+from ..functions.text import name_key
+
 # fixed values: words that turn a place into its opposite, and how near a name must be
 DIRECTIONS = {"east", "west", "north", "south", "upper", "lower", "central"}
 CUTOFF = 0.86
@@ -50,3 +53,22 @@ def fuzzy_match(keys: DataFrame, key: str, names: DataFrame, name: str, cutoff:
 def guarded(query: Column, label: Column, house_number: Column, place: float = 0.55, address: float = 0.35) -> Column:
     """Whether a label is near enough to a query; addresses are trusted sooner."""
     return ratio(query, label) >= F.when(house_number, address).otherwise(place)
+
+
+def covered_pairs(labels: DataFrame, label_id: str, label: str, queries: DataFrame, query_id: str, query: str) -> DataFrame:
+    """label_id, query_id, n_words, n_hits of every pair for which ``label_covers`` holds.
+
+    Both ids are keys.  Hits are counted where a label is read, before anything is sent.  A query
+    without identifying words (n_words = 0) is covered by every label that is not empty.
+    """
+    words = queries.select(query_id, P.distinct_tokens(query).alias("_words")).where(F.col("_words").isNotNull())
+    total, blank = words.agg(F.count("*"), F.count_if(F.size("_words") == 0)).first()
+    wanted = words.select(query_id, F.size("_words").cast("long").alias("n_words"), F.explode("_words").alias("_word"))
+    own = labels.select(label_id, F.explode(F.array_distinct(F.split(name_key(label), " "))).alias("_word"))
+    met = own.join(F.broadcast(wanted) if total <= SHIPPED else wanted, "_word")
+    found = met.groupBy(label_id, query_id, "n_words").agg(F.count("*").alias("n_hits")).where("n_hits * 2 >= n_words")
+    if not blank:
+        return found
+    none = words.where(F.size("_words") == 0).select(query_id)
+    every = labels.where(F.col(label) != "").select(label_id).crossJoin(F.broadcast(none) if blank <= SHIPPED else none)
+    return found.unionByName(every.select(label_id, query_id, F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hits")))

@@ -19,7 +19,7 @@ from ..operators import relational as R
 from ..operators.enrich import dictionary_extract, resolve
 from ..operators.levels import name_levels
 from ..operators.segment import heading_entries, html_blocks, line_entries, lines_with_lookahead
-from ..operators.similarity import fuzzy_match
+from ..operators.similarity import covered_pairs, fuzzy_match
 from . import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -346,6 +346,19 @@ def token_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("doc_id", "item_id", F.size(P.distinct_tokens("query")).cast("long").alias("n_words"), P.label_covers("query", "text").alias("covered"))
 
 
+@_query(
+    f"""
+    WITH q AS (SELECT item_id, list_filter(list_distinct(string_split({_KEY.format('text')}, ' ')), lambda w: length(w) > 1 AND NOT list_contains({_GENERIC}, w)) AS words FROM benchmark),
+    w AS (SELECT item_id, len(words) AS n_words, unnest(words) AS word FROM q),
+    d AS (SELECT doc_id, unnest(list_distinct(string_split({_KEY.format('text')}, ' '))) AS word FROM documents)
+    SELECT doc_id, item_id, any_value(n_words) AS n_words, count(*) AS n_hits FROM d JOIN w USING (word) GROUP BY doc_id, item_id HAVING count(*) * 2 >= any_value(n_words)
+    UNION ALL SELECT doc_id, item_id, 0, 0 FROM documents JOIN q ON len(words) = 0 AND text <> ''"""
+)
+def token_coverage_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with every item of which it has half of the identifying words; ``token_coverage`` shows one pair in 40."""
+    return covered_pairs(_table(spark, sf_dir, "documents"), "doc_id", "text", _table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
 def _street_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Location queries made of the tables' numbers and names, of every kind that the rules know."""
     n, m = F.col("o_orderkey") % 190 + 1, F.col("o_custkey") % 11 + 1

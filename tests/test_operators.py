@@ -3,10 +3,12 @@ import math
 
 from pyspark.sql import functions as F
 
+from storyatlas.functions import places as P
 from storyatlas.functions.text import name_key
 from storyatlas.operators import enrich as E
 from storyatlas.operators import geometry as G
 from storyatlas.operators import relational as R
+from storyatlas.operators import similarity
 from storyatlas.plans import views as V
 from storyatlas.sources import files as S
 
@@ -139,3 +141,15 @@ def test_stream(spark, tmp_path, sf):
         enrich_arrivals(spark, src, "entry_id string, v int", done, str(tmp_path / "cp"), lambda d: d.withColumn("w", F.col("v") * 2)).awaitTermination()
     assert rows(spark.read.parquet(done)) == [("a", 1, 2), ("b", 2, 4)]
     assert windowed_counts(spark.read.parquet(f"{sf}/events.parquet")).agg(F.sum("n")).first()[0] == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def test_every_covered_pair(spark):
+    """No pair is left out, whatever the remainders of its ids."""
+    texts = ["Carnegie Hall, New York", "carnegie deli and hall", "Lundy's", "", None, "Plaza", "one two three", "Hall one"]
+    labels = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc int, text string")
+    asked = ["Carnegie Hall", "Lundy's restaurant", "the park", "one two three four", "nothing of it", "hall one two", None]
+    queries = spark.createDataFrame([(100 + i, t) for i, t in enumerate(asked)], "item int, text string")
+    brute = labels.crossJoin(queries.withColumnRenamed("text", "q")).where(P.label_covers("q", "text")).select("doc", "item")
+    got = similarity.covered_pairs(labels, "doc", "text", queries, "item", "text")
+    assert rows(got.select("doc", "item")) == rows(brute)
+    assert {r[2:] for r in rows(got) if r[1] == 102} == {(0, 0)} and (6, 103, 4, 3) in rows(got)

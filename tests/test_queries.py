@@ -53,3 +53,9 @@ def test_entry_point(spark):
 
     assert set(catalog.QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_pairs_of_every_remainder(spark, sf):
+    pairs = catalog.token_coverage_pairs(spark, sf).collect()
+    met = {(r.doc_id, r.item_id) for r in catalog.token_coverage(spark, sf).where("covered").collect()}
+    assert met < {(r.doc_id, r.item_id) for r in pairs} and any(r.doc_id % 40 != r.item_id % 40 for r in pairs)
