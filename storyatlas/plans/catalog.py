@@ -411,6 +411,24 @@ def ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", P.ordinal(F.col("o_orderkey") % 190 + 1).alias("ordinal"), P.digit_ordinals("raw").alias("digits"))
 
 
+_WORD_ORD = f"list_position({_WORDS}, w) || (CASE list_position({_WORDS}, w) WHEN 1 THEN 'st' WHEN 2 THEN 'nd' WHEN 3 THEN 'rd' ELSE 'th' END)"
+
+
+@_query(
+    f"""
+    WITH {_RAW}
+    SELECT o_orderkey, n || {_ORD} AS ordinal,
+      CASE o_orderkey % 7 WHEN 0 THEN n || {_ORD} || ' Street and ' || {_WORD_ORD} || ' Avenue' WHEN 1 THEN n || {_ORD} || ' Street between Park and Lexington'
+        WHEN 2 THEN {_WORD_ORD} || ' Avenue' WHEN 3 THEN n || {_ORD} || ' Street R train station' WHEN 4 THEN 'Fairway, ' || n || {_ORD} || ' Broadway'
+        WHEN 5 THEN 'Shop at ' || n || {_ORD} || ' and Park' ELSE 'Bleecker and Perry Streets' END AS digits
+    FROM raw"""
+)
+def ordinals_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordinals in digits for every kind of location query; ``ordinals`` shows two kinds of the seven."""
+    rows = _street_names(spark, sf_dir)
+    return rows.select("o_orderkey", P.ordinal(F.col("o_orderkey") % 190 + 1).alias("ordinal"), P.digit_ordinals("raw").alias("digits"))
+
+
 @_query(
     r"""
     WITH s AS (SELECT c_custkey, (['The Bronx', ' kings ', 'Queens', 'Staten Island', 'Hoboken'])[c_custkey % 5 + 1] AS raw FROM customer)

@@ -59,3 +59,9 @@ def test_pairs_of_every_remainder(spark, sf):
     pairs = catalog.token_coverage_pairs(spark, sf).collect()
     met = {(r.doc_id, r.item_id) for r in catalog.token_coverage(spark, sf).where("covered").collect()}
     assert met < {(r.doc_id, r.item_id) for r in pairs} and any(r.doc_id % 40 != r.item_id % 40 for r in pairs)
+
+
+def test_ordinals_of_every_kind(spark, sf):
+    got = {r.o_orderkey: r.digits for r in catalog.ordinals_all(spark, sf).collect()}
+    assert len(got) == spark.read.parquet(f"{sf}/orders.parquet").count()
+    assert {k % 7 for k in got} == set(range(7)) and set(got.values()) >= {"Bleecker and Perry Streets", "Fairway, 23rd Broadway"}
