@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stable, store, unused, without
+from .scratch import numbered, store, unused, without
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BLOCK_BYTES = 4096
@@ -74,9 +74,9 @@ def block_names(rows: DataFrame, block_bytes: int = BLOCK_BYTES, locator_bits: i
         named = store(pairs.join(uniq, same).select("_rid", "_pos", "_name"), "level")
 
 
-def _groups(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, locator_bits: int) -> DataFrame:
-    """_rid, _id, _sha, _keep (id and row number), group_size for each row of a stable ``docs``."""
-    rows = docs.select(F.col(id_col).alias("_id"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_text"), F.monotonically_increasing_id().alias("_rid"))
+def _groups(docs: DataFrame, row: str, id_col: str, text_col: str, block_bytes: int, locator_bits: int) -> DataFrame:
+    """_rid, _id, _sha, _keep (id and row number), group_size for each row of ``docs`` with the row number ``row``."""
+    rows = docs.select(F.col(id_col).alias("_id"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_text"), F.col(row).alias("_rid"))
     rows = rows.withColumn("_sha", F.sha2("_text", 256))
     named = store(block_names(rows, block_bytes, locator_bits), "identity")
     groups = named.groupBy("_level", "_name").agg(F.count("*").alias("group_size"), F.max(F.struct("_id", "_rid")).alias("_keep"))
@@ -91,7 +91,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     others, and of rows that repeat an id, one stays.  Other columns of ``docs``
     are ignored.  An empty table gives an empty result.
     """
-    return _groups(stable(docs), id_col, text_col, block_bytes, locator_bits).select(
+    row = unused(docs, "_row")
+    return _groups(numbered(docs, row), row, id_col, text_col, block_bytes, locator_bits).select(
         F.col("_id").alias("doc_id"),
         F.col("_keep._id").alias("keep_id"),
         F.col("group_size").cast("long").alias("group_size"),
@@ -102,7 +103,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs``, whole, that ``exact_dedup`` keeps."""
-    docs = stable(docs)
     row = unused(docs, "_row")
-    gone = _groups(docs, id_col, text_col, block_bytes, 64).where(F.col("_rid") != F.col("_keep._rid"))
-    return without(docs.withColumn(row, F.monotonically_increasing_id()), row, gone.select(F.col("_rid").alias(row)))
+    docs = numbered(docs, row)
+    gone = _groups(docs, row, id_col, text_col, block_bytes, 64).where(F.col("_rid") != F.col("_keep._rid"))
+    return without(docs, row, gone.select(F.col("_rid").alias(row)))

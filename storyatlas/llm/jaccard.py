@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import sized_broadcast, stable, store, unused, without
+from .scratch import sized_broadcast, numbered, store, unused, without
 from .tokens import chunks
 
 #: Sets that a block has, about.
@@ -282,15 +282,15 @@ def _links(top: int, bottom: int):
     return links
 
 
-def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, top: int = 80, bottom: int = 100) -> tuple[DataFrame, DataFrame]:
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, top: int = 80, bottom: int = 100, row: str | None = None) -> tuple[DataFrame, DataFrame]:
     """All rows (rid, doc_id, n_shingles, cid) and the links (a, b) between classes ``cid``.
 
     Rows with the same shingles are a class.  The links are a subset of all that
     connects what all of them connect: sets link when the intersection is
-    at least top / bottom of the union.
+    at least top / bottom of the union.  ``row`` is the column of row numbers, if there are any.
     """
-    docs = stable(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
-    rows = docs.withColumn("rid", F.monotonically_increasing_id())
+    named = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")]
+    rows = docs.select(*named, F.col(row).alias("rid")) if row else numbered(docs.select(*named), "rid")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
@@ -385,7 +385,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _components(docs: DataFrame, **options) -> DataFrame:
-    """rid, doc_id, n_shingles, component_id, kept; ``rid`` is the row's number in a stable ``docs``."""
+    """rid, doc_id, n_shingles, component_id, kept; ``rid`` is the row's number."""
     base, links = jaccard_links(docs, **options)
     roots = components(links)
     named = base.join(roots, F.col("cid") == F.col("node"), "left").select("rid", "doc_id", "n_shingles", F.coalesce("root", "cid").alias("_root"))
@@ -408,7 +408,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, top: int = 80, bottom: int = 100) -> DataFrame:
     """The rows of ``docs``, whole, of which ``jaccard_components`` keeps one in each component."""
-    docs = stable(docs)
-    found = _components(docs, id_col=id_col, text_col=text_col, width=width, top=top, bottom=bottom)
     row = unused(docs, "_row")
-    return without(docs.withColumn(row, F.monotonically_increasing_id()), row, found.where("NOT kept").select(F.col("rid").alias(row)))
+    docs = numbered(docs, row)
+    found = _components(docs, id_col=id_col, text_col=text_col, width=width, top=top, bottom=bottom, row=row)
+    return without(docs, row, found.where("NOT kept").select(F.col("rid").alias(row)))

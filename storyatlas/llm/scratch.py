@@ -43,15 +43,31 @@ def sized_broadcast(df: DataFrame, rows: int, limit: int = 1_000_000):
     return F.broadcast(df) if rows <= limit else df
 
 
-def stable(docs: DataFrame) -> DataFrame:
-    """``docs``, stored first unless it is a scan of files.
-
-    The rows of a scan come in the same order whenever it is read, so that
-    ``monotonically_increasing_id`` names a row in more than one job.
+def _located(docs: DataFrame) -> bool:
+    """Whether each row of ``docs`` is a row of a Parquet file, and of one only."""
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    lines = [line for line in plan.toString().splitlines() if line.strip()]
+    if not plan.deterministic() or not all(re.match(r"[\s:+-]*(Project|Filter|Relation .*parquet$)", line) for line in lines):
+        return False
+    if "Relation" not in lines[-1]:
+        return False
+    files = list(plan.collectLeaves().head().relation().location().inputFiles())
+    return len(files) == len(set(files))
+
+
+def numbered(docs: DataFrame, row: str) -> DataFrame:
+    """``docs`` with the column ``row``, a number that names a row in every job.
+
+    It is made of the row's file and its place there, which do not depend on how a scan is
+    split.  What is not a plain scan of Parquet files is stored first.
     """
-    plan = docs._jdf.queryExecution().optimizedPlan().toString()
-    plain = all(re.match(r"[\s:+-]*(Project|Filter|Relation)", line) for line in plan.splitlines() if line.strip())
-    return docs if plain else store(docs, "docs")
+    docs = docs if _located(docs) else store(docs, "docs")
+    meta = docs.metadataColumn("_metadata")
+    path, at, first = (unused(docs, f"{row}_{x}") for x in ("path", "at", "first"))
+    paths = sorted(r[0] for r in docs.select(meta["file_path"]).distinct().collect())  # one for each file
+    files = docs.sparkSession.createDataFrame([(p, n << 40) for n, p in enumerate(paths)], f"{path} string, {first} long")
+    placed = docs.select("*", meta["file_path"].alias(path), meta["row_index"].alias(at)).join(F.broadcast(files), path)
+    return placed.withColumn(row, F.col(first) + F.col(at)).drop(path, at, first)
 
 
 def unused(docs: DataFrame, stem: str) -> str:

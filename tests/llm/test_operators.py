@@ -245,3 +245,17 @@ def test_empty_tables(spark, labels, tmp_path):
     vocab = vocabulary("byte_bpe_50k.json")
     results = [exact_dedup(none), jaccard_components(none), stratified_shards(none, 3), mix_sources(none), pack_best_fit(none, vocab, 1, 64), token_shards(none, str(tmp_path / "e"), vocab, 0), scan_licenses(none), score_toxicity(none, labels), score_quality(none, labels), score_toxicity(none, labels.limit(0)), nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True))]
     assert [r.count() for r in results] == [0] * len(results)
+
+
+@pytest.mark.parametrize("drop", [drop_exact_duplicates, drop_near_duplicates])
+def test_rows_keep_their_numbers_when_splits_change(spark, tmp_path, drop):
+    """As when executors come or go between two jobs."""
+    texts = [" ".join(f"t{i % 20}w{j}" for j in range(20)) for i in range(40)]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(8).write.parquet(f"{tmp_path}/docs")
+    out = drop(spark.read.parquet(f"{tmp_path}/docs"))
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        got = [r.text for r in out.collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert sorted(got) == sorted(set(texts))
