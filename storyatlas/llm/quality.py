@@ -15,7 +15,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -240,10 +239,10 @@ def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """The rows of ``docs``, whole, that are not rejected; see ``score_quality``.  No shuffle."""
     model = fit_quality(docs, labels, id_col, text_col, label_col, fit_rows)
 
-    @F.pandas_udf("double")
-    def score(rows: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-        for frame in rows:
-            table = pa.RecordBatch.from_pandas(frame, preserve_index=False, schema=pa.schema([("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())]))
-            yield pd.Series(np.concatenate([model.score(c)[0] for c in chunks(iter([table]), most=MEASURED_BYTES)] or [np.zeros(0)]))
+    @F.arrow_udf("double")
+    def score(rows: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for structs in rows:
+            batch = pa.RecordBatch.from_struct_array(structs)
+            yield pa.array(np.concatenate([model.score(c)[0] for c in chunks(iter([batch]), most=MEASURED_BYTES)] or [np.zeros(0)]), pa.float64())
 
     return docs.where(score(F.struct(*_inputs(docs, text_col))) >= reject_below)

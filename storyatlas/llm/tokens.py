@@ -1,9 +1,9 @@
 """Token ids of whole texts by a public tokenizer, each distinct piece encoded once.
 
-A text is cut where its tokenizer cuts anyway (before a space), the pieces are
-dictionary-encoded column-wise, and only pieces not seen before reach the
-library's BPE model.  The ids equal those of ``Tokenizer.encode`` with
-``add_special_tokens=False`` and ``encode_special_tokens=True``.
+A text is cut where its tokenizer cuts anyway (at the strings of special tokens and
+before a space), the pieces are dictionary-encoded column-wise, and only pieces not
+seen before reach the library's BPE model.  The ids equal those of
+``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``.
 """
 
 from __future__ import annotations
@@ -19,10 +19,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-#: Distinct pre-tokens that a worker remembers before it starts afresh.
-REMEMBERED = 500_000
-#: Text that is encoded at once.
-CHUNK_BYTES = 8 << 20
+#: Distinct pre-tokens that a worker remembers before it starts afresh, and their bytes.
+REMEMBERED = 200_000
+REMEMBERED_BYTES = 8 << 20
+#: Text that is worked on at once.
+CHUNK_BYTES = 2 << 20
 
 #: White space of Unicode, for a matcher whose own class is of ASCII only.
 _BLANK = r"\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -69,7 +70,6 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -78,11 +78,16 @@ class PieceEncoder:
         lowers = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
         if not self.keeps_space and not (lowers and '"invert": true' in kinds):
             raise ValueError(f"no rule for cutting the texts of {path}")
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        if any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"no rule for the special tokens of {path}")
+        self.at_special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.chars = _byte_chars()
         self._forget()
 
     def _forget(self) -> None:
         self.place: dict[str, int] = {}
+        self.held = 0  # bytes of the pre-tokens in place
         self.flat = np.empty(0, np.uint32)
         self.ends = np.zeros(1, np.int64)  # ends[i + 1]: where the ids of pre-token i end in flat
 
@@ -103,6 +108,7 @@ class PieceEncoder:
             new_ids.extend(ids)
             new_sizes.append(len(ids))
             n = place[part] = len(place)
+            self.held += len(part)
             return n
 
         for i, text in enumerate(texts):
@@ -126,9 +132,24 @@ class PieceEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts one after another (uint32), and where each text begins and ends (one more than texts)."""
-        if len(self.place) > REMEMBERED:
-            self._forget()
         texts = pc.fill_null(texts, "").cast(pa.large_string())
+        odd = np.zeros(len(texts), bool)
+        for token in self.special:
+            odd |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if not odd.any():
+            return self._encode(texts)
+        # what stands between special tokens is encoded by itself
+        parts = [self.at_special.split(t.as_py()) if o else [t.as_py()] for t, o in zip(texts, odd.tolist(), strict=True)]
+        ids, bounds = self._encode(pa.array([x for p in parts for x in p[::2]], pa.large_string()))
+        last = np.cumsum([len(p) // 2 + 1 for p in parts])  # plain parts up to each text's end
+        after = np.setdiff1d(np.arange(last[-1]), last - 1)  # plain parts that a special token follows
+        ids = np.insert(ids, bounds[after + 1], np.array([self.special[x] for p in parts for x in p[1::2]], np.uint32))
+        return ids, np.concatenate([[0], bounds[last] + np.cumsum([len(p) // 2 for p in parts])])
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, for texts without special tokens."""
+        if len(self.place) > REMEMBERED or self.held > REMEMBERED_BYTES:
+            self._forget()
         if self.keeps_space:
             # a space after white space is no cut: such texts stay whole
             odd = pc.match_substring_regex(texts, rf"[{_BLANK}] ")

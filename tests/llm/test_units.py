@@ -1,26 +1,35 @@
 """Parts of the operators that need no session."""
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from storyatlas.llm import ann, jaccard, licenses, linear, mixing, packing, tokens, wavelet
 from storyatlas.llm.queries import vocabulary
 
-TEXTS = ["", " ", "  a", "a  b", "a   b\n  c d's it'S", "x\n y  z  w", "İSTANBUL ΣΑΣ é é ＡＢ １２ ①½", "tab\t\tq  \n", "<|endoftext|> a<|endoftext|>", "they're we'll I'd", "   lead", "trail   ", None, "a\x1c b\x85 c", "a\x00b c\x00"]
+TEXTS = ["", " ", "  a", "a  b", "a   b\n  c d's it'S", "x\n y  z  w", "İSTANBUL ΣΑΣ é é ＡＢ １２ ①½", "tab\t\tq  \n", "<|endoftext|> a<|endoftext|>", "hello <|endoftext|> world", "x <|startoftext|><|endoftext|>  y", "<|ENDOFTEXT|> <|endoftext", "  <|startoftext|>  ", "they're we'll I'd", "   lead", "trail   ", None, "a\x1c b\x85 c", "a\x00b c\x00"]
+
+
+@functools.cache
+def library(name):
+    """A tokenizer as the library reads it, untouched by the encoder."""
+    return Tokenizer.from_file(vocabulary(name))
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
-@given(st.lists(st.text(alphabet="ab Z'.,1é́ \n\t ß中İ", max_size=30), max_size=6))
-@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text(alphabet="ab Z'.,1é́ \n\t ß中İ", max_size=30) | st.lists(st.sampled_from(["<|endoftext|>", " ", "a b", "<|startoftext|>", "x's", "  "]), max_size=6).map("".join), max_size=6))
+@settings(max_examples=60, deadline=None)
 def test_ids_equal_the_library(name, more):
-    enc = tokens.encoder(vocabulary(name))
+    enc, plain = tokens.encoder(vocabulary(name)), library(name)
     texts = TEXTS + more
     ids, bounds = enc.encode(pa.array(texts, pa.string()))
     for i, t in enumerate(texts):
-        assert ids[bounds[i] : bounds[i + 1]].tolist() == enc.tokenizer.encode(t or "", add_special_tokens=False).ids, repr(t)
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == plain.encode(t or "", add_special_tokens=False).ids, repr(t)
 
 
 def test_encoder_forgets(monkeypatch):
