@@ -1,15 +1,21 @@
-"""Licence scans: identifier tags and notice phrases found by an Aho-Corasick automaton.
+"""Licence scans: identifier tags and notice phrases found by Aho-Corasick automata.
 
-Texts are lower-cased (A-Z) and reduced to words.  One pass of the automaton
-over the words finds notice phrases and the tag that announces a licence
-expression; the expression behind a tag is parsed by a shunting-yard parser for
-``and``, ``or`` and ``with``.
+Texts are lower-cased (A-Z) and reduced to words.  One pass of an automaton over
+the words finds notice phrases and tells whether a tag stands there that announces
+a licence expression.  Then a second automaton over the text itself finds the tags
+and the identifiers behind them, and a shunting-yard parser evaluates the
+expression: what is joined by ``and`` holds together, of what is joined by ``or``
+the less restrictive side is taken, and ``with`` adds an exception to a licence,
+which makes a copyleft licence a weak one.  The labels are those of the value.
+
+All work is linear in the text, but for merging small sets of names into larger ones.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -71,131 +77,208 @@ IDENTIFIERS = {
     "unlicense": "public-domain",
 }
 
-_TAG_TEXT = re.compile(r"spdx-license-identifier:[ \t]*([^\r\n]*)", re.I)
+# How much a licence restricts, by label; other names come last.
+TERMS = ("free", "permissive", "weak copyleft", "copyleft", "restricted", "unknown")
+_RESTRICTS = {
+    "public-domain": 0, "cc0": 0,
+    "mit": 1, "apache-2": 1, "bsd": 1, "isc": 1, "bsl-1": 1,
+    "lgpl-2.1": 2, "lgpl-3": 2, "mpl-2": 2, "epl-2": 2,
+    "gpl-2": 3, "gpl-3": 3, "agpl-3": 3, "cc-by-sa": 3,
+    "cc-by-nc": 4, "cc-by-nd": 4,
+}
+
+_TAG = "spdx-license-identifier:"
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+-]*")
+_NAME_CHARS = frozenset("abcdefghijklmnopqrstuvwxyz0123456789.+-")
 _BINDING = {"or": 1, "and": 2, "with": 3}
 
 
-def parse_expression(text: str) -> list[frozenset[str]] | None:
-    """The alternatives of a licence expression: each the set of licences that hold together.
+def restricts(label: str) -> int:
+    """The place of a label in TERMS; an exception behind ``-with-`` makes a copyleft licence a weak one."""
+    base, _, exception = label.partition("-with-")
+    rank = _RESTRICTS.get(base, len(TERMS) - 1)
+    return 2 if exception and rank == 3 else rank
+
+
+@dataclass
+class Value:
+    """What an expression comes to: its labels, how much they restrict, and all licences that it names."""
+
+    labels: set[str]
+    rank: int
+    named: set[str]
+
+    @staticmethod
+    def of(label: str) -> Value:
+        return Value({label}, restricts(label), {label})
+
+
+def _joined(a: set[str], b: set[str]) -> set[str]:
+    """Their union, in the larger of the two."""
+    if len(a) < len(b):
+        a, b = b, a
+    a |= b
+    return a
+
+
+def _applied(op: str, a: Value, b: Value) -> Value:
+    if op == "with":  # the exception is no licence itself
+        if len(a.labels) == 1:
+            return Value.of(f"{next(iter(a.labels))}-with-{next(iter(b.labels))}")
+        return a
+    if op == "and":
+        return Value(_joined(a.labels, b.labels), max(a.rank, b.rank), _joined(a.named, b.named))
+    taken = b if b.rank < a.rank else a
+    return Value(taken.labels, taken.rank, _joined(a.named, b.named))
 
-    ``with`` binds most, then ``and``, then ``or``.  Reading ends before the
-    first token that cannot follow, so prose behind the expression does no harm;
-    None if no operand was read.
+
+def evaluate(tokens: Iterator[str]) -> Value | None:
+    """The value of a licence expression of lower-case tokens, by a shunting-yard parser.
+
+    ``with`` binds most, then ``and``, then ``or``; operands of a kind group from the
+    left.  Reading ends before the first token that cannot follow, so prose behind the
+    expression does no harm, and an operator without a right side is dropped; None if
+    no operand was read.
     """
-    out: list[list[frozenset[str]]] = []
+    out: list[Value] = []
     stack: list[str] = []
     operand_next, depth = True, 0
 
-    def apply(op: str) -> None:
-        b, a = out.pop(), out.pop()
-        if op == "or":
-            out.append(list(dict.fromkeys([*a, *b])))
-        elif op == "and":
-            out.append(list(dict.fromkeys(x | y for x in a for y in b)))
-        else:  # an exception changes the licence before it, and is no licence itself
-            out.append([frozenset(f"{x} with {next(iter(y))}" for x in left for y in b) for left in a])
-
-    tokens = _TOKEN.findall(text)
-    pending = False
+    def apply() -> None:
+        right, left = out.pop(), out.pop()
+        out.append(_applied(stack.pop(), left, right))
+
     for token in tokens:
-        word = token.lower()
-        if operand_next:
-            if word == "(":
-                stack.append("(")
-                depth += 1
-            elif word in _BINDING or word == ")":
+        if operand_next and token == "(":
+            stack.append(token)
+            depth += 1
+        elif operand_next:
+            if token in _BINDING or token == ")":
                 break
-            else:
-                out.append([frozenset([IDENTIFIERS.get(word, IDENTIFIERS.get(word.rstrip("+"), word.rstrip("+.")))])])
-                operand_next = pending = False
-        elif word in _BINDING:
-            while stack and stack[-1] != "(" and _BINDING[stack[-1]] >= _BINDING[word]:
-                apply(stack.pop())
-            stack.append(word)
-            operand_next = pending = True
-        elif word == ")" and depth:
+            name = token.rstrip(".")
+            out.append(Value.of(IDENTIFIERS.get(name, IDENTIFIERS.get(name.rstrip("+"), name.rstrip("+")))))
+            operand_next = False
+        elif token in _BINDING:
+            while stack and _BINDING.get(stack[-1], 0) >= _BINDING[token]:
+                apply()
+            stack.append(token)
+            operand_next = True
+        elif token == ")" and depth:
             while stack[-1] != "(":
-                apply(stack.pop())
+                apply()
             stack.pop()
             depth -= 1
         else:
             break
-    if pending and stack:  # an operator without its right side
+    if operand_next:  # what is open at the end has no right side
         while stack and stack[-1] == "(":
             stack.pop()
         if stack:
             stack.pop()
     while stack:
-        op = stack.pop()
-        if op != "(" and len(out) > 1:
-            apply(op)
+        if stack[-1] == "(":
+            stack.pop()
+        else:
+            apply()
     return out[0] if out else None
 
 
-def expression_labels(text: str) -> set[str]:
-    parsed = parse_expression(text)
-    return {name.split(" with ")[0] for option in parsed or [] for name in option}
-
-
 class Scanner:
-    """Finds phrases by their words.  Built once per task."""
+    """Finds phrases by their words, and tags with their expressions.  Built once per task."""
 
     def __init__(self) -> None:
         import ahocorasick
 
-        self.automaton = ahocorasick.Automaton()
+        self.phrases = ahocorasick.Automaton()
         found: dict[str, tuple[str, bool]] = {p: (label, False) for p, label in NOTICE_PHRASES.items()} | {TAG: ("", False)}
         found |= {p: (label, True) for p, label in BASE_PHRASES.items()}
         for phrase, (label, base) in found.items():
-            self.automaton.add_word(f" {phrase} ", (label, base, len(phrase) + 2))
-        self.automaton.make_automaton()
+            self.phrases.add_word(f" {phrase} ", (label, base, phrase.count(" ") + 1))
+        self.phrases.make_automaton()
+        self.marks = ahocorasick.Automaton()
+        for mark in (_TAG, *IDENTIFIERS):
+            self.marks.add_word(mark, mark)
+        self.marks.make_automaton()
         # bytes: A-Z lower, 0-9 a-z and those of other letters kept, all else a blank
         self.table = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
+    def expressions(self, data: bytes) -> Iterator[Value]:
+        """The values of the expressions behind the tags of a text."""
+        text = data.lower().decode("latin-1")
+        known: dict[int, int] = {}  # where an identifier begins, and the end of the longest there
+        tags: list[int] = []
+        for end, mark in self.marks.iter(text):
+            if mark == _TAG:
+                tags.append(end + 1)
+            elif tags:
+                known[end + 1 - len(mark)] = end + 1
+        for at, upto in zip(tags, [*(t - len(_TAG) for t in tags[1:]), len(text)], strict=True):
+            ends = [e for e in (text.find("\n", at, upto), text.find("\r", at, upto)) if e >= 0]
+            value = evaluate(self._tokens(text, at, min(ends, default=upto), known))
+            if value is not None:
+                yield value
+
+    @staticmethod
+    def _tokens(text: str, at: int, upto: int, known: dict[int, int]) -> Iterator[str]:
+        """Identifiers as the automaton found them, and other words and brackets as they are."""
+        while True:
+            m = _TOKEN.search(text, at, upto)
+            if m is None:
+                return
+            end = known.get(m.start(), m.end())
+            at = end if end >= upto or text[end] not in _NAME_CHARS else m.end()
+            yield text[m.start() : at]
+
     def scan(self, text: str) -> tuple:
-        words = text.encode("utf-8", "surrogatepass").translate(self.table).split()
+        data = text.encode("utf-8", "surrogatepass")
+        words = data.translate(self.table).split()
         line = (b" " + b" ".join(words) + b" ").decode("latin-1")
         base: list[str] = []
         labels: set[str] = set()
-        starts: list[int] = []
+        first = last = None
         tagged = False
-        for end, (label, is_base, size) in self.automaton.iter(line):
+        seen = blanks = 0  # characters of the line up to here, and blanks among them
+        for end, (label, is_base, size) in self.phrases.iter(line):
             if is_base:
+                blanks += line.count(" ", seen, end + 1)
+                seen = end + 1
+                start = blanks - 1 - size
+                first, last = start if first is None else min(first, start), start if last is None else max(last, start)
                 base.append(label)
-                starts.append(line.count(" ", 0, end - size + 1))
             elif label:
                 labels.add(label)
             else:
                 tagged = True
+        named: set[str] = set()
         parsed = False
-        if tagged:
-            for m in _TAG_TEXT.finditer(text):
-                own = expression_labels(m[1])
-                parsed |= bool(own)
-                labels |= own
+        for value in self.expressions(data) if tagged else ():
+            parsed = True
+            labels |= value.labels
+            named |= value.named
         score = 1.0 if parsed else 0.9 if base else 0.7 if labels else 0.0
-        return (
-            len(words), len(base), min(starts) if starts else None, max(starts) if starts else None,
-            ",".join(sorted(set(base))), ",".join(sorted(labels | set(base))), score,
-        )
+        labels |= set(base)
+        terms = TERMS[max(map(restricts, labels))] if labels else None
+        return len(words), len(base), first, last, ",".join(sorted(set(base))), ",".join(sorted(labels)), score, ",".join(sorted(labels | named)), terms
 
 
-_OUT = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+_OUT = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, named_labels string, terms string"
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row.
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, named_labels, terms for each row.
 
-    NULL texts are empty and without licence (empty labels, score 0).  ``score``
-    is 1 where a tag's expression was parsed, .9 with a base phrase, .7 with
-    another notice.  Every row of the input, repeated or not, has one row.  No shuffle.
+    ``labels`` are those of the base phrases, of further notices and of the values of tagged
+    expressions; ``named_labels`` also has the sides of an ``or`` that were not taken; ``terms`` is the
+    most restrictive kind among the labels.  NULL texts are empty and without licence (empty labels,
+    score 0, NULL terms).  ``score`` is 1 where a tag's expression was parsed, .9 with a base phrase,
+    .7 with another notice.  Every row of the input, repeated or not, has one row; other columns are
+    ignored; an empty table gives an empty result.  No shuffle.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner()
-        types = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.float64()]
-        names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+        types = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.float64(), pa.string(), pa.string()]
+        names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "named_labels", "terms"]
         for batch in chunks(batches):
             rows = [scanner.scan(t) for t in pc.fill_null(batch.column("text"), "").to_pylist()]
             cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
