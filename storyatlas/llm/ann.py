@@ -5,6 +5,8 @@ query walks the tree best bin first: a priority queue holds the open nodes by
 an estimate of the largest inner product below them, and leaves are visited in
 that order.  How many are visited is calibrated: visits widen until sample
 queries, searched by brute force over all vectors, reach the wanted recall.
+Leaves that are neighbours in the tree share a cell, to which a query is sent once;
+there it meets the vectors of the leaves that it visits, and no others.
 
 Equal vectors are one point of the search.  A point keeps its k + 1 smallest
 ids, which is all that a list of k can need, so a vector that very many rows
@@ -128,12 +130,15 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), -1)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k largest of each row, ties to the smaller id.  ``ids`` ascend."""
-    if scores.shape[1] <= k:
-        return np.argsort(-scores, axis=1, kind="stable")
-    cut = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-    return np.array([np.flatnonzero(r >= c)[np.argsort(-r[r >= c], kind="stable")[:k]] for r, c in zip(scores, cut, strict=True)])
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> list[np.ndarray]:
+    """Columns of the k largest of each row, ties to the smaller id; none of -inf."""
+    k = min(k, scores.shape[1])
+    cut = np.partition(scores, -k, axis=1)[:, -k:].min(axis=1, keepdims=True)
+    out = []
+    for r, c in zip(scores, cut, strict=True):
+        at = np.flatnonzero((r >= c) & (r > -np.inf))
+        out.append(at[np.lexsort((ids[at], -r[at]))[:k]])
+    return out
 
 
 def _usable(vector: str) -> Column:
@@ -141,22 +146,32 @@ def _usable(vector: str) -> Column:
     return F.col(vector).isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(vector, lambda v: v != 0)
 
 
+_OUT = "query_id long, rank int, vec_id long, score double"
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", fit_rows: int = FIT_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: for each query row its ``k`` nearest others, as found.
 
     ``is_query`` is a condition on the rows.  Rows without id, and vectors that are NULL,
-    zero, of another length than most, or hold NULL or non-finite values take no part.  Rows with
-    the query's own id are not its candidates; of rows that repeat an id and a vector one takes part.
-    Ties go to the smaller id.  An empty table gives an empty result.
+    zero, or hold NULL or non-finite values take no part.  Vectors of different lengths have no inner
+    product: each length is searched by itself.  Rows with the query's own id are not its candidates;
+    of rows that repeat an id and a vector one takes part.  Ties go to the smaller id.  Other columns are
+    ignored.  An empty table gives an empty result.
     """
-    out = "query_id long, rank int, vec_id long, score double"
-    spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("query"))
     rows = rows.where(F.col("id").isNotNull() & _usable("v"))
-    common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if common is None:
-        return spark.createDataFrame([], out)
-    rows = store(rows.where(F.size("v") == common["n"]).withColumn("h", F.xxhash64("v")), "vectors")
+    lengths = sorted(r["n"] for r in rows.select(F.size("v").alias("n")).distinct().collect())  # a row for each length of vectors
+    found = [_nearest(rows.where(F.size("v") == n), k, recall, fit_rows) for n in lengths]
+    out = vectors.sparkSession.createDataFrame([], _OUT) if not found else found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _nearest(rows: DataFrame, k: int, recall: float, fit_rows: int) -> DataFrame:
+    """``nearest`` of ``rows`` (id, v, query), all of one length."""
+    spark = rows.sparkSession
+    rows = store(rows.withColumn("h", F.xxhash64("v")), "vectors")
     order = Window.partitionBy("h", "v").orderBy("id")
     first = rows.select("h", "v", "id").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k + 1)
     points = store(first.groupBy("h", "v").agg(F.array_sort(F.collect_set("id")).alias("ids")).withColumn("point", F.col("ids")[0]), "points")
@@ -165,7 +180,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0
     queries = store(points.join(asked.select("point").distinct(), "point", "left_semi").select("point", "h", "v"), "queries")
     total, n_queries = points.count(), queries.count()
     if not n_queries:
-        return spark.createDataFrame([], out)
+        return spark.createDataFrame([], _OUT)
 
     def sample(df: DataFrame, n: int, of: int, salt: int) -> DataFrame:
         return df.where(F.pmod(F.xxhash64("h", F.lit(salt)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, n / of)))
@@ -211,10 +226,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0
     plan = F.broadcast(spark.createDataFrame([(c, int(n), -(-asks.get(c, 0) // QUERY_ROWS)) for c, n in enumerate(blocks) if asks.get(c)], "cell long, blocks long, parts long"))
     where = F.broadcast(spark.createDataFrame([(i, int(c)) for i, c in enumerate(cell_of)], "leaf long, cell long"))
     one = index.join(where, "leaf").join(plan, "cell").select(
-        "cell", F.pmod(F.xxhash64("point"), "blocks").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), "point", "v", F.array("leaf").alias("visit")
+        "cell", F.pmod(F.xxhash64("point"), "blocks").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), "point", "v", F.array("leaf").alias("visit"), "leaf"
     )
-    other = walks.join(plan, "cell").select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("point"), "parts").alias("part"), F.lit(1).alias("side"), "point", "v", "visit")
-    dealt = one.unionByName(other).repartition("cell", "block", "part").sortWithinPartitions("cell", "block", "part", "side", "point")
+    other = walks.join(plan, "cell").select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("point"), "parts").alias("part"), F.lit(1).alias("side"), "point", "v", "visit", F.lit(-1).cast("long").alias("leaf"))
+    dealt = one.unionByName(other).repartition("cell", "block", "part").sortWithinPartitions("cell", "block", "part", "side", "leaf", "point")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, parts, homes = None, [], [], []
@@ -234,17 +249,20 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0
                     homes.append(visit[a:z].flatten().to_numpy())
                 elif ids:
                     names, x, home = np.concatenate(ids), np.concatenate(parts), np.concatenate(homes)
+                    edges = np.concatenate([[0], np.flatnonzero(np.diff(home)) + 1, [len(home)]])  # a leaf's vectors stand together
                     for s in range(a, z, 256):
                         e = min(s + 256, z)
                         open_ = np.zeros((e - s, leaves), bool)
                         lists = visit[s:e]
                         open_[np.repeat(np.arange(e - s), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()] = True
-                        score = np.where(open_[:, home], v[s:e] @ x.T, -np.inf)
+                        score = np.full((e - s, len(home)), -np.inf)
+                        for f, g in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                            who = np.flatnonzero(open_[:, home[f]])
+                            if len(who):
+                                score[who, f:g] = v[s:e][who] @ x[f:g].T
                         best = _best(score, names, k + 1)
                         row = np.repeat(np.arange(e - s), [len(r) for r in best])
-                        at = np.concatenate(list(best))
-                        seen = score[row, at] > -np.inf
-                        row, at = row[seen], at[seen]
+                        at = np.concatenate(best)
                         exact = np.einsum("ij,ij->i", v[s:e][row], x[at])
                         yield pa.RecordBatch.from_arrays([pa.array(point[s:e][row]), pa.array(names[at]), pa.array(exact)], ["q", "point", "score"])
 

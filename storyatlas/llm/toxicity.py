@@ -1,13 +1,14 @@
 """Toxicity scores by a counterfactually regularised linear classifier.
 
-The classifier sees which words a text has.  In labelled texts that mention a
-group of people, the term is swapped for others of the same kind, and the
-difference between the two scores is penalised: what is learned must not hang
-on the group that is named.
+The classifier sees which words a text has.  In labelled texts that mention
+groups of people, each term is swapped for others of the same kind, and the
+difference between the scores of the text and of its counterfactuals is penalised:
+what is learned must not hang on the group that is named.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .linear import calibrate, fit_logistic, rows_of, sigmoid
+from .linear import Rows, calibrate, fit_logistic, rows_of, sigmoid
 from .scratch import store
 from .tokens import chunks
 
@@ -33,8 +34,10 @@ IDENTITY_TERMS = {
 }
 #: Labelled rows that the classifier is fitted on at most, taken by hash of their id.
 FIT_ROWS = 24_000
-#: Words that the classifier may use at most: those whose counts differ most between the labels.
-FIT_WORDS = 50_000
+#: Counterfactuals of a text, each with other terms.
+SWAPS = 2
+#: A word is used if its share differs between the labels by this many standard errors, and it is not rarer than this.
+SIGNIFICANT, LEAST_TEXTS = 2.5, 3
 BITS = 22
 
 
@@ -64,8 +67,11 @@ def _distinct(codes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray
     return both % max(n, 1), np.searchsorted(both, np.arange(len(bounds)) * n)
 
 
+_FEATURES = "doc_id long, label int, words array<long>, swapped array<array<long>>"
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, label -> the hashed words of each text, and those of its counterfactual."""
+    """doc_id, label -> the hashed words of each text, and those of its counterfactuals (none without terms)."""
     kinds = {t: [u for u in terms if u != t] for terms in IDENTITY_TERMS.values() for t in terms}
     for batch in chunks(batches):
         codes, words, bounds = word_lists(batch.column("text"))
@@ -76,46 +82,61 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             mine = codes[cuts[i] : cuts[i + 1]]
             own.append(np.unique(hashed[mine]).tolist())
-            swapped = [_hash(kinds[words[c]][len(mine) % len(kinds[words[c]])]) if named[c] else hashed[c] for c in mine.tolist()] if named[mine].any() else []
-            other.append(np.unique(np.array(swapped, np.int64)).tolist())
-        cols = [batch.column("doc_id"), batch.column("label"), pa.array(own, pa.list_(pa.int64())), pa.array(other, pa.list_(pa.int64()))]
+            terms = mine[named[mine]]
+            fixed, turn = hashed[mine[~named[mine]]], sum(own[-1])  # the turn differs from text to text
+            other.append([])
+            for r in range(SWAPS if len(terms) else 0):
+                swapped = [_hash(kinds[words[c]][(turn + r) % len(kinds[words[c]])]) for c in terms.tolist()]
+                other[-1].append(np.unique(np.concatenate([fixed, swapped])).tolist())
+        cols = [batch.column("doc_id"), batch.column("label"), pa.array(own, pa.list_(pa.int64())), pa.array(other, pa.list_(pa.list_(pa.int64())))]
         yield pa.RecordBatch.from_arrays(cols, ["doc_id", "label", "words", "swapped"])
 
 
+#: Weights are whole multiples of this, so that sums do not depend on the order of the words.
+UNIT = 2.0**-32
+
+
 class ToxicityModel:
     """Weights by hashed word, a bias and a calibration; small enough for every task."""
 
     def __init__(self, keys: np.ndarray, weights: np.ndarray, bias: float, slope: float, offset: float):
-        self.keys, self.weights, self.bias, self.slope, self.offset = keys, weights, bias, slope, offset
+        self.keys, self.weights = keys, np.rint(weights / UNIT).astype(np.int64)
+        self.bias, self.slope, self.offset = bias, slope, offset
 
     def of_words(self, words: list[str]) -> np.ndarray:
         hashed = np.array([_hash(w) for w in words], np.int64)
         if not len(self.keys):
-            return np.zeros(len(words))
+            return np.zeros(len(words), np.int64)
         at = np.minimum(np.searchsorted(self.keys, hashed), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashed, self.weights[at], 0.0)
+        return np.where(self.keys[at] == hashed, self.weights[at], 0)
 
     def score(self, texts: pa.Array) -> np.ndarray:
         codes, words, bounds = word_lists(texts)
         codes, cuts = _distinct(codes, bounds, len(words))
-        upto = np.concatenate([[0.0], np.cumsum(self.of_words(words)[codes])])
-        return sigmoid(self.slope * (upto[cuts[1:]] - upto[cuts[:-1]] + self.bias) + self.offset)
+        upto = np.concatenate([[0], np.cumsum(self.of_words(words)[codes])])
+        return sigmoid(self.slope * ((upto[cuts[1:]] - upto[cuts[:-1]]) * UNIT + self.bias) + self.offset)
 
 
 def fit_toxicity(labelled: DataFrame, fit_rows: int = FIT_ROWS, pair_weight: float = 0.5) -> ToxicityModel:
     """Fit on ``labelled`` (doc_id, text, label), at most ``fit_rows`` of it.
 
     NULL labels are left out.  Without both labels the score is the labels' share.
+    The result depends on the rows alone, not on their order or partitions.
     """
-    total = labelled.where("label IS NOT NULL").count()
     rows = labelled.where("label IS NOT NULL")
+    total = rows.count()
     if total > fit_rows:
         rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * fit_rows / total))
-    got = rows.select("doc_id", "text", F.col("label").cast("int").alias("label")).mapInArrow(_features, "doc_id long, label int, words array<long>, swapped array<long>").toArrow()
+    got = rows.select("doc_id", "text", F.col("label").cast("int").alias("label")).mapInArrow(_features, _FEATURES).toArrow()
+    ids = pc.fill_null(got.column("doc_id"), -1).to_numpy()
     y = got.column("label").to_numpy().astype(float)
     words, swapped = got.column("words").combine_chunks(), got.column("swapped").combine_chunks()
-    flat = words.flatten().to_numpy()
-    bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy())]).astype(np.int64)
+    sizes = pc.list_value_length(words).to_numpy()
+    sums = np.add.reduceat(np.append(words.flatten().to_numpy(), 0), np.append(np.cumsum(sizes) - sizes, [0])[: len(y)]) * (sizes > 0) if len(y) else y
+    order = np.lexsort((sums, sizes, y, ids))
+    ids, y = ids[order], y[order]
+    lists = [words[int(i)].values.to_numpy() for i in order]
+    flat, bounds = np.concatenate(lists) if lists else np.zeros(0, np.int64), np.concatenate([[0], np.cumsum(sizes[order])])
     # words by how much their share differs between the labels, in standard errors
     keys, col = np.unique(flat, return_inverse=True)
     n1, n0 = max(y.sum(), 1.0), max(len(y) - y.sum(), 1.0)
@@ -124,28 +145,29 @@ def fit_toxicity(labelled: DataFrame, fit_rows: int = FIT_ROWS, pair_weight: flo
     share = all_ / (n1 + n0)
     z = (hit / n1 - (all_ - hit) / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
     named = np.isin(keys, [_hash(t) for terms in IDENTITY_TERMS.values() for t in terms])
-    use = np.flatnonzero(((np.abs(z) > 2.5) & (all_ >= 3)) | named)
-    use = np.sort(use[np.argsort(-np.abs(z[use]), kind="stable")[:FIT_WORDS]])
-    keys = keys[use]
+    keys = keys[((np.abs(z) > SIGNIFICANT) & (all_ >= LEAST_TEXTS)) | named]
 
-    def chosen(lists: list[np.ndarray]):
+    def chosen(lists: list[np.ndarray]) -> Rows:
         out = []
         for x in lists:
             at = np.minimum(np.searchsorted(keys, x), max(len(keys) - 1, 0))
             out.append(at[keys[at] == x] if len(keys) else x[:0])
         return rows_of(out)
 
-    lists = [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     x = chosen(lists)
-    has = [i for i, s in enumerate(swapped.to_pylist()) if s]
-    other = chosen([np.array(swapped[i].as_py(), np.int64) for i in has])
-    pairs = (x.take(np.array(has, np.int64)), other) if has else None
-    # out-of-fold scores for the calibration, then all rows
-    fold = np.arange(len(y)) % 4 == 3
-    inner, outer = np.flatnonzero(~fold), np.flatnonzero(fold)
-    w, b = fit_logistic(x.take(inner), y[inner], len(keys), l1=3e-4, pair_weight=pair_weight)
-    slope, offset = calibrate(x.take(outer).dot(w) + b, y[outer]) if len(outer) else (1.0, 0.0)
-    w, b = fit_logistic(x, y, len(keys), l1=3e-4, pairs=pairs, pair_weight=pair_weight)
+    pairs = [(i, np.array(s, np.int64)) for i, o in enumerate(order) for s in swapped[int(o)].as_py()]
+    of, other = np.array([i for i, _ in pairs], np.int64), chosen([s for _, s in pairs])
+
+    def fit(rows: np.ndarray) -> tuple[np.ndarray, float]:
+        own = np.flatnonzero(np.isin(of, rows))
+        both = (x.take(of[own]), other.take(own)) if len(own) else None
+        return fit_logistic(x.take(rows), y[rows], len(keys), l1=3e-4, pairs=both, pair_weight=pair_weight)
+
+    # calibrated by the scores that the same kind of model gives to rows that it was not fitted on
+    apart = np.array([zlib.crc32(str(i).encode()) % 5 == 4 for i in ids.tolist()], bool)
+    w, b = fit(np.flatnonzero(~apart))
+    slope, offset = calibrate(x.take(np.flatnonzero(apart)).dot(w) + b, y[apart])
+    w, b = fit(np.arange(len(y)))
     kept = np.flatnonzero(w)
     return ToxicityModel(keys[kept], w[kept], b, slope if slope > 0 else 1.0, offset)
 

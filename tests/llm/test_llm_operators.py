@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -198,6 +199,33 @@ def test_toxicity(docs, labels, spark, sf):
     assert sorted(map(tuple, scored.collect())) == sorted(map(tuple, flipped.collect()))
 
 
+def test_toxicity_does_not_hang_on_partitions_or_batches(spark, sf):
+    table, known = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    other = score_toxicity(table.repartition(7), known.repartition(5))
+    assert sorted(map(tuple, score_toxicity(table, known).collect())) == sorted(map(tuple, other.collect()))
+
+
+def test_toxicity_on_held_out_rows(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.1")
+    known = spark.read.parquet(f"{sf}/labels.parquet").where("toxic IS NOT NULL")
+    got = score_toxicity(spark.read.parquet(f"{sf}/documents.parquet"), known).where("held_out").join(known, "doc_id").groupBy("toxic", "predicted").count().collect()
+    n = {(r["toxic"], r["predicted"]): r["count"] for r in got}
+    assert n[1, 1] / (n[1, 1] + n[1, 0]) >= 0.85 and n[1, 1] / (n[1, 1] + n[0, 1]) >= 0.85 and n[0, 1] <= 0.02 * n[0, 0]
+
+
+def test_toxicity_swaps_terms(spark):
+    """Counterfactuals differ in nothing but the terms, and are of the same kind."""
+    from storyatlas.llm import toxicity as T
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([0, 1]), pa.array(["the muslim man spoke", "nobody spoke"])], ["doc_id", "label", "text"])
+    (out,) = T._features(iter([batch]))
+    own, (first, second) = set(out.column("words")[0].as_py()), map(set, out.column("swapped")[0].as_py())
+    kinds = [{T._hash(t) for t in T.IDENTITY_TERMS[k]} for k in ("religion", "gender")]
+    assert first != second and out.column("swapped")[1].as_py() == []
+    for other in (first, second):
+        assert own - other == {T._hash("muslim"), T._hash("man")} and [len((other - own) & k) for k in kinds] == [1, 1] and len(other) == 4
+
+
 def test_toxicity_is_learned(spark):
     words = ["alpha", "beta", "gamma", "delta", "omega"]
     rows = [(i, " ".join(words[(i + k) % 5] for k in range(4)) + (" vileword" if i % 5 == 0 else "") + (" muslim" if i % 10 == 0 else " christian" if i % 4 == 1 else "")) for i in range(600)]
@@ -224,7 +252,7 @@ def test_nearest(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 8)).astype(np.float32)
     x[40:160] = x[40]  # a hot vector
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1020, [0.0] * 8), (1040, [float("nan")] * 8), (1060, [1.0, 2.0]), (1080, [None] * 8), (None, x[3].tolist()), (5, x[5].tolist())]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1020, [0.0] * 8), (1040, [float("nan")] * 8), (1060, [1.0, 2.0]), (1100, [1.0, 0.0]), (1101, [1.0, 0.0]), (1080, [None] * 8), (None, x[3].tolist()), (5, x[5].tolist())]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = nearest(df, F.col("vec_id") % 20 == 0, k=20, recall=1.0).collect()
     hit = 0
@@ -237,7 +265,26 @@ def test_nearest(spark):
         hit += len({i for _, i, _ in own} & set(want))
         if 40 <= q < 160:
             assert [i for _, i, _ in own] == want
-    assert hit >= 0.95 * 20 * 20 and {r.query_id for r in got} == set(range(0, 400, 20))
+    assert hit >= 0.95 * 20 * 20 and {r.query_id for r in got} == {*range(0, 400, 20), 1060, 1100}
+    # vectors of another length are searched among themselves
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got if r.query_id >= 1000) == [(1060, 1, 1100, 1.0), (1060, 2, 1101, 1.0), (1100, 1, 1060, 1.0), (1100, 2, 1101, 1.0)]
+
+
+def test_nearest_reaches_its_recall(spark, sf):
+    """With the production parameters, against brute force over all vectors."""
+    table = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.1')}/embeddings.parquet")
+    got = nearest(table, F.col("vec_id") % 20 == 0, k=20).toPandas()
+    rows = table.where("embedding IS NOT NULL").orderBy("vec_id").toPandas()
+    x = np.array(rows["embedding"].tolist(), float)
+    ids = rows["vec_id"].to_numpy()
+    hits = asked = 0
+    for q, own in got.groupby("query_id"):
+        score = x @ x[ids == q][0]
+        order = [i for i in np.lexsort((ids, -score)) if ids[i] != q][:20]
+        asked += len(order)
+        hits += len(set(own["vec_id"]) & set(ids[order]))
+        assert np.allclose(own.sort_values("rank")["score"], [score[ids == i][0] for i in own.sort_values("rank")["vec_id"]], rtol=0, atol=1e-12)
+    assert set(got["query_id"]) == {i for i in ids if i % 20 == 0} and hits >= 0.9 * asked
 
 
 def test_empty_tables(spark, labels, tmp_path):
