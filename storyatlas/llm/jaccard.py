@@ -25,15 +25,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import sized_broadcast, numbered, store, unused, without
 from .tokens import chunks
 
-#: Sets that a block has, about.
+#: Sets that a block has, about, and their features.
 BLOCK = 512
+BLOCK_FEATURES = 1_000_000
 #: A signature in more blocks than this is compared only together with a second one.
 MANY_BLOCKS = 48
 #: Members beside one pivot that make a crowd.
@@ -282,6 +283,11 @@ def _links(top: int, bottom: int):
     return links
 
 
+def _parts(name: str, sets: Column, features: Column) -> Column:
+    """Into how many parts so many sets with so many features go."""
+    return F.greatest(F.ceil(sets / BLOCK), F.ceil(features / BLOCK_FEATURES)).alias(name)
+
+
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, top: int = 80, bottom: int = 100, row: str | None = None) -> tuple[DataFrame, DataFrame]:
     """All rows (rid, doc_id, n_shingles, cid) and the links (a, b) between classes ``cid``.
 
@@ -328,10 +334,10 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     signed = lone.mapInArrow(sign, "sig long, cid long").repartition(parts, "sig")
     shared = store(signed.mapInArrow(_grouped, "sig long, cid long, pivot long"), "shared")
     # a member is put beside the pivot with which it shares most, unless that is little, and so beside the pivot's pivot
-    need = base.where("rid = cid AND n_shingles > 0").select("cid", "need")
+    need = base.where("rid = cid AND n_shingles > 0").select("cid", "need", F.col("n_shingles").alias("weight"))
     best = shared.groupBy("cid", "pivot").agg(F.count("*").alias("n")).groupBy("cid").agg(F.max(F.struct("n", (-F.col("pivot")).alias("p"))).alias("m"))
     near = (F.col("m.n") * 4 >= F.greatest("need", F.lit(8))).alias("near")
-    best = store(best.join(need, "cid").select("cid", "need", (-F.col("m.p")).alias("first"), near), "best")
+    best = store(best.join(need, "cid").select("cid", "need", "weight", (-F.col("m.p")).alias("first"), near), "best")
     root = best.select("cid", F.when(F.col("near"), F.col("first")).otherwise(F.col("cid")).alias("root"))
     for _ in range(3):
         root = store(root, "roots")
@@ -339,15 +345,16 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         root = root.join(up, F.col("root") == F.col("_c"), "left").select("cid", F.coalesce("_up", "root").alias("root"))
     root = store(root, "roots")
     # one that shares little with any pivot is put beside a crowd if its pivot is in one
-    crowds = root.groupBy("root").agg(F.count("*").alias("size")).where(F.col("size") >= CROWD)
+    # (counts by key are stored before they are joined, so that both sides of the join are tables whose hot keys Spark splits)
+    crowds = store(root.groupBy("root").agg(F.count("*").alias("size")).where(F.col("size") >= CROWD), "crowds")
     crowded = root.join(crowds.select("root"), "root").select(F.col("cid").alias("first"), F.col("root").alias("crowd"))
-    best = best.join(root, "cid").join(crowded, "first", "left").select("cid", "need", F.when(F.col("near"), F.col("root")).otherwise(F.coalesce("crowd", "root")).alias("pivot"))
+    best = best.join(root, "cid").join(crowded, "first", "left").select("cid", "need", "weight", F.when(F.col("near"), F.col("root")).otherwise(F.coalesce("crowd", "root")).alias("pivot"))
     best = store(best, "beside")
-    sizes = best.groupBy("pivot").agg(F.count("*").alias("size"))
-    block = F.xxhash64("pivot", F.pmod(F.xxhash64("cid"), F.ceil(F.col("size") / BLOCK)))
-    members = store(best.join(sizes, "pivot").select("cid", "need", block.alias("block")), "members")
+    sizes = store(best.groupBy("pivot").agg(_parts("size", F.count("*"), F.sum("weight"))), "sizes")
+    block = F.xxhash64("pivot", F.pmod(F.xxhash64("cid"), "size"))
+    members = store(best.join(sizes, "pivot").select("cid", "need", "weight", block.alias("block")), "members")
     n = members.count()
-    blocks = store(members.groupBy("block").agg(F.min("need").alias("need"), F.count("*").alias("size")), "blocks")
+    blocks = store(members.groupBy("block").agg(F.min("need").alias("need"), F.count("*").alias("size"), F.sum("weight").alias("weight")), "blocks")
     placed = shared.select("sig", "cid").join(sized_broadcast(members.select("cid", "block"), n, IDS), "cid")
     by_sig = store(placed.select("sig", "block").distinct().withColumn("n", F.count("*").over(Window.partitionBy("sig"))).where("n > 1"), "by-sig")
     few = by_sig.where(F.col("n") <= MANY_BLOCKS).select("sig", "block", F.lit(False).alias("two"))
@@ -355,8 +362,9 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     many = by_sig.where(F.col("n") > MANY_BLOCKS).select("sig").distinct()
     many = store(many, "many")
     common = placed.join(sized_broadcast(many, many.count(), IDS), "sig").groupBy("cid", "block").agg(F.array_sort(F.collect_set("sig")).alias("sigs")).where(F.size("sigs") > 1)
-    pair = F.expr("flatten(transform(sigs, (x, i) -> transform(slice(sigs, i + 2, size(sigs)), y -> xxhash64(x, y))))")
-    two = common.select(F.explode(pair).alias("sig"), "block").distinct().withColumn("two", F.lit(True))
+    # a row for each first signature of a pair, so that no row holds all pairs of a long set
+    firsts = common.select("block", "sigs", F.posexplode("sigs").alias("i", "x")).select("block", "x", F.expr("slice(sigs, i + 2, size(sigs))").alias("ys"))
+    two = firsts.select(F.explode("ys").alias("y"), "x", "block").select(F.xxhash64("x", "y").alias("sig"), "block").distinct().withColumn("two", F.lit(True))
     keys = store(few.unionByName(two), "keys")
     left, right = keys.select("sig", "two", F.col("block").alias("b1")), keys.select("sig", "two", F.col("block").alias("b2"))
     crossed = left.join(right, ["sig", "two"]).where("b1 < b2").groupBy("b1", "b2").agg(F.count_if(~F.col("two")).alias("few"), F.count_if("two").alias("pairs"))
@@ -366,11 +374,13 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         crossed = crossed.join(blocks.select(F.col("block").alias(side), F.col("need").alias(f"need_{side}")), side)
     crossed = crossed.where("most >= need_b1 AND most >= need_b2").select("b1", "b2")
     # the smaller block of a pair is a guest of the larger one; guests of a home come in parties of about a block
-    size = blocks.select("block", "size")
-    pairs = crossed.join(size.select(F.col("block").alias("b1"), F.col("size").alias("s1")), "b1").join(size.select(F.col("block").alias("b2"), F.col("size").alias("s2")), "b2")
-    first = (F.col("s1") > F.col("s2")) | ((F.col("s1") == F.col("s2")) & (F.col("b1") < F.col("b2")))
-    guests = store(pairs.select(F.when(first, F.col("b1")).otherwise(F.col("b2")).alias("home"), F.when(first, F.col("b2")).otherwise(F.col("b1")).alias("guest"), F.least("s1", "s2").alias("size")), "guests")
-    parties = guests.groupBy("home").agg(F.ceil(F.sum("size") / BLOCK).alias("parties"))
+    size = blocks.select("block", "size", "weight")
+    pairs = crossed.join(size.toDF("b1", "s1", "w1"), "b1").join(size.toDF("b2", "s2", "w2"), "b2")
+    first = F.struct("w1", "b1") > F.struct("w2", "b2")
+    guest = F.when(first, F.struct(F.col("b1").alias("home"), F.col("b2").alias("guest"), F.col("s2").alias("size"), F.col("w2").alias("weight")))
+    guest = guest.otherwise(F.struct(F.col("b2").alias("home"), F.col("b1").alias("guest"), F.col("s1").alias("size"), F.col("w1").alias("weight")))
+    guests = store(pairs.select(guest.alias("x")).select("x.*"), "guests")
+    parties = store(guests.groupBy("home").agg(_parts("parties", F.sum("size"), F.sum("weight"))), "party-sizes")
     guests = store(guests.join(parties, "home").select("home", "guest", F.pmod(F.xxhash64("guest"), "parties").cast("long").alias("party")), "parties")
     alone = blocks.where("size > 1").select(F.col("block").alias("home"), F.lit(-1).cast("long").alias("party"))
     used = alone.select(F.col("home").alias("block")).union(guests.select("home")).union(guests.select("guest")).distinct()

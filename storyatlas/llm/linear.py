@@ -97,3 +97,24 @@ def calibrate(score: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float,
         size = np.abs(d).max()
         a, b = a - d[0] * min(1, 2 / size) if size else a, b - d[1] * min(1, 2 / size) if size else b
     return float(a), float(b)
+
+
+def stacked(scores: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 100) -> tuple[np.ndarray, float]:
+    """Slopes of several scores (columns), none below 0, and an offset: logistic regression by Newton's method.
+
+    A score whose slope comes out below 0 is left out.
+    """
+    used = np.arange(scores.shape[1])
+    while True:
+        x = np.column_stack([scores[:, used], np.ones(len(y))])
+        w, keep = np.zeros(len(used) + 1), np.append(np.full(len(used), ridge), 1e-6)
+        for _ in range(steps):
+            p = sigmoid(x @ w)
+            d = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(keep), x.T @ (p - y) + keep * w)
+            w = w - d * min(1.0, 2 / max(np.abs(d).max(), 1e-12))
+        if not len(used) or w[:-1].min() >= 0:
+            break
+        used = used[w[:-1] > 0]
+    slopes = np.zeros(scores.shape[1])
+    slopes[used] = w[:-1]
+    return slopes, float(w[-1])

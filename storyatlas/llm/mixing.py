@@ -149,7 +149,7 @@ def _seeded(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col:
         "_key": F.to_json(F.struct(members.alias("k")), {"ignoreNullFields": "false"}),
         "_members": members,
         "_tie": F.crc32(F.coalesce(F.col(text_col), F.lit(""))),
-        "_h": F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 1),
+        "_h": F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.crc32(F.coalesce(F.col(text_col), F.lit("")))), 1),  # the text too, as ids may repeat
     }
 
 

@@ -1,19 +1,23 @@
 """Token-id files: a wavelet matrix per shard.
 
 A shard holds the ids of consecutive documents, each closed by an end id.  Its
-bytes are a header, then one bit-plane per bit of the largest id, most
-significant first.  Each plane has the bits of the ids in that plane's order
-(zeros of the plane above before its ones) and, for every 512 bits, the count
-of ones before them, so that access, counting (rank) and finding (select) read
-the compressed bytes alone.
-
-Layout, little-endian: b"WVM1", u32 number of planes, u64 number of ids; for
-each plane: u64 number of zeros, u32 counts of ones, bits padded to 64 bytes.
+bytes are a header, one bit-plane per bit of the largest id, most significant
+first, and a plane that marks the last id of each document, as an end id may occur
+inside texts as well.  Each plane of ids has the bits of the ids in that plane's
+order (zeros of the plane above before its ones).  Every plane has for each 512
+bits the count of ones before them, so that access, counting (rank), finding
+(select) and the bounds of documents read the compressed bytes alone.
+
+Layout, little-endian: b"WVM2", u32 number of planes, u64 number of ids, u64 number of
+documents; for each plane, and last for the document ends: u64 number of zeros, u32 counts
+of ones, bits padded to 64 bytes; then the document ids, packed by zlib: i64 each, and
+a byte each that is 1 for a NULL.
 """
 
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,44 +27,80 @@ from pyspark.sql import functions as F
 
 from .tokens import crc_of, encoded
 
-MAGIC = b"WVM1"
+MAGIC = b"WVM2"
 BLOCK = 512
 #: Ids after which a shard is closed; bounds the memory of writers and readers.
 SHARD_IDS = 1 << 21
+_HEADER = "<4sIQQ"
 
 
-def pack(ids: np.ndarray) -> bytes:
-    """The bytes of a shard."""
+def _plane(bit: np.ndarray) -> tuple[int, list[bytes]]:
+    """The number of zeros and the bytes of a plane."""
+    packed = np.packbits(bit, bitorder="little")
+    packed = np.concatenate([packed, np.zeros(-len(packed) % 64, np.uint8)])
+    ones = np.bitwise_count(packed.view(np.uint64)).reshape(-1, 8).sum(axis=1, dtype=np.int64)
+    before = np.concatenate([[0], np.cumsum(ones)[:-1]]) if len(ones) else np.zeros(0, np.int64)
+    zeros = len(bit) - int(ones.sum())
+    return zeros, [struct.pack("<Q", zeros), before.astype("<u4").tobytes(), packed.tobytes()]
+
+
+def pack(ids: np.ndarray, sizes: np.ndarray | None = None, names: list | None = None) -> bytes:
+    """The bytes of a shard: ``ids`` of documents one after another, their ``sizes`` (none is 0) and ids ``names``."""
     v = np.ascontiguousarray(ids, np.uint32)
+    sizes = np.zeros(0, np.int64) if sizes is None else np.asarray(sizes, np.int64)
     planes = max(1, int(v.max()).bit_length()) if len(v) else 1
     v = v.astype(np.uint16) if planes <= 16 else v
-    out = [MAGIC, struct.pack("<IQ", planes, len(v))]
+    out = [struct.pack(_HEADER, MAGIC, planes, len(v), len(sizes))]
+    last = np.zeros(len(v), bool)
+    last[np.cumsum(sizes) - 1] = True
     for level in range(planes - 1, -1, -1):
         bit = ((v >> level) & 1).astype(bool)
-        packed = np.packbits(bit, bitorder="little")
-        packed = np.concatenate([packed, np.zeros(-len(packed) % 64, np.uint8)])
-        ones = np.bitwise_count(packed.view(np.uint64)).reshape(-1, 8).sum(axis=1, dtype=np.int64)
-        before = np.concatenate([[0], np.cumsum(ones)[:-1]]) if len(ones) else np.zeros(0, np.int64)
-        out += [struct.pack("<Q", len(v) - int(ones.sum())), before.astype("<u4").tobytes(), packed.tobytes()]
+        out += _plane(bit)[1]
         v = np.concatenate([v[~bit], v[bit]])
-    return b"".join(out)
+    out += _plane(last)[1]
+    names = [None] * len(sizes) if names is None else names
+    return b"".join([*out, zlib.compress(np.array([n or 0 for n in names], "<i8").tobytes() + bytes(n is None for n in names), 1)])
 
 
 class WaveletMatrix:
-    """Reads a shard's bytes: ``access``, ``rank``, ``select``, ``ids``."""
+    """Reads a shard's bytes: ``access``, ``rank``, ``select``, ``ids``; ``document``, ``sizes``, ``names``."""
 
     def __init__(self, data: bytes):
-        if data[:4] != MAGIC:
+        magic, planes, self.n, self.documents = struct.unpack_from(_HEADER, data)
+        if magic != MAGIC:
             raise ValueError("not a token shard")
-        planes, self.n = struct.unpack_from("<IQ", data, 4)
-        at, blocks = 16, -(-self.n // BLOCK)
+        at, blocks = struct.calcsize(_HEADER), -(-self.n // BLOCK)
         self.planes = []
-        for _ in range(planes):
+        for _ in range(planes + 1):
             (zeros,) = struct.unpack_from("<Q", data, at)
             before = np.frombuffer(data, "<u4", blocks, at + 8)
             bits = np.frombuffer(data, np.uint8, blocks * 64, at + 8 + 4 * blocks)
             self.planes.append((zeros, before, bits))
             at += 8 + 68 * blocks
+        self.ends = self.planes.pop()
+        self._names = memoryview(data)[at:]
+
+    def names(self) -> list:
+        """The ids of the documents."""
+        data = zlib.decompress(self._names)
+        return [None if null else n for n, null in zip(np.frombuffer(data, "<i8", self.documents).tolist(), data[8 * self.documents :], strict=True)]
+
+    def _end(self, k: int) -> int:
+        """Where the k-th document ends (after its last id), from the counts of its plane and one block's bits."""
+        _, before, bits = self.ends
+        block = int(np.searchsorted(before, k, "right")) - 1
+        ones = np.flatnonzero(np.unpackbits(bits[block * 64 : block * 64 + 64], bitorder="little"))
+        return block * BLOCK + int(ones[k - int(before[block])]) + 1
+
+    def document(self, k: int) -> tuple[int, int]:
+        """Where the k-th document begins and ends."""
+        if not 0 <= k < self.documents:
+            raise IndexError(k)
+        return self._end(k - 1) if k else 0, self._end(k)
+
+    def sizes(self) -> np.ndarray:
+        """The sizes of all documents."""
+        return np.diff(np.flatnonzero(np.unpackbits(self.ends[2], bitorder="little", count=self.n)) + 1, prepend=0)
 
     def _ones(self, plane: int, i: int) -> int:
         """Ones among the first i bits."""
@@ -130,17 +170,19 @@ class WaveletMatrix:
         return order
 
 
-_SHARD = "part int, shard int, doc_ids array<long>, lengths array<long>, n_ids long, matrix binary"
+_SHARD = "part int, shard int, n_ids long, matrix binary"
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS) -> None:
     """Encode every whole text, close it with ``end_id`` and write shards in ascending id order to ``path``.
 
     NULL texts are empty; NULL ids come first; rows that repeat an id stay
-    neighbours.  One range shuffle by id; a task writes its shards one by one.
+    neighbours.  One range shuffle by id (and text, so that a repeated id can go to several
+    tasks); a task writes its shards one by one.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.length("text"), F.xxhash64("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    order = ["doc_id", F.octet_length("text"), F.xxhash64("text")]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -155,8 +197,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
             ids = np.concatenate([h[2] for h in held])
             held.clear()
             shard += 1
-            cols = [pa.array([part], pa.int32()), pa.array([shard - 1], pa.int32()), pa.array([names], pa.list_(pa.int64())), pa.array([sizes.tolist()], pa.list_(pa.int64())), pa.array([len(ids)], pa.int64()), pa.array([pack(ids)], pa.binary())]
-            return pa.RecordBatch.from_arrays(cols, ["part", "shard", "doc_ids", "lengths", "n_ids", "matrix"])
+            cols = [pa.array([part], pa.int32()), pa.array([shard - 1], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([pack(ids, sizes, names)], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, ["part", "shard", "n_ids", "matrix"])
 
         waiting = 0
         for batch, ids, bounds in encoded(batches, tokenizer):
@@ -194,14 +236,14 @@ def read_shards(shards: DataFrame) -> DataFrame:
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids = WaveletMatrix(batch.column("matrix")[i].as_py()).ids()
-                sizes = np.array(batch.column("lengths")[i].as_py(), np.int64)
+                shard = WaveletMatrix(batch.column("matrix")[i].as_py())
+                ids, sizes = shard.ids(), shard.sizes()
                 ends = np.cumsum(sizes)
                 n = len(sizes)
                 cols = [
                     pa.array(np.full(n, batch.column("part")[i].as_py()), pa.int32()),
                     pa.array(np.full(n, batch.column("shard")[i].as_py()), pa.int32()),
-                    pa.array(batch.column("doc_ids")[i].as_py(), pa.int64()),
+                    pa.array(shard.names(), pa.int64()),
                     pa.array(ends - sizes, pa.int64()),
                     pa.array(sizes, pa.int64()),
                     pa.array([crc_of(ids[e - s : e]) for s, e in zip(sizes, ends, strict=True)], pa.int64()),

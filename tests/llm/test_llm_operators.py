@@ -237,17 +237,61 @@ def test_toxicity_is_learned(spark):
     assert out[2] < 0.3 and out[6] < 0.3 and out[10] > 0.3
 
 
-def test_quality(docs, labels, spark, sf):
+def test_quality(docs, labels):
     assert score_quality(docs, labels).count() == len(ROWS)
     assert keep_quality(docs, labels.where("doc_id IS NULL")).count() == len(ROWS)
-    sf = sf.replace("sf0.001", "sf0.01")  # enough labels of both kinds
+
+
+def test_quality_on_rows_kept_apart(spark, sf):
+    """Figures of rows that the model was not fitted on, and of labels that it never saw."""
+    from storyatlas.llm.quality import _apart
+
+    sf = sf.replace("sf0.001", "sf0.1")
     table, known = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    got = score_quality(table, known).join(known, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()
-    share = {r["quality"]: r["k"] for r in got}
-    assert share[1] >= 0.97 and share.get(0, 0) <= 0.4
+    unseen = F.pmod(F.xxhash64("doc_id", F.lit(99)), F.lit(5)) == 0
+    scored = score_quality(table, known.where(~unseen)).join(known, "doc_id").select("quality", "kept", unseen.alias("unseen"), _apart("doc_id").alias("apart"))
+    for rows in (scored.where("unseen"), scored.where("apart AND NOT unseen")):
+        share = {r["quality"]: r["k"] for r in rows.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
+        assert share[1] >= 0.985 and share[0] <= 0.1
     assert keep_quality(table, known).count() == score_quality(table, known).where("kept").count()
 
 
+def test_quality_does_not_hang_on_partitions_or_batches(spark, sf):
+    table, known = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    assert sorted(map(tuple, score_quality(table, known).collect())) == sorted(map(tuple, score_quality(table.repartition(7), known.repartition(5)).collect()))
+
+
+def test_quality_views_teach_each_other(spark):
+    """Labelled rows show the content view one kind of junk; the source tells the other, which only rows without label have."""
+    rng = np.random.default_rng(4)
+    word = lambda letters: "".join(rng.choice(list(letters), 6))
+    rows = []
+    for i in range(1200):
+        kind = i % 3  # good, junk of the labelled kind, junk without label
+        junk = "xq" if kind == 1 else "zw"
+        text = " ".join(word("abcdefghij") if kind == 0 or k % 2 else word(junk) for k in range(30))
+        rows.append((i, text, "en", f"good{i % 5}" if kind == 0 else f"junk{i % 2}", len(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = docs.where("doc_id % 3 < 2").select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("quality"))
+    worst = {}
+    for rounds in (0, 2):
+        got = score_quality(docs.select("doc_id", "text", "lang", "source", "n_chars"), labels, rounds=rounds).where("doc_id % 3 = 2")
+        worst[rounds] = got.agg(F.avg("content_score")).first()[0]
+    assert worst[2] < 0.5 * worst[0]
+
+
+def test_long_texts(spark):
+    """Texts of some MB, among short ones, in every operator that reads whole texts."""
+    big = " ".join(f"w{i % 5000}" for i in range(400_000))
+    rows = [(1, big, "en", "a", len(big)), (2, big + " x", "en", "a", len(big) + 2), (3, "under the mit license " * 100_000, "en", "b", 0), (4, "short", "en", "b", 5), (5, "x" * 3_000_000, "en", "b", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, 1, 0), (4, 0, 1), (5, 1, 1)], "doc_id long, quality int, toxic int")
+    assert score_quality(docs, labels).count() == 5 and score_toxicity(docs, labels).count() == 5
+    assert {r.doc_id: r.n_base for r in scan_licenses(docs).collect()} == {1: 0, 2: 0, 3: 100_000, 4: 0, 5: 0}
+    assert {r.doc_id: r.group_size for r in exact_dedup(docs).collect()} == dict.fromkeys(range(1, 6), 1)
+    assert {r.doc_id: r.component_id for r in jaccard_components(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 8)).astype(np.float32)

@@ -53,6 +53,18 @@ def test_wavelet(ids, token):
     assert w.rank(token, len(ids)) == ids.count(token) and w.select(token, ids.count(token)) == -1
 
 
+@given(st.lists(st.lists(st.integers(0, 3), min_size=1, max_size=900), max_size=8), st.data())
+@settings(max_examples=40, deadline=None)
+def test_shard_tells_its_documents(docs, data):
+    """End ids occur inside documents too."""
+    names = [data.draw(st.none() | st.integers(-(2**63), 2**63 - 1)) for _ in docs]
+    w = wavelet.WaveletMatrix(wavelet.pack(np.array([x for d in docs for x in d], np.uint32), np.array([len(d) for d in docs], np.int64), names))
+    assert w.sizes().tolist() == [len(d) for d in docs] and w.names() == names
+    for k, d in enumerate(docs):
+        a, b = w.document(k)
+        assert b - a == len(d) and [w.access(i) for i in (a, b - 1)] == [d[0], d[-1]]
+
+
 @given(st.lists(st.tuples(st.integers(1, 9), st.booleans()), max_size=60), st.integers(1, 5))
 @settings(max_examples=150, deadline=None)
 def test_sweep_gives_each_piece_its_best_fit(rows, tasks):
