@@ -1,4 +1,4 @@
-"""Text rules: all but title case are JVM expressions.
+"""Text rules, all as JVM expressions.
 
 Python's notion of white space and word characters is spelled out as Unicode
 classes, as Java's short classes are of ASCII only.
@@ -6,7 +6,8 @@ classes, as Java's short classes are of ASCII only.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +22,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` has it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip_chars(c: Column | str, chars: str) -> Column:
     """Drop any of ``chars`` from both ends."""
     return F.btrim(_col(c), F.lit(chars))
@@ -83,13 +89,10 @@ def is_all_caps(c: Column | str) -> Column:
     return _col(c).rlike(r"\p{L}") & ~_col(c).rlike(r"[\p{L}&&[^\p{Lu}]]")
 
 
-def _title(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if v is None else v.title())
-
-
 def title_case(c: Column | str) -> Column:
-    """Upper case after every non-letter, lower case else; ``initcap`` looks at blanks only."""
-    return F.pandas_udf(_title, "string")(_col(c))
+    """Upper case after every character without case, lower case else; ``initcap`` looks at blanks only."""
+    runs = F.split(_col(c), r"(?<=[^\p{Lu}\p{Ll}\p{Lt}])(?=[\p{Lu}\p{Ll}\p{Lt}])")
+    return F.array_join(F.transform(runs, lambda r: F.initcap(r)), "")
 
 
 def smart_case(c: Column | str) -> Column:

@@ -2,21 +2,26 @@
 
 A region is an array of rings, a ring an array of struct(x, y); a point is
 inside if a ray crosses the rings an odd number of times, which also holds for
-parts and holes.  A line is an array of paths.  All is JVM-side but clipping.
+parts and holes.  A line is an array of paths.  Work on rows is JVM-side; only the
+dimensions, regions and lines, are prepared in Python: cut into trapezoids, or clipped.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RINGS = "array<array<struct<x:double,y:double>>>"
-#: Darts that are thrown at a region before its first corner's triangle is used.
-DARTS = 64
+#: Pieces of regions that are shipped to every task at most; more are joined by shuffle.
+SHIPPED = 500_000
+#: Share of a piece's sides that points keep away from its edges.
+_MARGIN = 1e-9
 METRES_A_DEGREE = 111_000.0
 
 
@@ -46,17 +51,103 @@ def bounds(rings: Column) -> Column:
     return F.struct(F.array_min(xs).alias("minx"), F.array_min(ys).alias("miny"), F.array_max(xs).alias("maxx"), F.array_max(ys).alias("maxy"))
 
 
-def point_in_region(rings: Column, seed: int, *parts: Column) -> Column:
-    """A uniform point inside the rings, as struct(x, y): the first dart that hits."""
-    box = bounds(rings)
-    dart = lambda i: F.struct(
-        (box["minx"] + uniform(seed, *parts, i, F.lit(0)) * (box["maxx"] - box["minx"])).alias("x"),
-        (box["miny"] + uniform(seed, *parts, i, F.lit(1)) * (box["maxy"] - box["miny"])).alias("y"),
-    )
-    hits = F.filter(F.transform(F.sequence(F.lit(0), F.lit(DARTS - 1)), dart), lambda p: inside(p["x"], p["y"], rings))
-    corner = F.slice(F.get(rings, F.lit(0)), 1, 3)
-    middle = lambda c: F.aggregate(corner, F.lit(0.0), lambda a, p: a + p[c]) / F.size(corner)
-    return F.coalesce(F.try_element_at(hits, F.lit(1)), F.struct(middle("x").alias("x"), middle("y").alias("y")))
+_PIECE = "struct<y0:double,y1:double,l0:double,l1:double,r0:double,r1:double>"
+PIECES = f"piece long, pieces long, share double, own {_PIECE}, other {_PIECE}"
+
+
+def trapezoids(rings: list) -> np.ndarray:
+    """Rows (y0, y1, left and right x at y0 and y1): what is inside the rings, cut at the heights of their corners."""
+    pairs = [(a["x"], a["y"], b["x"], b["y"]) for ring in rings for a, b in zip(ring[:-1], ring[1:], strict=True)]
+    edges = np.array([e for e in pairs if e[1] != e[3]], float).reshape(-1, 4)
+    edges = np.where((edges[:, 1] > edges[:, 3])[:, None], edges[:, [2, 3, 0, 1]], edges)  # upwards
+    heights, out = np.unique(edges[:, [1, 3]]), []
+    slabs = list(zip(heights[:-1], heights[1:], strict=True))
+    while slabs:
+        low, high = slabs.pop()
+        e = edges[(edges[:, 1] <= low) & (edges[:, 3] >= high)]
+        slope = (e[:, 2] - e[:, 0]) / (e[:, 3] - e[:, 1])
+        x0, x1 = e[:, 0] + slope * (low - e[:, 1]), e[:, 0] + slope * (high - e[:, 1])
+        order = np.lexsort((x0 + x1, x0))
+        x0, x1, slope = x0[order], x1[order], slope[order]
+        crossed = np.flatnonzero(x1[:-1] > x1[1:])
+        at = low + (x0[crossed + 1] - x0[crossed]) / (slope[crossed] - slope[crossed + 1])
+        at = at[(at > low) & (at < high)]
+        if len(at):  # rings that cross themselves or one another: cut there as well
+            cuts = np.unique(np.concatenate([[low, high], at]))
+            slabs += zip(cuts[:-1], cuts[1:], strict=True)
+            continue
+        out += [(low, high, x0[i], x1[i], x0[i + 1], x1[i + 1]) for i in range(0, len(x0) - 1, 2)]
+    return np.array(sorted(out), float).reshape(-1, 6)
+
+
+def alias_table(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For a uniform choice of a place: how often its own item counts, and the item that counts else."""
+    scaled = weights / weights.sum() * len(weights)
+    share, other = np.ones(len(weights)), np.arange(len(weights))
+    small, large = [i for i, s in enumerate(scaled) if s < 1], [i for i, s in enumerate(scaled) if s >= 1]
+    while small and large:
+        i, j = small.pop(), large.pop()
+        share[i], other[i] = scaled[i], j
+        scaled[j] -= 1 - scaled[i]
+        (small if scaled[j] < 1 else large).append(j)
+    return share, other
+
+
+def region_pieces(regions: DataFrame, key: str, rings: str) -> DataFrame:
+    """``key`` and the region's pieces, each with the share of draws that it keeps and the piece that takes the others.
+
+    A uniform draw of a piece and then of what counts is a draw by area.  A region without
+    area is one piece: its first corner.  ``key`` names a region.
+    """
+    fields = [f.split(":")[0] for f in _PIECE[len("struct<") : -1].split(",")]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, shape in enumerate(batch.column("rings").to_pylist()):
+                shape = [r for r in shape if r]
+                rows = trapezoids(shape)
+                area = (rows[:, 1] - rows[:, 0]) * (rows[:, 4] - rows[:, 2] + rows[:, 5] - rows[:, 3])
+                rows, area = rows[area > 0], area[area > 0]
+                if not len(rows) and shape:
+                    x, y = shape[0][0]["x"], shape[0][0]["y"]
+                    rows, area = np.array([(y, y, x, x, x, x)], float), np.ones(1)
+                if len(rows):
+                    share, other = alias_table(area)
+                    n = len(rows)
+                    structs = [pa.StructArray.from_arrays([pa.array(c) for c in r.T.copy()], fields) for r in (rows, rows[other])]
+                    cols = [batch.column("key").take(pa.array([i] * n)), pa.array(np.arange(n)), pa.array(np.full(n, n)), pa.array(share), *structs]
+                    yield pa.RecordBatch.from_arrays(cols, ["key", "piece", "pieces", "share", "own", "other"])
+
+    kind = dict(regions.dtypes)[key]
+    rows = regions.select(F.col(key).alias("key"), F.col(rings).alias("rings")).where("key IS NOT NULL AND rings IS NOT NULL")
+    return rows.mapInArrow(cut, f"key {kind}, {PIECES}").withColumnRenamed("key", key)
+
+
+def points_in_regions(rows: DataFrame, key: str, pieces: DataFrame, point: str, seed: int, *parts: Column) -> DataFrame:
+    """``rows`` with a uniform point inside the region ``key`` as struct(x, y), NULL without such a region.
+
+    ``pieces`` come from ``region_pieces``, and their key has the same name.  The point depends on
+    ``seed``, ``parts`` and the region alone.  Rows carry no shape: they meet one piece of it.
+    """
+    pieces = pieces.select(F.col(key).alias("_key"), "piece", "pieces", "share", "own", "other")
+    counts = pieces.groupBy("_key").agg(F.max("pieces").alias("_pieces"))
+    total = pieces.count()
+    ship = F.broadcast if total <= SHIPPED else (lambda df: df)
+    drawn = rows.join(ship(counts), F.col(key) == F.col("_key"), "left").drop("_key")
+    drawn = drawn.withColumn("_piece", F.floor(uniform(seed, *parts, F.lit(0)) * F.col("_pieces")))
+    met = drawn.join(ship(pieces), (F.col(key) == F.col("_key")) & (F.col("_piece") == F.col("piece")), "left")
+    met = met.withColumn("_at", F.when(uniform(seed, *parts, F.lit(1)) < F.col("share"), F.col("own")).otherwise(F.col("other")))
+    within = lambda i: _MARGIN + uniform(seed, *parts, F.lit(i)) * (1 - 2 * _MARGIN)
+    at = lambda c: F.col(f"_at.{c}")
+    w0, w1 = at("r0") - at("l0"), at("r1") - at("l1")
+    # the height at which the share ``u`` of the trapezoid is passed
+    u = within(2)
+    root = w0 + F.sqrt(w0 * w0 + u * (w1 * w1 - w0 * w0))
+    met = met.withColumn("_t", F.when(root > 0, u * (w0 + w1) / root).otherwise(u))
+    left = at("l0") + F.col("_t") * (at("l1") - at("l0"))
+    wide = w0 + F.col("_t") * (w1 - w0)
+    xy = F.struct((left + within(3) * wide).alias("x"), (at("y0") + F.col("_t") * (at("y1") - at("y0"))).alias("y"))
+    return met.withColumn(point, F.when(F.col("_at").isNotNull(), xy)).drop("_key", "_pieces", "_piece", "piece", "pieces", "share", "own", "other", "_at", "_t")
 
 
 def point_on_line(paths: Column, u: Column) -> Column:
@@ -119,12 +210,13 @@ def dissolve(df: DataFrame, key: str, parts: str) -> DataFrame:
 
 def spread_coincident(df: DataFrame, x: str, y: str, id_col: str, radius_m: float = 120.0, seed: int = 7, digits: int = 6) -> DataFrame:
     """Points that share a coordinate moved to random places of a disk; single ones stay."""
-    together = F.count("*").over(Window.partitionBy(x, y)) > 1
+    # counted by aggregation and joined, as very many points may share one place
+    crowds = df.groupBy(F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count("*").alias("_n")).where("_n > 1")
     r = F.sqrt(uniform(seed, F.col(x), F.col(y), F.col(id_col), F.lit(0)))
     angle = uniform(seed, F.col(x), F.col(y), F.col(id_col), F.lit(1)) * (2 * math.pi)
     dy = F.lit(radius_m / METRES_A_DEGREE)
     dx = F.lit(radius_m) / (F.lit(METRES_A_DEGREE) * F.cos(F.radians(F.col(y))))
-    moved = df.withColumn("_together", together)
+    moved = df.join(crowds, F.col(x).eqNullSafe(F.col("_x")) & F.col(y).eqNullSafe(F.col("_y")), "left").withColumn("_together", F.col("_n").isNotNull()).drop("_x", "_y", "_n")
     return moved.withColumns({x: F.when(F.col("_together"), F.round(F.col(x) + r * dx * F.cos(angle), digits)).otherwise(F.col(x)), y: F.when(F.col("_together"), F.round(F.col(y) + r * dy * F.sin(angle), digits)).otherwise(F.col(y))}).drop("_together")
 
 

@@ -2,40 +2,40 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_QUALIFIER = (re.compile(r"\b(?:GATED|PRIVATE)\b", re.I), re.compile(r"COMM+UNITY", re.I))
-
-
-def _case(part: str) -> str:
-    letters = [c for c in part if c.isalpha()]
-    return part.title() if letters and all(c.isupper() for c in letters) else part
-
+from ..functions.text import collapse, once, smart_case
 
-def levels(name: str | None) -> dict:
-    """admin_0 (broadest), admin_1, admin_2 (most specific) of a nested name; qualifiers don't count."""
-    whole = re.sub(r"\s+", " ", (name or "").strip())
-    depth, parts = 0, []
-    for token in re.findall(r"[()]|[^()]+", whole):
-        if token == "(":
-            depth += 1
-        elif token == ")":
-            depth = max(0, depth - 1)
-        elif token.strip():
-            parts.append((depth, token.strip()))
-    parts = [_case(p) for _, p in sorted(parts, key=lambda x: x[0]) if not all(q.search(p) for q in _QUALIFIER)]
-    parts = parts or [_case(whole)]
-    return {"admin_0": parts[-1], "admin_1": parts[min(1, len(parts) - 1)], "admin_2": parts[0]}
+# fixed values: words that together mark a qualifier, which is no level of its own
+QUALIFIERS = (r"(?i)\b(?:GATED|PRIVATE)\b", r"(?i)COMM+UNITY")
 
 
-def _levels(names: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([levels(n) for n in names], columns=["admin_0", "admin_1", "admin_2"])
+def is_qualifier(part: Column) -> Column:
+    found = part.rlike(QUALIFIERS[0])
+    for pattern in QUALIFIERS[1:]:
+        found = found & part.rlike(pattern)
+    return found
 
 
 def name_levels(name: Column | str) -> Column:
-    """struct(admin_0, admin_1, admin_2) of a nested name."""
-    return F.pandas_udf(_levels, "admin_0 string, admin_1 string, admin_2 string")(name)
+    """struct(admin_0, admin_1, admin_2), from the broadest to the most specific part of a nested name.
+
+    Parts are ordered by how deep they stand in parentheses, and then as written; qualifiers don't
+    count, unless nothing else is there.  Brackets that close nothing are skipped.
+    """
+    whole = collapse(F.coalesce(F.col(name) if isinstance(name, str) else name, F.lit("")))
+    tokens = F.regexp_extract_all(whole, F.lit(r"([()]|[^()]+)"), F.lit(1))
+
+    def step(s: Column, token: Column) -> Column:
+        depth = F.when(token == "(", s["depth"] + 1).when(token == ")", F.greatest(s["depth"] - 1, F.lit(0))).otherwise(s["depth"])
+        part = F.array(F.struct(depth.alias("depth"), F.size(s["parts"]).alias("at"), F.trim(token).alias("text")))
+        plain = ~token.isin("(", ")") & (F.trim(token) != "")
+        return F.struct(depth.alias("depth"), F.when(plain, F.concat(s["parts"], part)).otherwise(s["parts"]).alias("parts"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<struct<depth:int,at:int,text:string>>").alias("parts"))
+    sorted_ = F.array_sort(F.aggregate(tokens, start, step)["parts"])
+    texts = F.filter(F.transform(sorted_, lambda p: p["text"]), lambda t: ~is_qualifier(t))
+    parts = F.transform(once(texts, lambda t: F.when(F.size(t) > 0, t).otherwise(F.array(whole))), smart_case)
+    levels = lambda p: F.struct(F.element_at(p, -1).alias("admin_0"), F.get(p, F.least(F.lit(1), F.size(p) - 1)).alias("admin_1"), F.get(p, F.lit(0)).alias("admin_2"))
+    return once(parts, levels)

@@ -523,7 +523,7 @@ def point_on_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sampled_in_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A point inside its region for each customer; repeatable whatever the partitioning."""
     rows = _table(spark, sf_dir, "customer").select("c_custkey", F.element_at(F.array(*map(F.lit, "ABCD")), (F.col("c_nationkey") % 4 + 1).cast("int")).alias("name"))
-    placed = rows.join(F.broadcast(_regions(spark)), "name").withColumn("p", G.point_in_region(F.col("rings"), 7, F.col("c_custkey")))
+    placed = G.points_in_regions(rows, "name", G.region_pieces(_regions(spark), "name", "rings"), "p", 7, F.col("c_custkey")).join(F.broadcast(_regions(spark)), "name")  # four rows
     return placed.select("c_custkey", "name", "p.x", "p.y", G.inside(F.col("p.x"), F.col("p.y"), F.col("rings")).alias("inside"))
 
 
@@ -538,7 +538,7 @@ def jitter_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def geojson_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries made of orders, placed at the finest tier they have, as features."""
     rows = _entries(spark, sf_dir)
-    placed = V.areas_view(V.area_positions(rows, _regions(spark), 3), 3)
+    placed = V.areas_view(V.area_positions(rows, _regions(spark), 3), _areas(spark), _boroughs(spark), 3)
     return placed.where("placement IS NOT NULL").select("entry_id", "placement", F.to_json(V.feature(F.col("x"), F.col("y"), F.col("placement")), {"ignoreNullFields": "false"}).alias("feature"))
 
 
@@ -560,9 +560,15 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 2 == 0, F.lit("nominatim")).alias("source"), F.when(key % 2 == 0, F.lit("place")).alias("category"),
         (key % 7 == 0).alias("subway_mentioned"),
     )
-    areas = _regions(spark).select(X.name_key("name").alias("key"), "name", F.lit(False).alias("broad"), "rings")
-    boroughs = _regions(spark).where("name = 'D'").select(F.lit("Queens").alias("name"), "rings")
-    return V.with_neighborhood(V.with_borough(rows, boroughs, V.learned_boroughs(rows)), areas)
+    return V.with_neighborhood(V.with_borough(rows, _boroughs(spark), V.learned_boroughs(rows)), _areas(spark))
+
+
+def _areas(spark: SparkSession) -> DataFrame:
+    return _regions(spark).select(X.name_key("name").alias("key"), "name", F.lit(False).alias("broad"), "rings")
+
+
+def _boroughs(spark: SparkSession) -> DataFrame:
+    return _regions(spark).where("name = 'D'").select(F.lit("Queens").alias("name"), "rings")
 
 
 @_query(
@@ -572,14 +578,14 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM k GROUP BY 1"""
 )
 def placement_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = V.areas_view(V.area_positions(_entries(spark, sf_dir), _regions(spark), 3), 3)
+    placed = V.areas_view(V.area_positions(_entries(spark, sf_dir), _regions(spark), 3), _areas(spark), _boroughs(spark), 3)
     return placed.groupBy("placement").agg(F.count("*").alias("n"))
 
 
 @_query()
 def subway_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = spark.createDataFrame([("r", [[(0.0, 5.0), (20.0, 5.0)], [(20.0, 5.0), (20.0, 15.0)]]), ("q", [[(3.0, 3.0), (3.0, 9.0)]])], f"service string, paths {G.RINGS}")
-    placed = V.subway_view(_entries(spark, sf_dir), line, 3)
+    placed = V.subway_view(_entries(spark, sf_dir), line, _boroughs(spark), 3)
     return placed.select("entry_id", "placement", "borough_name", "x", "y", V.place_label(F.col("placement")).alias("label"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.places import borough_phrase, canonical_borough
 from ..functions.text import first_item, join_items, name_key
-from ..operators.geometry import clipped, dissolve, point_in_region, point_on_line, spread_coincident, uniform
+from ..operators.geometry import clipped, dissolve, point_on_line, points_in_regions, region_pieces, spread_coincident, uniform
 from ..operators.relational import keep_first, modal_value
 from ..operators.similarity import fuzzy_match
 
@@ -33,16 +33,16 @@ def learned_boroughs(rows: DataFrame) -> DataFrame:
 
 
 def with_borough(rows: DataFrame, regions: DataFrame, learned: DataFrame) -> DataFrame:
-    """``borough_name``, ``borough_rings``: of the stated boroughs the first known, else the first learned from a neighborhood."""
-    known = F.broadcast(regions.select(F.col("name").alias("borough_name"), F.col("rings").alias("borough_rings")))
+    """``borough_name``: of the stated boroughs the first known, else the first learned from a neighborhood."""
+    known = regions.select(F.col("name").alias("borough_name")).distinct()
     stated = rows.select("entry_id", F.posexplode("boroughs").alias("_p", "_b")).select("entry_id", F.lit(0).alias("_t"), "_p", canonical_borough("_b").alias("borough_name"))
     guessed = rows.select("entry_id", F.posexplode("neighborhoods").alias("_p", "_n")).withColumn("nbhd", name_key("_n")).join(learned, "nbhd").select("entry_id", F.lit(1).alias("_t"), "_p", F.col("borough").alias("borough_name"))
-    best = stated.unionByName(guessed).join(known.select("borough_name"), "borough_name").groupBy("entry_id").agg(F.min_by("borough_name", F.struct("_t", "_p")).alias("borough_name"))
-    return rows.join(best, "entry_id", "left").join(known, "borough_name", "left")
+    best = stated.unionByName(guessed).join(known, "borough_name").groupBy("entry_id").agg(F.min_by("borough_name", F.struct("_t", "_p")).alias("borough_name"))
+    return rows.join(best, "entry_id", "left")
 
 
 def with_neighborhood(rows: DataFrame, areas: DataFrame) -> DataFrame:
-    """``nbhd_name``, ``nbhd_rings``: of the entry's neighborhoods the first that matches.
+    """``nbhd_name``: of the entry's neighborhoods the first that matches.
 
     ``areas`` (key, name, broad, rings): a name is looked for exactly among
     specific areas, then among broad ones, then by likeness in the same order.
@@ -60,8 +60,8 @@ def with_neighborhood(rows: DataFrame, areas: DataFrame) -> DataFrame:
         hit = hit.select("key", "match", F.lit(broad).alias("broad"))
         tiers = hit if tiers is None else tiers.unionByName(hit)
     best = names.join(tiers, "key").groupBy("entry_id").agg(F.min_by(F.struct("match", "broad"), "_p").alias("_m"))
-    shapes = areas.select(F.col("key").alias("_k"), F.col("broad").alias("_b"), F.col("name").alias("nbhd_name"), F.col("rings").alias("nbhd_rings"))
-    best = best.join(F.broadcast(shapes), (F.col("_m.match") == F.col("_k")) & (F.col("_m.broad") == F.col("_b"))).select("entry_id", "nbhd_name", "nbhd_rings")
+    titles = areas.select(F.col("key").alias("_k"), F.col("broad").alias("_b"), F.col("name").alias("nbhd_name"))
+    best = best.join(titles, (F.col("_m.match") == F.col("_k")) & (F.col("_m.broad") == F.col("_b"))).select("entry_id", "nbhd_name")
     return rows.join(best, "entry_id", "left")
 
 
@@ -97,9 +97,9 @@ def feature(x: Column, y: Column, placement: Column) -> Column:
 
 def area_positions(rows: DataFrame, areas: DataFrame, seed: int) -> DataFrame:
     """Entries whose location names an area: a place inside it, the same in every view."""
-    keys = F.broadcast(areas.select(F.lower(F.trim("name")).alias("_a"), F.col("name").alias("area_name"), F.col("rings").alias("area_rings")))
-    placed = rows.join(keys, F.lower(F.trim("query_raw")) == F.col("_a"), "left").drop("_a")
-    return placed.withColumn("_area", F.when(F.col("area_rings").isNotNull(), point_in_region(F.col("area_rings"), seed, F.col("entry_id"))))
+    keys = areas.select(F.lower(F.trim("name")).alias("_a"), F.col("name").alias("area_name"))
+    named = rows.join(keys, F.lower(F.trim("query_raw")) == F.col("_a"), "left").drop("_a")
+    return points_in_regions(named, "area_name", region_pieces(areas.withColumnRenamed("name", "area_name"), "area_name", "rings"), "_area", seed, F.col("entry_id"))
 
 
 def _exact(rows: DataFrame) -> DataFrame:
@@ -111,34 +111,40 @@ def locations_view(rows: DataFrame) -> DataFrame:
     return spread_coincident(_exact(rows.where("lat IS NOT NULL AND lon IS NOT NULL")), "x", "y", "entry_id")
 
 
-def subway_view(rows: DataFrame, lines: DataFrame, seed: int) -> DataFrame:
+def subway_view(rows: DataFrame, lines: DataFrame, boroughs: DataFrame, seed: int) -> DataFrame:
     """Entries that mention the subway, on their first known line or else anywhere on the network.
 
-    ``lines``: service, paths.  A line is clipped to the entry's borough if it enters it.
+    ``lines``: service, paths; ``boroughs``: name, rings.  A line is clipped to the entry's borough if it enters it.
     """
     lines = dissolve(lines.withColumn("service", F.upper("service")), "service", "paths")
     network = dissolve(lines.select(F.lit("network").alias("service"), "paths"), "service", "paths")
     wanted = rows.where("subway_mentioned")
-    first = wanted.select("entry_id", F.posexplode("subway_lines").alias("_p", "_l")).withColumn("service", F.upper("_l")).join(F.broadcast(lines.select("service")), "service")
+    first = wanted.select("entry_id", F.posexplode("subway_lines").alias("_p", "_l")).withColumn("service", F.upper("_l")).join(lines.select("service"), "service")
     first = first.groupBy("entry_id").agg(F.min_by("service", "_p").alias("service"))
     named = wanted.join(first, "entry_id", "left").withColumn("service", F.coalesce("service", F.lit("network")))
     # a line is clipped once for each borough it is used in, not once for each entry
-    used = named.select("service", "borough_name", "borough_rings").dropDuplicates(["service", "borough_name"]).join(F.broadcast(lines.unionByName(network)), "service")
+    used = named.select("service", "borough_name").distinct().join(lines.unionByName(network), "service")
+    used = used.join(boroughs.select(F.col("name").alias("borough_name"), F.col("rings").alias("borough_rings")), "borough_name", "left")
     cut = used.select("service", F.col("borough_name").alias("_b"), clipped("paths", "borough_rings").alias("paths"))
     placed = named.join(cut, (named["service"] == cut["service"]) & named["borough_name"].eqNullSafe(cut["_b"])).drop(cut["service"])
     point = point_on_line(F.col("paths"), uniform(seed, F.col("entry_id"), F.lit("line")))
     return placed.withColumn("_p", point).withColumns({"x": F.col("_p.x"), "y": F.col("_p.y"), "placement": F.concat(F.lit("subway:"), "service")})
 
 
-def areas_view(rows: DataFrame, seed: int) -> DataFrame:
-    """Each entry at the finest place it has: its own, else its neighborhood, else its borough; NULL placement without."""
-    exact = _exact(rows)
+def areas_view(rows: DataFrame, areas: DataFrame, boroughs: DataFrame, seed: int) -> DataFrame:
+    """Each entry at the finest place it has: its own, else its neighborhood, else its borough; NULL placement without.
+
+    ``areas`` and ``boroughs`` (name, rings) hold the shapes of ``nbhd_name`` and ``borough_name``.
+    """
+    placed = _exact(rows)
+    for shapes, name, point in ((areas, "nbhd_name", "_hood"), (boroughs, "borough_name", "_boro")):
+        pieces = region_pieces(shapes.withColumnRenamed("name", name), name, "rings")
+        placed = points_in_regions(placed, name, pieces, point, seed, F.col("entry_id"), F.lit(name))
     own = F.col("lat").isNotNull() & F.col("lon").isNotNull()
-    hood, boro = F.col("nbhd_rings").isNotNull(), F.col("borough_rings").isNotNull()
-    dart = lambda c, salt: F.when(F.col(c).isNotNull(), point_in_region(F.col(c), seed, F.col("entry_id"), F.lit(salt)))
-    point = F.when(own, F.struct("x", "y")).when(hood, dart("nbhd_rings", "n")).when(boro, dart("borough_rings", "b"))
-    placed = exact.withColumns({"_p": point, "placement": F.when(own, F.col("placement")).when(hood, "neighborhood").when(boro, "borough")})
-    return spread_coincident(placed.withColumns({"x": F.col("_p.x"), "y": F.col("_p.y")}), "x", "y", "entry_id")
+    hood, boro = F.col("_hood").isNotNull(), F.col("_boro").isNotNull()
+    pick = lambda c: F.when(own, F.col(c)).when(hood, F.col(f"_hood.{c}")).when(boro, F.col(f"_boro.{c}"))
+    where = F.when(own, F.col("placement")).when(hood, "neighborhood").when(boro, "borough")
+    return spread_coincident(placed.withColumns({"x": pick("x"), "y": pick("y"), "placement": where}).drop("_hood", "_boro"), "x", "y", "entry_id")
 
 
 def skipped(placed: DataFrame) -> DataFrame:

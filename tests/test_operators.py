@@ -1,6 +1,7 @@
 import json
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from storyatlas.functions import places as P
@@ -47,9 +48,62 @@ def test_point_in_ring_with_hole(spark):
     df = spark.createDataFrame([(0.5, 0.5), (2.0, 2.0), (5.0, 1.0)], "x double, y double").withColumn("r", F.lit(json.dumps([[{"x": x, "y": y} for x, y in ring] for ring in SQUARE])))
     df = df.withColumn("r", F.from_json("r", G.RINGS))
     assert [r[0] for r in df.select(G.inside(F.col("x"), F.col("y"), F.col("r"))).collect()] == [True, False, False]
-    darts = spark.range(200).crossJoin(df.select("r").limit(1)).select(G.point_in_region(F.col("r"), 1, F.col("id")).alias("p"), "r").select(G.inside(F.col("p.x"), F.col("p.y"), F.col("r")), "p.x")
-    got = darts.collect()
-    assert all(r[0] for r in got) and len({r[1] for r in got}) == 200
+
+
+# a square with a hole, a thin V, a comb, two parts, a ring that crosses itself, and one without area
+SHAPES = {
+    "hole": SQUARE,
+    "v": [[(0.0, 10.0), (0.1, 10.0), (5.0, 0.1), (9.9, 10.0), (10.0, 10.0), (5.0, 0.0), (0.0, 10.0)]],
+    "comb": [[(0.0, 0.0), (9.0, 0.0), (9.0, 9.0), (8.9, 9.0), (8.9, 0.1), (5.0, 0.1), (5.0, 9.0), (4.9, 9.0), (4.9, 0.1), (0.1, 0.1), (0.1, 9.0), (0.0, 9.0), (0.0, 0.0)]],
+    "parts": [[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)], [(50.0, 50.0), (60.0, 50.0), (60.0, 60.0), (50.0, 60.0), (50.0, 50.0)]],
+    "bow": [[(0.0, 0.0), (4.0, 4.0), (4.0, 0.0), (0.0, 4.0), (0.0, 0.0)]],
+    "flat": [[(1.0, 2.0), (3.0, 2.0), (1.0, 2.0)]],
+}
+
+
+def area_of(ring):
+    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring[:-1], ring[1:], strict=True)) / 2
+
+
+def test_points_lie_inside_whatever_the_region(spark):
+    regions = spark.createDataFrame(list(SHAPES.items()), f"name string, rings {G.RINGS}")
+    rows = spark.range(2000).select("id", F.explode(F.array(*map(F.lit, [*SHAPES, "unknown"]))).alias("name"))
+    got = G.points_in_regions(rows, "name", G.region_pieces(regions, "name", "rings"), "p", 1, F.col("id")).join(regions, "name", "left")
+    got = got.select("id", "name", "p", F.when(F.col("rings").isNotNull(), G.inside(F.col("p.x"), F.col("p.y"), F.col("rings"))).alias("inside")).toPandas()
+    assert len(got) == 2000 * 7
+    for name, own in got.groupby("name"):
+        if name == "unknown":
+            assert own["p"].isna().all()
+        elif name == "flat":
+            assert {tuple(p) for p in own["p"]} == {(1.0, 2.0)}
+        else:
+            assert own["inside"].all() and len({tuple(p) for p in own["p"]}) == 2000
+    # draws go by area
+    left = sum(p[0] < 5 for p in got[got.name == "v"]["p"])
+    assert 850 < left < 1150
+    assert sum(p[0] < 2 for p in got[got.name == "parts"]["p"]) < 40
+    low = sum(p[1] < 1 for p in got[got.name == "hole"]["p"])
+    assert abs(low / 2000 - 1 / 3) < 0.05
+
+
+@pytest.mark.parametrize("name", ["hole", "v", "comb", "parts"])
+def test_trapezoids_have_the_area_of_the_region(name):
+    rings = [[{"x": x, "y": y} for x, y in ring] for ring in SHAPES[name]]
+    t = G.trapezoids(rings)
+    area = ((t[:, 1] - t[:, 0]) * (t[:, 4] - t[:, 2] + t[:, 5] - t[:, 3]) / 2).sum()
+    want = [abs(area_of(r)) for r in SHAPES[name]]
+    assert abs(area - (want[0] - want[1] if name == "hole" else sum(want))) < 1e-9
+
+
+def test_alias_table_keeps_the_weights():
+    import numpy as np
+
+    w = np.array([5.0, 1.0, 0.0, 2.5, 0.1])
+    share, other = G.alias_table(w.copy())
+    got = share / len(w)
+    for i, j in enumerate(other):
+        got[j] += (1 - share[i]) / len(w)
+    assert np.allclose(got, w / w.sum())
 
 
 def test_clip_and_line(spark):
