@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 import regex
 
 #: Distinct pre-tokens that a worker remembers before it starts afresh, and their bytes.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 REMEMBERED_BYTES = 8 << 20
 #: Text that is worked on at once.
 CHUNK_BYTES = 2 << 20
