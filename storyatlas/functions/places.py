@@ -57,6 +57,8 @@ GENERIC_TOKENS = [
 ]
 BOROUGHS = {"the bronx": "Bronx", "bronx": "Bronx", "kings": "Brooklyn", "brooklyn": "Brooklyn", "manhattan": "Manhattan", "queens": "Queens", "staten island": "Staten Island"}
 BOROUGH_CODES = {"Manhattan": 1, "Bronx": 2, "Brooklyn": 3, "Queens": 4, "Staten Island": 5}
+#: Boroughs in the order in which a crossing is looked for.
+BOROUGH_ORDER = ["Manhattan", "Brooklyn", "Queens", "Bronx", "Staten Island"]
 #: Points that every variant of a name is pinned to, and names that stand for another.
 PINNED_POINTS = {
     "port authority": (40.75717952921247, -73.9911739036894),
@@ -243,6 +245,12 @@ def canonical_borough(c: Column | str) -> Column:
     return _lookup(F.lower(collapse_ends(_col(c))), BOROUGHS)
 
 
+def first_borough(neighborhoods: Column | str, of: dict[str, str]) -> Column:
+    """The borough of the first neighborhood that ``of`` (name in lower case -> borough) knows."""
+    known = F.filter(F.transform(_col(neighborhoods), lambda n: _lookup(F.lower(F.coalesce(n, F.lit(""))), of)), lambda b: b.isNotNull())
+    return F.try_element_at(known, F.lit(1)) if of else F.lit(None).cast("string")
+
+
 def borough_phrase(c: Column | str) -> Column:
     """A borough as it reads after "in"."""
     return F.when(_col(c) == "Bronx", "the Bronx").otherwise(_col(c))

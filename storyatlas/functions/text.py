@@ -15,6 +15,11 @@ SPACE = r"(?U)\s+"
 #: What is neither a letter, a number, an underscore nor white space.
 NOT_WORD = r"(?U)[^\p{L}\p{N}_\s]"
 SALUTATION = r"dear\s+diary"
+# fixed values: names in capitals that a heading keeps
+ACRONYMS = [
+    "MTA", "NYC", "NY", "NJ", "NYPD", "FDNY", "EMS", "LIRR", "JFK", "LGA", "NYU", "CUNY", "PATH", "MoMA", "SoHo",
+    "NoHo", "NoMad", "DUMBO", "FiDi", "TriBeCa",
+]
 DASHES = r"(?U)^[\s—–\-]+"
 
 
@@ -100,6 +105,16 @@ def smart_case(c: Column | str) -> Column:
     return F.when(is_all_caps(c), title_case(_col(c))).otherwise(_col(c))
 
 
+def display_title(c: Column | str) -> Column:
+    """A heading for display: words begin with a capital, but those that begin with a digit; acronyms, also before 's, in capitals."""
+    raised = lambda w: F.concat(F.regexp_extract(w, r"^([^a-z]*)", 1), F.upper(F.regexp_extract(w, r"^[^a-z]*([a-z])", 1)), F.regexp_replace(w, r"^[^a-z]*[a-z]", ""))
+    word = lambda w: F.when(w.rlike(r"^\d") | ~w.rlike("[a-z]"), w).otherwise(raised(w))
+    out = F.array_join(F.transform(F.split(F.lower(_col(c)), r"(?<=\s)(?=\S)|(?<=\S)(?=\s)"), word), "")
+    for name in ACRONYMS:
+        out = F.regexp_replace(out, rf"(?<![A-Za-z])(?i:{name})(?![A-Za-z])", name)
+    return out
+
+
 def salutation_body(c: Column | str) -> Column:
     """A body that opens with the salutation exactly once."""
     rest = F.regexp_replace(_col(c), r"(?iU)^\s*" + SALUTATION + r"\s*[:,]?\s*", "")

@@ -6,6 +6,7 @@ query.  The ones shipped work offline: a dictionary extractor and a gazetteer.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import places as P
 from ..functions.text import name_key
+from .similarity import guarded
 
 ENTITY_FIELDS = {
     "subway_mentioned": "boolean", "subway_lines": "array<string>",
@@ -85,65 +87,123 @@ def _fenced(df: DataFrame) -> DataFrame:
 
 
 def with_attempts(rows: DataFrame) -> DataFrame:
-    """``rows`` (query) with ``category`` and ``attempts``: ordered struct(kind, text, low) as the routing rules say.
+    """``rows`` (query) with ``category``, ``attempts`` and ``tail``.
 
-    kind: crossing (two streets joined by " & "), name, or bounded (one borough only).
+    Attempts are ordered structs (kind, text, low, covers): kind is crossing (two streets joined by " & "),
+    name, or bounded (one borough only); ``covers`` is what a found label should name.  ``tail`` is a
+    location at the query's end, to be routed as a query of its own when all attempts fail.
     """
     q = F.col("query")
     rows = _fenced(_fenced(rows).withColumns({"category": P.classify(q), "_core": P.station_core(q), "_tail": P.location_tail(q), "_first": P.street_pair(q)["one"], "_pinned": P.is_pinned_street(q)}))
-    rows = _fenced(rows.withColumns({"_pair": P.crossing_streets(q), "_core_kind": P.classify("_core")}))
-    rows = _fenced(rows.withColumns({"_core_pair": P.crossing_streets("_core"), "_tail_pair": P.crossing_streets("_tail")}))
+    rows = _fenced(rows.withColumns({"_pair": P.crossing_streets(q), "_core_kind": P.classify("_core"), "_digits": P.digit_ordinals(q)}))
+    rows = _fenced(rows.withColumn("_core_pair", P.crossing_streets("_core")))
 
-    def attempt(kind: str, text: Column, low: bool) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), text.alias("text"), F.lit(low).alias("low"))
+    def attempt(kind: str, text: Column, low: bool, covers: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), text.alias("text"), F.lit(low).alias("low"), covers.alias("covers"))
 
-    def crossing(pair: str, low: bool = False) -> Column:
-        return attempt("crossing", F.concat_ws(" & ", F.col(f"{pair}.one"), F.col(f"{pair}.other")), low)
+    def crossing(pair: str) -> Column:
+        return attempt("crossing", F.concat_ws(" & ", F.col(f"{pair}.one"), F.col(f"{pair}.other")), False, q)
 
-    plain = [attempt("name", q, False), crossing("_tail_pair", True), attempt("name", F.col("_tail"), True)]
-    core = F.col("_core")
-    station = [attempt("name", core, False), attempt("name", q, False), attempt("name", F.concat(core, F.lit(" station")), False)]
+    core, street = F.col("_core"), F.coalesce("_pair.one", "_first")
+    station = [attempt("name", core, False, core), attempt("name", q, False, core), attempt("name", F.concat(core, F.lit(" station")), False, core)]
     ways = (
-        F.when(F.col("category") == "intersection", F.array(crossing("_pair"), *plain))
-        .when(F.col("category") == "relational", F.array(crossing("_pair"), attempt("name", F.coalesce("_first", "query"), True), *plain[1:]))
+        F.when(F.col("category") == "intersection", F.array(crossing("_pair")))
+        .when(F.col("category") == "relational", F.array(crossing("_pair"), attempt("name", street, True, street)))
         .when((F.col("category") == "station") & (F.col("_core_kind") == "intersection"), F.array(crossing("_core_pair"), *station))
         .when(F.col("category") == "station", F.array(*station))
-        .when(F.col("_pinned"), F.array(attempt("bounded", P.digit_ordinals(q), True)))
-        .otherwise(F.array(*plain))
+        .when(F.col("_pinned"), F.array(attempt("bounded", F.col("_digits"), True, F.col("_digits"))))
+        .otherwise(F.array(attempt("name", q, False, q)))
     )
-    return _fenced(rows.withColumn("attempts", ways)).drop("_core", "_tail", "_first", "_pair", "_pinned", "_core_kind", "_core_pair", "_tail_pair")
+    ends = F.col("category").isin("place", "bare_street") & ~F.col("_pinned")
+    return _fenced(rows.withColumns({"attempts": ways, "tail": F.when(ends, F.col("_tail"))})).drop("_core", "_tail", "_first", "_pair", "_pinned", "_core_kind", "_core_pair", "_digits")
 
 
-def resolve(queries: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """A cache row for each distinct ``query_norm`` of ``queries`` (query_norm, query, query_raw).
+def resolve(queries: DataFrame, gazetteer: DataFrame, boroughs: dict[str, str] | None = None) -> DataFrame:
+    """A cache row for each distinct ``query_norm`` of ``queries`` (query_norm, query, query_raw, and neighborhoods if known).
 
     ``gazetteer``: name, lat, lon, label, source, confidence, bounded (whether it lies where pinned streets are
-    looked for).  Fixed points come first, aliases are followed, then the first attempt that finds a place counts.
+    looked for), and for crossings borough, if known.  Fixed points come first, aliases are followed, then the first
+    attempt that finds a place counts; a crossing in several boroughs is taken in that of the entry's first known
+    neighborhood (``boroughs``: name in lower case -> borough), then in a fixed order.  Places of the source
+    geosearch must be like the query.  Tails are routed in turn, and what they find is of low confidence.
     """
-    one = queries.groupBy("query_norm").agg(F.min(F.struct("query_raw", "query")).alias("_q")).select("query_norm", "_q.query_raw", "_q.query")
+    hoods = "neighborhoods" if "neighborhoods" in queries.columns else None
+    chosen = F.struct("query_raw", "query", *([hoods] if hoods else []))
+    one = queries.groupBy("query_norm").agg(F.min(chosen).alias("_q")).select("query_norm", "_q.*")
+    inferred = P.first_borough(hoods, boroughs or {}) if hoods else F.lit(None).cast("string")
     fixed = F.create_map(*[x for k, (lat, lon) in P.PINNED_POINTS.items() for x in (F.lit(k), F.struct(F.lit(lat).alias("lat"), F.lit(lon).alias("lon")))])
-    alias = P._lookup(F.col("query_norm"), P.ALIASES)
-    rows = one.withColumns({"_fixed": F.try_element_at(fixed, F.col("query_norm")), "query": F.coalesce(alias, F.col("query"))})
-    rows = with_attempts(rows)
-    tries = rows.where("_fixed IS NULL").select("query_norm", F.posexplode("attempts").alias("_n", "_a")).where("_a.text IS NOT NULL AND _a.text <> ''")
-    tries = tries.withColumn("_key", name_key(F.col("_a.text")))
-    places = gazetteer.select(name_key("name").alias("_key"), "lat", "lon", "label", "source", "confidence", "bounded")
-    hits = tries.join(places, "_key").where("_a.kind <> 'bounded' OR bounded")
-    best = hits.groupBy("query_norm").agg(F.min(F.struct("_n", "label", "lat", "lon", "source", "confidence", F.col("_a.low").alias("low"))).alias("_h"))
-    joined = rows.join(best, "query_norm", "left")
-    low = F.col("_h.low") | (F.col("category") == "bare_street") | ((F.col("_h.source") != "geoservice") & ~P.label_covers(F.col("query"), F.col("_h.label")))
-    pick = lambda c: F.coalesce(F.col(f"_fixed.{c}"), F.col(f"_h.{c}"))
+    level = one.select("query_norm", "query_raw", inferred.alias("_borough"), "query")
+    tops, tries, depth = None, None, 0
+    while True:  # a tail is shorter than its query, so this ends
+        key = name_key("query")
+        level = _fenced(level.withColumns({"_fixed": F.try_element_at(fixed, key), "query": F.coalesce(P._lookup(key, P.ALIASES), F.col("query"))}))
+        rows = with_attempts(level)
+        if tops is None:
+            tops = rows.select("query_norm", "query_raw", "query", "category", "_fixed")
+        pins = F.filter(F.array(F.struct(F.lit("fixed").alias("kind"), F.col("query").alias("text"), F.lit(False).alias("low"), F.col("query").alias("covers"))), lambda _: F.col("_fixed").isNotNull())
+        at = rows.select("query_norm", "_borough", "_fixed", "category", F.posexplode(F.when(F.col("_fixed").isNotNull(), pins).otherwise(F.col("attempts"))).alias("_n", "_a"))
+        low = F.col("_a.low") | (F.col("category") == "bare_street") if not depth else F.lit(True)
+        at = at.select("query_norm", "_borough", F.struct(F.lit(depth).alias("depth"), "_n").alias("_n"), "_a.kind", "_a.text", "_a.covers", low.alias("low"), "_fixed")
+        tries = at if tries is None else tries.unionByName(at)
+        level = rows.where("_fixed IS NULL AND tail IS NOT NULL").select("query_norm", "query_raw", "_borough", F.col("tail").alias("query"))
+        depth += 1
+        if level.isEmpty():
+            break
+    tries = tries.where("text <> ''").withColumn("_key", name_key("text"))
+    pinned = tries.where("kind = 'fixed'").select("query_norm", "_n", F.lit(0).alias("_order"), F.struct(F.col("text").alias("label"), "_fixed.lat", "_fixed.lon", F.lit("manual").alias("source"), F.lit(None).cast("double").alias("confidence")).alias("_h"), F.lit(False).alias("low"), F.lit(None).cast("string").alias("covers"))
+    borough = F.col("borough") if "borough" in gazetteer.columns else F.lit(None).cast("string")
+    places = gazetteer.select(name_key("name").alias("_key"), "lat", "lon", "label", "source", F.col("confidence").cast("double").alias("confidence"), "bounded", borough.alias("borough"))
+    hits = tries.where("kind <> 'fixed'").join(places, "_key").where("kind <> 'bounded' OR bounded")
+    hits = hits.where((F.col("source") != "geosearch") | guarded(F.col("_key"), name_key(F.split_part("label", F.lit(","), F.lit(1))), F.col("text").rlike(P.HOUSE_NUMBER)))
+    place = F.array_position(F.array(*map(F.lit, P.BOROUGH_ORDER)), F.coalesce("borough", F.lit("")))
+    order = F.when(F.col("borough") == F.col("_borough"), 0).when(place > 0, place.cast("int")).otherwise(len(P.BOROUGH_ORDER) + 1)
+    found = hits.select("query_norm", "_n", order.alias("_order"), F.struct("label", "lat", "lon", "source", "confidence").alias("_h"), "low", "covers").unionByName(pinned)
+    best = found.groupBy("query_norm").agg(F.min(F.struct("_n", "_order", "_h", "low", "covers")).alias("_b"))
+    joined = tops.join(best, "query_norm", "left")
+    uncovered = ~F.col("_b._h.source").isin("geoservice", "manual") & ~P.label_covers(F.col("_b.covers"), F.col("_b._h.label"))
     return joined.select(
-        "query_norm", "query_raw", "query", "category", pick("lat").alias("lat"), pick("lon").alias("lon"),
-        F.when(F.col("_fixed").isNotNull(), "manual").otherwise(F.col("_h.source")).alias("source"),
-        F.when(F.col("_fixed").isNotNull(), F.col("query_raw")).otherwise(F.col("_h.label")).alias("label"),
-        F.col("_h.confidence").alias("confidence"),
-        F.when(F.col("_fixed").isNotNull(), False).when(F.col("_h").isNotNull(), low).otherwise(False).alias("low_confidence"),
-        F.when(F.col("_fixed").isNotNull() | F.col("_h").isNotNull(), "ok").otherwise("unresolved").alias("status"),
+        "query_norm", "query_raw", "query", "category", F.col("_b._h.lat").alias("lat"), F.col("_b._h.lon").alias("lon"), F.col("_b._h.source").alias("source"),
+        F.when(F.col("_fixed").isNotNull(), F.col("query_raw")).otherwise(F.col("_b._h.label")).alias("label"), F.col("_b._h.confidence").alias("confidence"),
+        F.coalesce(F.col("_b.low") | uncovered, F.col("category") == "bare_street").alias("low_confidence"),
+        F.when(F.col("_b").isNotNull(), "ok").otherwise("unresolved").alias("status"),
     )
 
 
-def geocode(entities: DataFrame, gazetteer: DataFrame, cache: DataFrame | None = None, refresh_overrides: bool = False) -> tuple[DataFrame, DataFrame]:
+def coordinates_in(document: Column | str) -> Column:
+    """struct(lat, lon): the first latitude and longitude that stand side by side anywhere in a JSON text, NULL without.
+
+    Objects are looked through before what they hold, in the order of the text; 0 is no coordinate.
+    """
+
+    def number(value: object) -> float | None:
+        try:
+            return float(value) or None
+        except (TypeError, ValueError):
+            return None
+
+    def search(text: str | None) -> dict | None:
+        try:
+            open_ = [json.loads(text)] if text else []
+        except ValueError:
+            return None
+        while open_:
+            node = open_.pop()
+            if isinstance(node, dict):
+                plain = [(k.lower(), v) for k, v in node.items() if isinstance(v, (str, int, float))]
+                pair = [number(next((v for k, v in plain if word in k), None)) for word in ("latitude", "longitude")]
+                if None not in pair:
+                    return {"lat": pair[0], "lon": pair[1]}
+            held = list(node.values()) if isinstance(node, dict) else node if isinstance(node, list) else []
+            open_ += reversed(held)
+        return None
+
+    def found(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([search(t) or {"lat": None, "lon": None} for t in texts], columns=["lat", "lon"], dtype="float64")
+
+    return F.pandas_udf(found, "lat double, lon double")(document)
+
+
+def geocode(entities: DataFrame, gazetteer: DataFrame, cache: DataFrame | None = None, refresh_overrides: bool = False, boroughs: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Results by entry, and the cache with the queries that were new.
 
     Only queries that the cache lacks are resolved; ``refresh_overrides`` forgets those that fixed rules decide.
@@ -152,6 +212,6 @@ def geocode(entities: DataFrame, gazetteer: DataFrame, cache: DataFrame | None =
     if cache is not None and refresh_overrides:
         cache = cache.where(~P.is_override("query_norm"))
     todo = rows if cache is None else rows.join(cache.select("query_norm"), "query_norm", "left_anti")
-    found = resolve(todo, gazetteer)
+    found = resolve(todo, gazetteer, boroughs)
     full = found if cache is None else cache.unionByName(found)
     return rows.select("entry_id", "query_norm").join(full, "query_norm", "left").drop("query_norm"), full

@@ -9,10 +9,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _unused(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have."""
+    while stem.lower() in {c.lower() for c in df.columns}:
+        stem += "_"
+    return stem
+
+
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """The first row by ``order`` of each key; NULL keys are equal to one another."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")  # planned with a partial group limit
+    name, rank = _unused(df, "_rank"), F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn(name, rank).where(F.col(name) == 1).drop(name)  # planned with a partial group limit
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], value: Column, order: Column) -> DataFrame:
@@ -38,8 +45,13 @@ def union_widened(*frames: DataFrame) -> DataFrame:
 def stratified_sample(df: DataFrame, stratum: str, per: int, id_col: str, seed: int) -> DataFrame:
     """``per`` rows of each stratum in an order that depends on seed and id alone."""
     key = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")), 256)
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(key, id_col))
-    return df.where(F.col(stratum).isNotNull()).withColumn("_rank", rank).where(F.col("_rank") <= per).drop("_rank")
+    name, rank = _unused(df, "_rank"), F.row_number().over(Window.partitionBy(stratum).orderBy(key, id_col))
+    return df.where(F.col(stratum).isNotNull()).withColumn(name, rank).where(F.col(name) <= per).drop(name)
+
+
+def shuffled(df: DataFrame, id_col: str, seed: int, n: int) -> DataFrame:
+    """``n`` rows in an order that depends on seed and id alone."""
+    return df.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")), 256), id_col).limit(n)
 
 
 def modal_value(df: DataFrame, key: str, value: str) -> DataFrame:

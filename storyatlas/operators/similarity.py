@@ -1,12 +1,13 @@
 """Closest names by matching-block ratio (Ratcliff/Obershelp), which no SQL engine has built in.
 
-Only names without an exact match get here, and the dictionary of names is a
-dimension: it is shipped to the tasks when its size allows, else each block of
-it meets the keys in turn.
+Only names without an exact match get here.  Keys and the dictionary are cut into
+blocks of a bounded size, and every block of keys meets every block of names; the
+best of a key's blocks count.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher, get_close_matches
 
 import pandas as pd
@@ -21,6 +22,10 @@ DIRECTIONS = {"east", "west", "north", "south", "upper", "lower", "central"}
 CUTOFF = 0.86
 #: Names that are shipped to every task at most.
 SHIPPED = 100_000
+#: Keys and names that a block has, about.
+BLOCK = 2_000
+#: Near names among which one with the key's directions is looked for.
+NEAR = 3
 
 
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -32,22 +37,44 @@ def ratio(a: Column | str, b: Column | str) -> Column:
     return F.pandas_udf(_ratio, "double")(a, b)
 
 
-def closest(key: str, names: list[str], cutoff: float = CUTOFF, n: int = 3) -> str | None:
-    """The nearest of ``names`` whose direction words are those of ``key``."""
+def nearest_names(key: str, names: list[str], cutoff: float = CUTOFF, n: int = NEAR) -> list[tuple[float, str]]:
+    """The ``n`` nearest of ``names`` with their ratios, nearest first, of equals the last by name."""
+    return [(SequenceMatcher(None, name, key).ratio(), name) for name in get_close_matches(key, names, n, cutoff)]
+
+
+def with_its_directions(key: str, near: list[str]) -> str | None:
+    """The first of the ``near`` names whose direction words are those of ``key``."""
     own = DIRECTIONS.intersection(key.split())
-    return next((c for c in get_close_matches(key, names, n, cutoff) if DIRECTIONS.intersection(c.split()) == own), None)
+    return next((c for c in near if DIRECTIONS.intersection(c.split()) == own), None)
 
 
-def fuzzy_match(keys: DataFrame, key: str, names: DataFrame, name: str, cutoff: float = CUTOFF) -> DataFrame:
-    """key, match: the nearest name of each distinct key, NULL without."""
-    table = [r[0] for r in names.select(name).distinct().orderBy(name).limit(SHIPPED + 1).collect()]
-    if len(table) > SHIPPED:
-        raise ValueError(f"a dictionary of more than {SHIPPED} names: block it by a key of the names first")
+def closest(key: str, names: list[str], cutoff: float = CUTOFF) -> str | None:
+    """The nearest of ``names``, of at most NEAR, that agrees with ``key`` in its direction words."""
+    return with_its_directions(key, [c for _, c in nearest_names(key, names, cutoff)])
 
-    def match(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: closest(v, table, cutoff) if v else None)
 
-    return keys.select(key).where(F.col(key).isNotNull()).distinct().withColumn("match", F.pandas_udf(match, "string")(key))
+def fuzzy_match(keys: DataFrame, key: str, names: DataFrame, name: str, cutoff: float = CUTOFF) -> DataFrame:
+    """key, match: the nearest name of each distinct key, NULL without; see ``closest``.  Dictionaries of any size."""
+    own = keys.select(F.col(key).cast("string").alias("_k")).where(F.col("_k").isNotNull()).distinct()
+    table = names.select(F.col(name).cast("string").alias("_n")).where(F.col("_n").isNotNull()).distinct()
+
+    def blocks(df: DataFrame, column: str, out: str) -> DataFrame:
+        n = max(1, -(-df.count() // BLOCK))
+        return df.groupBy(F.pmod(F.xxhash64(column), F.lit(n)).alias("_b")).agg(F.sort_array(F.collect_list(column)).alias(out)).drop("_b")
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            for some, against in zip(frame["keys"], frame["names"], strict=True):
+                against = list(against)
+                rows = [(k, r, n) for k in some if k for r, n in nearest_names(k, against, cutoff)]
+                yield pd.DataFrame(rows, columns=["_k", "r", "n"])
+
+    # a row for each pair of blocks
+    met = blocks(own, "_k", "keys").crossJoin(blocks(table, "_n", "names")).repartition(own.sparkSession.sparkContext.defaultParallelism)
+    found = met.mapInPandas(near, "_k string, r double, n string").groupBy("_k").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("r", "n")))), 1, NEAR).alias("_f"))
+    words = lambda c: F.array_sort(F.array_intersect(F.split(c, r"(?U)\s+"), F.array(*map(F.lit, sorted(DIRECTIONS)))))
+    agreeing = F.filter("_f", lambda f: words(f["n"]) == words(F.col("_k")))
+    return own.join(found.select("_k", F.try_element_at(agreeing, F.lit(1))["n"].alias("match")), "_k", "left").select(F.col("_k").alias(key), "match")
 
 
 def guarded(query: Column, label: Column, house_number: Column, place: float = 0.55, address: float = 0.35) -> Column:

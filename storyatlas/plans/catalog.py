@@ -9,14 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import places as P
 from ..functions import text as X
 from ..operators import geometry as G
 from ..operators import relational as R
-from ..operators.enrich import dictionary_extract, resolve
+from ..operators.enrich import _fenced, dictionary_extract, resolve
 from ..operators.levels import name_levels
 from ..operators.segment import heading_entries, html_blocks, line_entries, lines_with_lookahead
 from ..operators.similarity import covered_pairs, fuzzy_match
@@ -58,7 +58,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalise texts, keep the first of equal ones, give content ids, join labels, count by language."""
     docs = _table(spark, sf_dir, "documents").withColumn("k", X.name_key("text"))
-    first = R.keep_first(docs, ["k"], ["doc_id"]).withColumn("entry_id", X.content_id("source", "lang", "k"))
+    # digests cross the network, texts don't
+    narrow = docs.select("doc_id", "lang", F.sha2("k", 256).alias("k"), X.content_id("source", "lang", "k").alias("entry_id"))
+    first = R.keep_first(narrow, ["k"], ["doc_id"])
     labels = _table(spark, sf_dir, "labels").withColumn("labelled", F.lit(1))
     return first.join(labels, "doc_id", "left").groupBy("lang").agg(
         F.count("*").alias("n_entries"), F.countDistinct("entry_id").alias("n_ids"), F.count("labelled").alias("n_labelled"), F.count_if(F.col("toxic") == 1).alias("n_toxic")
@@ -175,7 +177,8 @@ def tier_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT doc_id, lang, source FROM documents QUALIFY row_number() OVER (PARTITION BY text, lang ORDER BY doc_id) = 1")
 def dedupe_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.keep_first(_table(spark, sf_dir, "documents"), ["text", "lang"], ["doc_id"]).select("doc_id", "lang", "source")
+    narrow = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.sha2("text", 256).alias("text"))
+    return R.keep_first(narrow, ["text", "lang"], ["doc_id"]).select("doc_id", "lang", "source")
 
 
 @_query("SELECT user_id, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
@@ -259,8 +262,10 @@ def limit_zero_is_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT event_id, user_id, count(*) OVER (PARTITION BY date_trunc('hour', ts), value) AS n_here, count(*) OVER (PARTITION BY date_trunc('hour', ts), value) > 1 AS together FROM events")
 def coincident_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.count("*").over(Window.partitionBy(F.date_trunc("hour", "ts"), "value"))
-    return _table(spark, sf_dir, "events").select("event_id", "user_id", n.alias("n_here")).withColumn("together", F.col("n_here") > 1)
+    rows = _table(spark, sf_dir, "events").select("event_id", "user_id", F.date_trunc("hour", "ts").alias("_t"), F.col("value").alias("_v"))
+    counts = rows.groupBy(F.col("_t").alias("_t2"), F.col("_v").alias("_v2")).agg(F.count("*").alias("n_here"))
+    met = rows.join(counts, F.col("_t").eqNullSafe(F.col("_t2")) & F.col("_v").eqNullSafe(F.col("_v2")))
+    return met.select("event_id", "user_id", "n_here", (F.col("n_here") > 1).alias("together"))
 
 
 @_query(
@@ -332,30 +337,24 @@ def salutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GENERIC = "[" + ", ".join(f"'{w}'" for w in P.GENERIC_TOKENS) + "]"
 
 
-@_query(
-    f"""
-    WITH q AS (SELECT item_id, list_filter(list_distinct(string_split({_KEY.format('text')}, ' ')), lambda w: length(w) > 1 AND NOT list_contains({_GENERIC}, w)) AS words FROM benchmark),
-    d AS (SELECT doc_id, string_split({_KEY.format('text')}, ' ') AS words FROM documents)
-    SELECT doc_id, item_id, len(q.words) AS n_words, CASE WHEN len(q.words) = 0 THEN true ELSE len(list_intersect(q.words, d.words)) * 2 >= len(q.words) END AS covered
-    FROM d JOIN q ON d.doc_id % 40 = q.item_id % 40"""
-)
+_COVERED = f"""q AS (SELECT item_id, list_filter(list_distinct(string_split({_KEY.format('text')}, ' ')), lambda w: length(w) > 1 AND NOT list_contains({_GENERIC}, w)) AS words FROM benchmark),
+    w AS (SELECT item_id, len(words) AS n_words, unnest(words) AS word FROM q),
+    d AS (SELECT doc_id, unnest(list_distinct(string_split({_KEY.format('text')}, ' '))) AS word FROM documents),
+    pairs AS (SELECT doc_id, item_id, any_value(n_words) AS n_words, count(*) AS n_hits FROM d JOIN w USING (word) GROUP BY doc_id, item_id HAVING count(*) * 2 >= any_value(n_words)
+      UNION ALL SELECT doc_id, item_id, 0, 0 FROM documents JOIN q ON len(words) = 0 AND text <> '')"""
+
+
+@_query(f"WITH {_COVERED} SELECT doc_id, count(item_id) AS n_items, min(item_id) AS first_item FROM documents LEFT JOIN pairs USING (doc_id) GROUP BY doc_id")
 def token_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a document has half of the identifying words of the item with which it shares a remainder."""
-    items = _table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
-    pairs = _table(spark, sf_dir, "documents").join(items, F.col("doc_id") % 40 == F.col("item_id") % 40)
-    return pairs.select("doc_id", "item_id", F.size(P.distinct_tokens("query")).cast("long").alias("n_words"), P.label_covers("query", "text").alias("covered"))
+    """How many items each document covers, in that it has half of their identifying words, and the first of them."""
+    docs = _table(spark, sf_dir, "documents")
+    found = token_coverage_pairs(spark, sf_dir).groupBy("doc_id").agg(F.count("item_id").alias("n"), F.min("item_id").alias("first_item"))
+    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n_items"), "first_item")
 
 
-@_query(
-    f"""
-    WITH q AS (SELECT item_id, list_filter(list_distinct(string_split({_KEY.format('text')}, ' ')), lambda w: length(w) > 1 AND NOT list_contains({_GENERIC}, w)) AS words FROM benchmark),
-    w AS (SELECT item_id, len(words) AS n_words, unnest(words) AS word FROM q),
-    d AS (SELECT doc_id, unnest(list_distinct(string_split({_KEY.format('text')}, ' '))) AS word FROM documents)
-    SELECT doc_id, item_id, any_value(n_words) AS n_words, count(*) AS n_hits FROM d JOIN w USING (word) GROUP BY doc_id, item_id HAVING count(*) * 2 >= any_value(n_words)
-    UNION ALL SELECT doc_id, item_id, 0, 0 FROM documents JOIN q ON len(words) = 0 AND text <> ''"""
-)
+@_query(f"WITH {_COVERED} SELECT * FROM pairs")
 def token_coverage_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with every item of which it has half of the identifying words; ``token_coverage`` shows one pair in 40."""
+    """Every document with every item of which it has half of the identifying words."""
     return covered_pairs(_table(spark, sf_dir, "documents"), "doc_id", "text", _table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
@@ -394,21 +393,10 @@ _RAW = f"""o AS (SELECT o_orderkey, o_orderkey % 190 + 1 AS n, {_WORDS}[o_custke
 )
 def location_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean, classify and canonicalise location queries; the oracle tells what the rules say of each kind."""
-    q = P.clean_query("raw")
     pair = P.crossing_streets("query")
-    return _street_names(spark, sf_dir).withColumn("query", q).select("o_orderkey", "raw", "query", P.classify("query").alias("category"), F.concat_ws(" & ", pair["one"], pair["other"]).alias("streets"))
-
-
-@_query(
-    f"""
-    WITH {_RAW}
-    SELECT o_orderkey, n || {_ORD} AS ordinal,
-      CASE o_orderkey % 7 WHEN 1 THEN n || {_ORD} || ' Street between Park and Lexington' WHEN 2 THEN (list_position({_WORDS}, w)) || (CASE list_position({_WORDS}, w) WHEN 1 THEN 'st' WHEN 2 THEN 'nd' WHEN 3 THEN 'rd' ELSE 'th' END) || ' Avenue' END AS digits
-    FROM raw WHERE o_orderkey % 7 IN (1, 2)"""
-)
-def ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _street_names(spark, sf_dir).where("o_orderkey % 7 IN (1, 2)")
-    return rows.select("o_orderkey", P.ordinal(F.col("o_orderkey") % 190 + 1).alias("ordinal"), P.digit_ordinals("raw").alias("digits"))
+    rows = _fenced(_street_names(spark, sf_dir).withColumn("query", P.clean_query("raw")))
+    rows = _fenced(rows.withColumns({"category": P.classify("query"), "pair": pair}))
+    return rows.select("o_orderkey", "raw", "query", "category", F.concat_ws(" & ", "pair.one", "pair.other").alias("streets"))
 
 
 _WORD_ORD = f"list_position({_WORDS}, w) || (CASE list_position({_WORDS}, w) WHEN 1 THEN 'st' WHEN 2 THEN 'nd' WHEN 3 THEN 'rd' ELSE 'th' END)"
@@ -423,12 +411,15 @@ _WORD_ORD = f"list_position({_WORDS}, w) || (CASE list_position({_WORDS}, w) WHE
         WHEN 5 THEN 'Shop at ' || n || {_ORD} || ' and Park' ELSE 'Bleecker and Perry Streets' END AS digits
     FROM raw"""
 )
-def ordinals_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordinals in digits for every kind of location query; ``ordinals`` shows two kinds of the seven."""
+def ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordinals in digits for every kind of location query."""
     rows = _street_names(spark, sf_dir)
     return rows.select("o_orderkey", P.ordinal(F.col("o_orderkey") % 190 + 1).alias("ordinal"), P.digit_ordinals("raw").alias("digits"))
 
 
+QUERIES["ordinals_all"], ORACLE["ordinals_all"] = ordinals, ORACLE["ordinals"]
+
+
 @_query(
     r"""
     WITH s AS (SELECT c_custkey, (['The Bronx', ' kings ', 'Queens', 'Staten Island', 'Hoboken'])[c_custkey % 5 + 1] AS raw FROM customer)
@@ -477,11 +468,13 @@ def nested_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("s_suppkey", name_levels(name).alias("l")).select("s_suppkey", "l.*")
 
 
-@_query()
+@_query("SELECT DISTINCT lower(p_name) || 'x' AS key, lower(p_name) AS match FROM part UNION SELECT DISTINCT 'zz ' || lower(p_type), NULL FROM part")
 def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of nations with a letter changed, and the nearest true name."""
-    nation = _table(spark, sf_dir, "nation").select(X.name_key("n_name").alias("name"))
-    return fuzzy_match(nation.select(F.concat(F.col("name"), F.lit("x")).alias("key")), "key", nation, "name")
+    """Names of parts with a letter changed, and the nearest true name; and words that no name is near to."""
+    part = _table(spark, sf_dir, "part")
+    name = X.name_key("p_name")
+    keys = part.select(F.concat(name, F.lit("x")).alias("key")).union(part.select(F.concat(F.lit("zz "), X.name_key("p_type"))))
+    return fuzzy_match(keys, "key", part.select(name.alias("name")), "name")
 
 
 # ---- geometry and views ------------------------------------------------------

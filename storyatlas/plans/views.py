@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.places import borough_phrase, canonical_borough
 from ..functions.text import first_item, join_items, name_key
-from ..operators.geometry import clipped, dissolve, point_on_line, points_in_regions, region_pieces, spread_coincident, uniform
+from ..operators.geometry import clipped, dissolve, point_on_line, points_in_regions, region_pieces, rounded, spread_coincident, uniform
 from ..operators.relational import keep_first, modal_value
 from ..operators.similarity import fuzzy_match
+from ..sources.files import feature_collection
 
 DIGITS = 6
 
@@ -147,6 +148,40 @@ def areas_view(rows: DataFrame, areas: DataFrame, boroughs: DataFrame, seed: int
     return spread_coincident(placed.withColumns({"x": pick("x"), "y": pick("y"), "placement": where}).drop("_hood", "_boro"), "x", "y", "entry_id")
 
 
+def shapes(df: DataFrame, properties: list[str], digits: int = 5, kind: str = "MultiPolygon") -> DataFrame:
+    """Basemap features: the given properties, and the shapes with rounded corners; ``kind`` MultiPolygon or MultiLineString."""
+    corners = rounded(F.col("rings"), digits)
+    coordinates = F.transform(corners, lambda ring: F.array(ring)) if kind == "MultiPolygon" else corners
+    geometry = F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates"))
+    return df.select(*properties, F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), geometry.alias("geometry")).alias("feature"))
+
+
+def network_lines(lines: DataFrame) -> DataFrame:
+    """One row per service of ``lines`` (service, service_name, rings): all its paths, and its first name."""
+    names = lines.groupBy("service").agg(F.min("service_name").alias("service_name"))
+    return dissolve(lines, "service", "rings").join(names, "service")
+
+
+def publish(rows: DataFrame, areas: DataFrame, boroughs: DataFrame, lines: DataFrame, folder: str, seed: int = 0) -> dict[str, int]:
+    """Write the three views and the two basemaps as GeoJSON files to ``folder``; how many features each has, and what was skipped.
+
+    ``rows``: entries with borough_name and nbhd_name; ``areas`` and ``boroughs``: name, rings; ``lines``: service, service_name, rings.
+    """
+    placed = area_positions(rows, areas, seed)
+    paths = lines.select("service", F.col("rings").alias("paths"))
+    finest = areas_view(placed, areas, boroughs, seed)
+    views = {"locations": locations_view(placed), "subway": spread_coincident(subway_view(placed, paths, boroughs, seed), "x", "y", "entry_id"), "areas": finest.where("placement IS NOT NULL")}
+    written = {}
+    for name, view in views.items():
+        features = view.select("entry_id", feature(F.col("x"), F.col("y"), F.col("placement")).alias("feature"))
+        feature_collection(features, f"{folder}/{name}.geojson", order=["entry_id"])
+        written[name] = view.count()
+    for name, df, properties, kind in (("boroughs", boroughs, ["name"], "MultiPolygon"), ("lines", network_lines(lines), ["service", "service_name"], "MultiLineString")):
+        feature_collection(shapes(df, properties, kind=kind), f"{folder}/basemap_{name}.geojson", order=properties[:1])
+        written[f"basemap_{name}"] = df.count()
+    return written | {"skipped": skipped(finest).first()[0]}
+
+
 def skipped(placed: DataFrame) -> DataFrame:
     return placed.agg(F.count_if(F.col("placement").isNull()).alias("skipped"))
 

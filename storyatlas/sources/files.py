@@ -5,6 +5,9 @@ Every reader goes through Spark, so paths may be in any store that Spark reads.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,15 +33,25 @@ def optional_table(spark: SparkSession, path: str, schema: T.StructType | str, r
 
 
 def replace_table(df: DataFrame, path: str, sort: list[str] | None = None) -> None:
-    """Write beside ``path`` and then swap, so a table may be replaced by what is read from it."""
+    """Write beside ``path`` and then swap, so a table may be replaced by what is read from it.
+
+    The former table is set aside first and deleted last: after a crash one of both is whole, at
+    ``path`` or beside it under ``.old``, and the next call puts it back before it writes.
+    """
     spark = df.sparkSession
-    fresh = path.rstrip("/") + ".new"
-    (df.repartitionByRange(*sort).sortWithinPartitions(*sort) if sort else df).write.mode("overwrite").parquet(fresh)
-    jvm = spark.sparkContext._jvm
-    a, b = jvm.org.apache.hadoop.fs.Path(fresh), jvm.org.apache.hadoop.fs.Path(path)
-    fs = b.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(b, True)
-    fs.rename(a, b)
+    at = path.rstrip("/")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fresh, old, place = (hadoop.Path(p) for p in (f"{at}.new", f"{at}.old", at))
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(old) and not fs.exists(place):
+        fs.rename(old, place)
+    (df.repartitionByRange(*sort).sortWithinPartitions(*sort) if sort else df).write.mode("overwrite").parquet(f"{at}.new")
+    fs.delete(old, True)
+    if fs.exists(place) and not fs.rename(place, old):
+        raise OSError(f"{at} could not be set aside")
+    if not fs.rename(fresh, place):
+        raise OSError(f"{at}.new could not be put in its place")
+    fs.delete(old, True)
 
 
 def page_folder(spark: SparkSession, path: str) -> DataFrame:
@@ -100,10 +113,22 @@ def json_lines(df: DataFrame, column: str, path: str) -> None:
     df.select(F.col(column).alias("value")).write.mode("overwrite").text(path)
 
 
-def feature_collection(features: DataFrame, feature: str = "feature") -> str:
-    """A whole feature collection as one compact JSON text.  For map files, which one browser loads."""
-    rows = [r[0] for r in features.select(F.to_json(feature, {"ignoreNullFields": "false"})).toLocalIterator()]
-    return '{"type":"FeatureCollection","features":[' + ",".join(rows) + "]}"
+def feature_collection(features: DataFrame, path: str, feature: str = "feature", order: list[str] | None = None) -> None:
+    """A feature collection as one compact JSON file at ``path``.
+
+    A map file is what one browser loads, so it has one writer; features reach it one at a time, in ``order``.
+    """
+    spark = features.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place, True)
+    rows = features.orderBy(*order) if order else features
+    try:
+        out.write(bytearray(b'{"type":"FeatureCollection","features":['))
+        for n, row in enumerate(rows.select(F.to_json(feature, {"ignoreNullFields": "false"})).toLocalIterator()):
+            out.write(bytearray((("," if n else "") + row[0]).encode()))
+        out.write(bytearray(b"]}"))
+    finally:
+        out.close()
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
@@ -131,7 +156,7 @@ def articles(docs: DataFrame, column: str) -> DataFrame:
     about = [f"best of {column}", "vote for", "how to submit", f"years of {column}", f"{column} fans"]
     corrections = ["correction", "editors' note"]
     tag, phrase = kicker == column, F.lower(main).contains(column)
-    meta = F.lower(main).rlike("|".join(about))
+    meta = reduce(or_, (F.lower(main).contains(a) for a in about))
     correction = F.lower(F.trim(F.coalesce("type_of_material", F.lit("")))).isin(corrections)
     foreign = (kicker != "") & ~tag
     url = lambda c: F.coalesce(F.get_json_object(F.to_json(F.col(c)), "$.url"), F.lit(None).cast("string"))

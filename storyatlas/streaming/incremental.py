@@ -15,10 +15,11 @@ def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "10 min
 
 def enrich_arrivals(spark: SparkSession, source: str, schema: str, done_path: str, checkpoint: str, enrich: Callable[[DataFrame], DataFrame], key: str = "entry_id"):
     """Enrich what arrives in ``source`` and append it to ``done_path``; a key is enriched once, also after a restart."""
+    from ..operators.relational import keep_first
     from ..sources.files import exists
 
     def batch(rows: DataFrame, _: int) -> None:
-        todo = rows.dropDuplicates([key])
+        todo = keep_first(rows, [key], sorted(c for c in rows.columns if c != key))  # of rows with one key the least
         if exists(spark, done_path):
             todo = todo.join(spark.read.parquet(done_path).select(key), key, "left_anti")
         enrich(todo).write.mode("append").parquet(done_path)
