@@ -56,7 +56,7 @@ def pack(ids: np.ndarray, sizes: np.ndarray | None = None, names: list | None =
     for level in range(planes - 1, -1, -1):
         bit = ((v >> level) & 1).astype(bool)
         out += _plane(bit)[1]
-        v = np.concatenate([v[~bit], v[bit]])
+        v = np.concatenate([np.compress(~bit, v), np.compress(bit, v)])
     out += _plane(last)[1]
     names = [None] * len(sizes) if names is None else names
     return b"".join([*out, zlib.compress(np.array([n or 0 for n in names], "<i8").tobytes() + bytes(n is None for n in names), 1)])
@@ -164,8 +164,8 @@ class WaveletMatrix:
             zeros, _, bits = self.planes[p]
             bit = np.unpackbits(bits, bitorder="little", count=self.n).astype(bool)
             above = np.empty_like(order)
-            above[~bit] = order[:zeros]
-            above[bit] = order[zeros:] | order.dtype.type(1 << (len(self.planes) - 1 - p))
+            above[np.flatnonzero(~bit)] = order[:zeros]
+            above[np.flatnonzero(bit)] = order[zeros:] | order.dtype.type(1 << (len(self.planes) - 1 - p))
             order = above
         return order
 
