@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .linear import calibrate, sigmoid, stacked
-from .scratch import sized_broadcast, store
+from .scratch import sized_broadcast, small_batches, store
 from .tokens import chunks
 
 #: Labelled rows kept apart that the calibration sees at most, taken by hash of their id.
@@ -176,10 +176,12 @@ def _counted(rows: DataFrame, model: QualityModel | None, confidence: float) ->
         for number, v in enumerate(VIEWS):
             kind, cls, bucket = np.nonzero(total[v])
             cols = [np.full(len(kind), number), kind, cls, bucket, total[v][kind, cls, bucket].astype(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["view", "kind", "cls", "bucket", "n"])
+            for a in range(0, len(kind), 1 << 15):
+                yield pa.RecordBatch.from_arrays([pa.array(c[a : a + (1 << 15)].astype(np.int64)) for c in cols], ["view", "kind", "cls", "bucket", "n"])
 
     sums = rows.mapInArrow(count, "view long, kind long, cls long, bucket long, n long").groupBy("view", "kind", "cls", "bucket").agg(F.sum("n").alias("n"))
-    got = sums.toArrow()  # a row a bucket, class and kind at most
+    with small_batches(rows.sparkSession):
+        got = sums.toArrow()  # a row a bucket, class and kind at most
     out = {v: np.zeros((KINDS[v], 2, BUCKETS)) for v in VIEWS}
     view = got.column("view").to_numpy()
     for number, v in enumerate(VIEWS):
@@ -198,7 +200,8 @@ def _calibrated(model: QualityModel, apart: DataFrame, good_loss: float) -> None
             yield pa.RecordBatch.from_arrays([*cols, batch.column("label")], names)
 
     names = [f"{v}{i}" for v in VIEWS for i in range(KINDS[v])] + ["label"]
-    got = apart.mapInArrow(raw, ", ".join(f"{c} double" for c in names[:-1]) + ", label int").toArrow()  # about CALIBRATION_ROWS rows at most
+    with small_batches(apart.sparkSession):
+        got = apart.mapInArrow(raw, ", ".join(f"{c} double" for c in names[:-1]) + ", label int").toArrow()  # about CALIBRATION_ROWS rows at most
     cols = [got.column(c).to_numpy() for c in names]
     cols = [c[np.lexsort(cols)] for c in cols]  # as partitions may come in any order
     z = cols[-1].astype(float)

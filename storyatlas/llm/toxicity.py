@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .linear import Rows, calibrate, fit_logistic, rows_of, sigmoid
-from .scratch import store
+from .scratch import small_batches, store
 from .tokens import chunks
 
 # Terms that name groups, by kind; terms of a kind may stand for one another.
@@ -127,7 +127,8 @@ def fit_toxicity(labelled: DataFrame, fit_rows: int = FIT_ROWS, pair_weight: flo
     total = rows.count()
     if total > fit_rows:
         rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * fit_rows / total))
-    got = rows.select("doc_id", "text", F.col("label").cast("int").alias("label")).mapInArrow(_features, _FEATURES).toArrow()
+    with small_batches(rows.sparkSession):
+        got = rows.select("doc_id", "text", F.col("label").cast("int").alias("label")).mapInArrow(_features, _FEATURES).toArrow()
     ids = pc.fill_null(got.column("doc_id"), -1).to_numpy()
     y = got.column("label").to_numpy().astype(float)
     words, swapped = got.column("words").combine_chunks(), got.column("swapped").combine_chunks()

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import small_batches
 from .tokens import crc_of, encoded
 
 MAGIC = b"WVM2"
@@ -221,7 +222,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
         if held:
             yield flush()
 
-    rows.mapInArrow(shards, _SHARD).write.parquet(path)
+    with small_batches(docs.sparkSession):
+        rows.mapInArrow(shards, _SHARD).write.parquet(path)
 
 
 def read_shards(shards: DataFrame) -> DataFrame:

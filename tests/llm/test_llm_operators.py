@@ -1,5 +1,6 @@
 """The operators on small tables with awkward rows, against brute force."""
 
+import bisect
 import hashlib
 import itertools
 import re
@@ -126,6 +127,24 @@ def test_shards(docs):
     assert sorted((str(r.doc_id), r["size"], r.text_crc32) for r in got) == sorted((str(r[0]), len((r[1] or "").encode()) + 16, zlib.crc32((r[1] or "").encode())) for r in ROWS)
 
 
+def test_shards_by_brute_force(spark, docs, sf):
+    """Ranks within the source in seeded order, fractional ranks, and equal cuts, one row after another."""
+    for table in (docs, spark.read.parquet(f"{sf}/documents.parquet")):
+        facts = table.select("doc_id", "source", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"), F.crc32(F.coalesce("text", F.lit(""))).alias("c"), F.xxhash64(F.lit(17), "doc_id").alias("h")).collect()
+        null_first = lambda x: (x is not None, x or 0)
+        name = lambda s: (s is not None, s or "")
+        order = sorted(facts, key=lambda f: (name(f.source), f.h, null_first(f.doc_id), f.c, f.n))
+        placed = []
+        for _, own in itertools.groupby(order, lambda f: f.source):
+            own = list(own)
+            placed += [((i + 0.5) / len(own), name(f.source), f.h, null_first(f.doc_id), f.c, f.n, f.doc_id) for i, f in enumerate(own)]
+        placed.sort()
+        total = len(placed)
+        want = [(p[6], p[5] + 16, p[4], at * 7 // total, at - -(-(at * 7 // total) * total // 7)) for at, p in enumerate(placed)]
+        got = [(r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in stratified_shards(table, 7).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_shards_match_the_mixture(spark):
     rows = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 10 < 7, "b").alias("source"))
     got = stratified_shards(rows, 7).join(rows.select("doc_id", "source"), "doc_id").groupBy("source", "shard").count().collect()
@@ -172,6 +191,28 @@ def test_pack(docs):
     assert len({r.sequence_id for r in got}) <= -(-sum(r.length for r in got) // 128) + 1
 
 
+def test_packing_is_as_tight_as_best_fit(spark):
+    """Lengths of several kinds, against plain best fit decreasing, one piece after another."""
+    from storyatlas.llm.packing import best_fit
+    from storyatlas.llm.scratch import store
+
+    rng = np.random.default_rng(6)
+    for lengths in (rng.integers(1, 257, 3000), np.minimum(rng.lognormal(3.5, 1.0, 4000).astype(int) + 1, 256), np.full(500, 70), rng.integers(1, 4, 50), np.array([256])):
+        table = store(spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "pid long, length long"), "lengths")
+        got = best_fit(table, 256).join(table, "pid").collect()
+        assert sorted(r.pid for r in got) == list(range(len(lengths)))
+        fill = {}
+        for r in sorted(got, key=lambda r: (r.seq, r.offset)):
+            assert r.offset == fill.get(r.seq, 0)
+            fill[r.seq] = r.offset + r.length
+        gaps = []
+        for n in sorted(lengths.tolist(), reverse=True):
+            at = bisect.bisect_left(gaps, n)
+            gap = gaps.pop(at) if at < len(gaps) else 256
+            bisect.insort(gaps, gap - n)
+        assert max(fill.values()) <= 256 and len(fill) <= 1.02 * len(gaps) + 1
+
+
 def test_token_shards(docs, tmp_path):
     tok = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
     got = token_shards(docs, str(tmp_path / "s"), vocabulary("byte_bpe_50k.json"), 0, shard_ids=3000).collect()
