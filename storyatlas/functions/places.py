@@ -151,14 +151,14 @@ def street_pair(q: Column | str) -> Column:
 
 
 def apply_suffix(name: Column, suffix: Column) -> Column:
-    """A shared suffix on one side: 18th, Avenue -> 18 Avenue."""
+    """A shared suffix on one side: 31st, Road -> 31 Road."""
     name = strip_chars(name, " .,")
     direction = F.when(_group(name, GEO_ORDINAL, 1) != "", F.concat(_group(name, GEO_ORDINAL, 1), F.lit(" "))).otherwise("")
     return F.when(name.rlike(GEO_ORDINAL), F.concat(direction, _group(name, GEO_ORDINAL, 2), F.lit(" "), suffix)).otherwise(F.concat(name, F.lit(" "), suffix))
 
 
 def canonical_street(side: Column | str) -> Column:
-    """The full name of a street: 96th -> 96 Street, Fifth -> Fifth Avenue."""
+    """The full name of a street: 77th -> 77 Street, Third -> Third Avenue."""
     s = F.regexp_replace(strip_chars(side, " .,"), r"(?i)^the\s+", "")
     key = name_key(s)
     direction = F.when(_group(s, GEO_ORDINAL, 1) != "", F.concat(_group(s, GEO_ORDINAL, 1), F.lit(" "))).otherwise("")
@@ -212,7 +212,7 @@ def ordinal(n: Column | str) -> Column:
 
 
 def digit_ordinals(q: Column | str) -> Column:
-    """Ordinals in digits: Ninth -> 9th, 52d -> 52nd."""
+    """Ordinals in digits: Sixth -> 6th, 43d -> 43rd."""
     out = _col(q)
     for n, word in enumerate(WORD_ORDINALS, 1):
         out = F.regexp_replace(out, rf"(?i)\b{word}\b", f"{n}")

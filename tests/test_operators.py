@@ -5,9 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from storyatlas.functions import places as P
+from storyatlas.functions import text as X
 from storyatlas.functions.text import name_key
 from storyatlas.operators import enrich as E
 from storyatlas.operators import geometry as G
+from storyatlas.operators import neighborhoods as N
 from storyatlas.operators import relational as R
 from storyatlas.operators import similarity
 from storyatlas.plans import views as V
@@ -197,6 +199,72 @@ def test_stream(spark, tmp_path, sf):
     assert windowed_counts(spark.read.parquet(f"{sf}/events.parquet")).agg(F.sum("n")).first()[0] == spark.read.parquet(f"{sf}/events.parquet").count()
 
 
+def test_rank_columns_of_the_user_stay(spark):
+    df = spark.createDataFrame([(1, "a", 7), (2, "a", 8), (3, "b", 9)], "i int, k string, _rank int")
+    assert rows(R.keep_first(df, ["k"], ["i"])) == [(1, "a", 7), (3, "b", 9)]
+    assert R.stratified_sample(df, "k", 1, "i", 1).columns == df.columns
+
+
+def test_replaced_table_survives_a_crash(spark, tmp_path):
+    table = tmp_path / "t"
+    S.replace_table(spark.range(3), str(table))
+    table.rename(tmp_path / "t.old")  # as after a crash between setting aside and swapping
+    S.replace_table(spark.range(5), str(table))
+    assert rows(spark.read.parquet(str(table))) == [(i,) for i in range(5)] and not (tmp_path / "t.old").exists() and not (tmp_path / "t.new").exists()
+
+
+def test_coordinates_in_json(spark):
+    docs = ['{"a": [{"Latitude": "1.5", "b": {"latitude": 3, "longitude": 4}}, {"xLongitude": 9, "latitude": 8}]}', '{"latitude": 0, "longitude": 2, "in": {"latitude": 5, "longitude": "6"}}', '{"latitude": "x", "longitude": 1}', "no json", None, "[]", "3"]
+    got = spark.createDataFrame([(d,) for d in docs], "d string").select(E.coordinates_in("d").alias("c")).select("c.*").collect()
+    assert [(r.lat, r.lon) for r in got] == [(3.0, 4.0), (5.0, 6.0), *[(None, None)] * 5]
+
+
+def test_display_titles(spark):
+    cases = {"THE MTA'S 5TH rule": "The MTA's 5th Rule", "moma in soho": "MoMA in SoHo".replace("in", "In"), "nyx ny": "Nyx NY", "o'neill  was (here)": "O'neill  Was (Here)", "éa b": "éA B", "": ""}
+    got = spark.createDataFrame([(c,) for c in cases], "t string").select(X.display_title("t")).collect()
+    assert [r[0] for r in got] == list(cases.values())
+
+
+def test_first_borough(spark):
+    df = spark.createDataFrame([(["x", "Astoria", "Harlem"],), ([None],), (None,)], "n array<string>")
+    assert [r[0] for r in df.select(P.first_borough("n", {"astoria": "Queens", "harlem": "Manhattan"})).collect()] == ["Queens", None, None]
+    assert df.select(P.first_borough("n", {})).first()[0] is None
+
+
+def test_names_of_any_number(spark, monkeypatch):
+    """Blocks of keys and names give what one list of names gives."""
+    names = [f"{d} {w}town" for d in ("east", "west", "north") for w in ("korea", "china", "hills", "old")] + ["koreatown", "k", "plain hills"]
+    keys = ["korea town", "west koreatown", "east chinatwn", "nort oldtown", "zzz", "", None, "plain hill", "k"]
+    frame = lambda values, c: spark.createDataFrame([(v,) for v in values], f"{c} string")
+    want = {k: similarity.closest(k, sorted(names)) if k else None for k in keys if k is not None}
+    monkeypatch.setattr(similarity, "BLOCK", 2)
+    got = {r.key: r.match for r in similarity.fuzzy_match(frame(keys * 2, "key"), "key", frame(names, "name"), "name").collect()}
+    assert got == want and want["korea town"] == "koreatown" and want["west koreatown"] == "west koreatown"
+
+
+def test_publish(spark, tmp_path):
+    square = lambda x: [[(x, 0.0), (x + 4.0, 0.0), (x + 4.0, 4.0), (x, 4.0), (x, 0.0)]]
+    areas = N.with_unions(N.named_areas(spark.createDataFrame([("Hill (WEST)", square(0.0)), ("Dale (WEST)", square(4.0))], f"name string, rings {G.RINGS}")))
+    found = N.lookup_areas(areas)
+    assert rows(found.select("key", "name", "broad", F.size("rings"))) == [("dale", "Dale", False, 1), ("hill", "Hill", False, 1), ("west", "West", True, 2)]
+    boroughs = spark.createDataFrame([("Queens", square(0.0))], f"name string, rings {G.RINGS}")
+    lines = spark.createDataFrame([("R", "r line", [[(1.0, 1.0), (9.0, 1.0)]]), ("R", "r line", [[(9.0, 1.0), (9.0, 3.0)]])], f"service string, service_name string, rings {G.RINGS}")
+    entries = spark.createDataFrame(
+        [("1", ["west"], None, None, False, 1.0, 1.0, None), ("2", ["Hill"], None, None, False, None, None, None), ("3", None, ["Queens"], ["r"], True, None, None, None), ("4", None, None, ["Z"], True, None, None, None), ("5", None, None, None, False, None, None, None), ("6", None, None, None, False, 1.0, 1.0, " hill ")],
+        "entry_id string, neighborhoods array<string>, boroughs array<string>, subway_lines array<string>, subway_mentioned boolean, lat double, lon double, query_raw string",
+    ).withColumns({c: F.lit(None).cast(t) for c, t in (("title", "string"), ("author", "string"), ("pub_year", "int"), ("web_url", "string"), ("specific_locations", "array<string>"), ("confidence", "double"), ("low_confidence", "boolean"), ("source", "string"), ("category", "string"))})
+    placed = V.with_neighborhood(V.with_borough(entries, boroughs, V.learned_boroughs(entries)), found)
+    told = V.publish(placed, areas.where("NOT is_admin_0_union"), boroughs, lines, str(tmp_path))
+    assert told == {"locations": 2, "subway": 2, "areas": 4, "basemap_boroughs": 1, "basemap_lines": 1, "skipped": 2}
+    load = lambda n: json.loads((tmp_path / f"{n}.geojson").read_text())["features"]
+    assert [(f["properties"]["entry_id"], f["properties"]["placement"]) for f in load("areas")] == [("1", "specific"), ("2", "neighborhood"), ("3", "borough"), ("6", "area:Hill")]
+    assert [f["properties"]["placement"] for f in load("subway")] == ["subway:R", "subway:network"]
+    assert all(0 <= f["geometry"]["coordinates"][0] <= 4 for f in load("areas")[1:])
+    (line,) = load("basemap_lines")
+    assert line["geometry"]["type"] == "MultiLineString" and len(line["geometry"]["coordinates"]) == 2 and line["properties"] == {"service": "R", "service_name": "r line"}
+    assert load("basemap_boroughs")[0]["geometry"]["coordinates"][0][0][1] == [4.0, 0.0]
+
+
 def test_every_covered_pair(spark):
     """No pair is left out, whatever the remainders of its ids."""
     texts = ["Carnegie Hall, New York", "carnegie deli and hall", "Lundy's", "", None, "Plaza", "one two three", "Hall one"]
