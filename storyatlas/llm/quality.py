@@ -154,6 +154,24 @@ def _apart(key: str) -> Column:
     return F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(4)) == 3
 
 
+#: Places in which the tasks' counts are added up.
+GROUPS = 8
+_KEY = ["grp", "view", "kind", "cls"]
+_COUNTS = "grp long, view long, kind long, cls long, n binary"
+
+
+def _group() -> int:
+    from pyspark import TaskContext
+
+    return TaskContext.get().partitionId() % GROUPS
+
+
+def _count_rows(group: int, total: dict[str, np.ndarray]) -> pa.RecordBatch:
+    keys = [(group, number, kind, cls) for number, v in enumerate(VIEWS) for kind in range(KINDS[v]) for cls in (0, 1)]
+    data = [total[VIEWS[v]][kind, cls].astype(np.int64).tobytes() for _, v, kind, cls in keys]
+    return pa.RecordBatch.from_arrays([*(pa.array(c) for c in zip(*keys, strict=True)), pa.array(data, pa.binary())], [*_KEY, "n"])
+
+
 def _counted(rows: DataFrame, model: QualityModel | None, confidence: float) -> dict[str, np.ndarray]:
     """Counts for each view: of labelled rows, and with a model of those that the other view is confident of."""
 
@@ -173,20 +191,25 @@ def _counted(rows: DataFrame, model: QualityModel | None, confidence: float) ->
                     for cls in (0, 1):
                         if (given[v] == cls).any():
                             total[v][kind, cls] += features.counts(given[v] == cls)
-        for number, v in enumerate(VIEWS):
-            kind, cls, bucket = np.nonzero(total[v])
-            cols = [np.full(len(kind), number), kind, cls, bucket, total[v][kind, cls, bucket].astype(np.int64)]
-            for a in range(0, len(kind), 1 << 15):
-                yield pa.RecordBatch.from_arrays([pa.array(c[a : a + (1 << 15)].astype(np.int64)) for c in cols], ["view", "kind", "cls", "bucket", "n"])
-
-    sums = rows.mapInArrow(count, "view long, kind long, cls long, bucket long, n long").groupBy("view", "kind", "cls", "bucket").agg(F.sum("n").alias("n"))
+        yield _count_rows(_group(), total)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, ...], np.ndarray] = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key = tuple(batch.column(c)[i].as_py() for c in _KEY)
+                own = np.frombuffer(batch.column("n")[i].as_buffer(), np.int64)
+                sums[key] = sums[key] + own if key in sums else own
+        for key, n in sums.items():
+            yield pa.RecordBatch.from_arrays([*(pa.array([k]) for k in key), pa.array([n.tobytes()], pa.binary())], [*_KEY, "n"])
+
+    # a row of counts for each task, view, kind and class; they are added up in GROUPS places, and the rest here
+    each = rows.mapInArrow(count, _COUNTS).repartition(*_KEY)
     with small_batches(rows.sparkSession):
-        got = sums.toArrow()  # a row a bucket, class and kind at most
+        got = each.mapInArrow(added, _COUNTS).toArrow()
     out = {v: np.zeros((KINDS[v], 2, BUCKETS)) for v in VIEWS}
-    view = got.column("view").to_numpy()
-    for number, v in enumerate(VIEWS):
-        own = view == number
-        out[v][tuple(got.column(c).to_numpy()[own] for c in ("kind", "cls", "bucket"))] = got.column("n").to_numpy()[own] * COUNT_UNIT
+    for r in got.to_pylist():
+        out[VIEWS[r["view"]]][r["kind"], r["cls"]] += np.frombuffer(r["n"], np.int64) * COUNT_UNIT
     return out
 
 
