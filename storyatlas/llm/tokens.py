@@ -66,9 +66,11 @@ def _bounds(lists: pa.Array) -> np.ndarray:
 class PieceEncoder:
     """Encodes arrays of texts.  ``keeps_space``: the vocabulary has white space in its tokens."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int | None = None):
         from tokenizers import Tokenizer
 
+        self.remembered = REMEMBERED if remembered is None else remembered
+
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
@@ -148,7 +150,7 @@ class PieceEncoder:
 
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """As ``encode``, for texts without special tokens."""
-        if len(self.place) > REMEMBERED or self.held > REMEMBERED_BYTES:
+        if len(self.place) > self.remembered or self.held > REMEMBERED_BYTES:
             self._forget()
         if self.keeps_space:
             # a space after white space is no cut: such texts stay whole
@@ -175,10 +177,11 @@ class PieceEncoder:
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, remembered: int | None = None) -> PieceEncoder:
     """One encoder per worker process and vocabulary, as workers outlive tasks."""
     if path not in _ENCODERS:
         _ENCODERS[path] = PieceEncoder(path)
+    _ENCODERS[path].remembered = REMEMBERED if remembered is None else remembered
     return _ENCODERS[path]
 
 
@@ -202,9 +205,10 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CH
     _release()
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str, text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    own = encoder(path)
-    for batch in chunks(batches, text):
+def encoded(batches: Iterator[pa.RecordBatch], path: str, text: str = "text", most: int = CHUNK_BYTES, remembered: int | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the batches with their ids and bounds.  Larger slices and more pieces to remember save time and cost memory."""
+    own = encoder(path, remembered)
+    for batch in chunks(batches, text, most):
         yield batch, *own.encode(batch.column(text))
 
 

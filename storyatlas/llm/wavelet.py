@@ -25,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import small_batches
 from .tokens import crc_of, encoded
 
 MAGIC = b"WVM2"
 BLOCK = 512
 #: Ids after which a shard is closed; bounds the memory of writers and readers.
 SHARD_IDS = 1 << 21
+#: Text that a writer encodes at once, and pieces that it remembers: it has its worker for itself.
+ENCODED_BYTES, REMEMBERED = 8 << 20, 500_000
 _HEADER = "<4sIQQ"
 
 
@@ -202,7 +203,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
             return pa.RecordBatch.from_arrays(cols, ["part", "shard", "n_ids", "matrix"])
 
         waiting = 0
-        for batch, ids, bounds in encoded(batches, tokenizer):
+        for batch, ids, bounds in encoded(batches, tokenizer, most=ENCODED_BYTES, remembered=REMEMBERED):
             ends = np.insert(ids, bounds[1:], end_id)
             sizes = np.diff(bounds) + 1
             names = batch.column("doc_id").to_pylist()
@@ -222,8 +223,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
         if held:
             yield flush()
 
-    with small_batches(docs.sparkSession):
-        rows.mapInArrow(shards, _SHARD).write.parquet(path)
+    rows.mapInArrow(shards, _SHARD).write.parquet(path)
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
