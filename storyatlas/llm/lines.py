@@ -63,7 +63,10 @@ def drop_shared_lines(docs: DataFrame, min_docs: int = 2, min_length: int = 10,
     doc = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"))
     rows = numbered(docs, row).select(F.col(row).alias("_row"), doc.alias("_doc"), lines.alias("_lines"))
     lost = _lost(rows, min_docs, min_length).withColumnRenamed("_row", "_r")
-    kept = F.array_join(F.filter("_lines", lambda _, i: ~F.coalesce(F.array_contains(F.col("_gone"), i), F.lit(False))), "\n")
+    # flags up to the last lost line, in one walk; joining leaves out NULLs
+    before = F.concat(F.array(F.lit(-1)), F.slice("_gone", F.lit(1), F.size("_gone") - 1))
+    flags = F.flatten(F.zip_with(before, F.col("_gone"), lambda a, b: F.concat(F.array_repeat(F.lit(False), b - a - 1), F.array(F.lit(True)))))
+    kept = F.array_join(F.zip_with(F.col("_lines"), flags, lambda line, gone: F.when(gone, F.lit(None)).otherwise(line)), "\n")
     return rows.join(lost, F.col("_row") == F.col("_r"), "left").select(
         F.col("_doc.id").alias("doc_id"),
         F.when(F.col("_gone").isNull(), F.array_join("_lines", "\n")).otherwise(kept).alias("text"),

@@ -42,14 +42,18 @@ def leaf(*fields: Column) -> Column:
     return digest(F.concat(*[encoded(f) for f in fields]))
 
 
-def _collapse(nodes: Column, fan: int) -> Column:
-    """Every ``fan`` consecutive digests become the digest of them all."""
-    runs = F.sequence(F.lit(0), F.ceil(F.size(nodes) / F.lit(fan)).cast("int") - 1)
-    return F.transform(runs, lambda i: digest(F.array_join(F.slice(nodes, i * fan + 1, fan), "")))
+def _runs(nodes: Column, fan: int) -> Column:
+    """The digests in runs of ``fan`` consecutive ones; the last may be shorter."""
+    return F.transform(F.sequence(F.lit(0), F.ceil(F.size(nodes) / F.lit(fan)).cast("int") - 1), lambda i: F.slice(nodes, i * fan + 1, fan))
+
+
+def _collapse(runs: Column, fan: int) -> Column:
+    """Each run becomes the digest of its members; in runs again."""
+    return _runs(F.transform(runs, lambda run: digest(F.array_join(run, ""))), fan)
 
 
 def _blocks(rows: DataFrame, fan: int, depth: int) -> DataFrame:
-    """``rows`` (g, pos, node, extra) -> g, block, more (whether g has several), extras, nodes: digests of each level, the leaves first."""
+    """``rows`` (g, pos, node, extra) -> g, block, more (whether g has several), extras, nodes: runs of digests for each level, the leaves first."""
     size = fan**depth
     grouped = rows.groupBy("g", F.expr(f"pos DIV {size}").alias("block")).agg(F.array_sort(F.collect_list(F.struct("pos", "node", "extra"))).alias("_members"))
     grouped = store(grouped, "manifest-members")
@@ -58,7 +62,7 @@ def _blocks(rows: DataFrame, fan: int, depth: int) -> DataFrame:
     # a lone block stops at its root; of several, each goes all the way
     needed = reduce(lambda a, b: a + b, [(F.size("_members") > fan**i).cast("int") for i in range(depth)])
     levels = F.slice(F.sequence(F.lit(1), F.lit(depth)), F.lit(1), F.when(F.col("more"), F.lit(depth)).otherwise(needed))
-    nodes = F.aggregate(levels, F.array(leaves), lambda acc, _: F.concat(acc, F.array(_collapse(F.element_at(acc, -1), fan))))
+    nodes = F.aggregate(levels, F.array(_runs(leaves, fan)), lambda acc, _: F.concat(acc, F.array(_collapse(F.element_at(acc, -1), fan))))
     return store(grouped.join(several, F.col("g") == F.col("_g")).select("g", "block", "more", F.col("_members.extra").alias("extras"), nodes.alias("nodes")), "manifest-blocks")
 
 
@@ -67,7 +71,7 @@ def _forest(rows: DataFrame, fan: int, depth: int) -> tuple[list[DataFrame], Dat
     rounds, roots = [], None
     while True:
         blocks = _blocks(rows, fan, depth)
-        top = blocks.select("g", "block", "more", F.element_at(F.element_at("nodes", -1), 1).alias("node"))
+        top = blocks.select("g", "block", "more", F.col("nodes")[F.size("nodes") - 1][0][0].alias("node"))
         made = top.where("NOT more").select("g", F.col("node").alias("root"), F.lit(len(rounds)).alias("round"))
         roots = made if roots is None else roots.unionByName(made)
         rounds.append(blocks)
@@ -82,8 +86,8 @@ def _steps(index: Column, nodes: Column, fan: int) -> Column:
     def step(level: Column, i: Column) -> Column:
         width = F.pow(F.lit(float(fan)), i).cast("long")  # members below a node of this level
         at = F.floor(index / width).cast("int")
-        first, slot = at - at % fan, at % fan
-        return F.struct(F.array_join(F.slice(level, first + 1, slot), "").alias("left"), F.array_join(F.slice(level, at + 2, F.lit(fan - 1) - slot), "").alias("right"))
+        run, slot = level[F.floor(at / F.lit(fan)).cast("int")], at % fan
+        return F.struct(F.array_join(F.slice(run, F.lit(1), slot), "").alias("left"), F.array_join(F.slice(run, slot + 2, F.lit(fan)), "").alias("right"))
 
     return F.transform(F.slice(nodes, F.lit(1), F.size(nodes) - 1), step)
 
@@ -91,7 +95,7 @@ def _steps(index: Column, nodes: Column, fan: int) -> Column:
 def _members(blocks: DataFrame, above: DataFrame, fan: int, depth: int) -> DataFrame:
     """g, pos, path, top, root for each member of ``blocks``, whose own come from ``above`` (g, block, path, top, root)."""
     joined = blocks.join(above.select(F.col("g").alias("_g"), F.col("block").alias("_b"), "path", "top", "root"), (F.col("g") == F.col("_g")) & (F.col("block") == F.col("_b")))
-    paths = F.transform(F.element_at("nodes", 1), lambda _, i: F.concat(_steps(i, F.col("nodes"), fan), F.col("path")))
+    paths = F.transform("extras", lambda _, i: F.concat(_steps(i, F.col("nodes"), fan), F.col("path")))
     return joined.select("g", "block", "top", "root", F.posexplode(paths).alias("_i", "path")).select("g", (F.col("block") * fan**depth + F.col("_i")).alias("pos"), "path", "top", "root")
 
 
@@ -135,7 +139,7 @@ def merkle_manifest(docs: DataFrame, fan: int = FAN, depth: int = DEPTH, id_col:
     blocks = rounds[0].join(above.select(F.col("g").alias("_g"), F.col("block").alias("_b"), "path", "top", "root"), (F.col("g") == F.col("_g")) & (F.col("block") == F.col("_b")))
 
     def row(extra: Column, i: Column) -> Column:
-        return F.struct(extra["id"].alias("doc_id"), F.element_at(F.element_at("nodes", 1), i + 1).alias("leaf"), extra["alt"].alias("alt"), F.concat(_steps(i, F.col("nodes"), fan), F.col("path")).alias("path"))
+        return F.struct(extra["id"].alias("doc_id"), F.col("nodes")[0][F.floor(i / F.lit(fan)).cast("int")][i % fan].alias("leaf"), extra["alt"].alias("alt"), F.concat(_steps(i, F.col("nodes"), fan), F.col("path")).alias("path"))
 
     def held(r: Column) -> Column:
         siblings = F.array_join(F.transform(r["path"], lambda s: F.concat(s["left"], s["right"])), "")

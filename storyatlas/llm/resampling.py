@@ -46,8 +46,8 @@ def _bucket(feature: str, buckets: int) -> Column:
 
 def bucket_counts(texts: DataFrame, text_col: str, longest: int, buckets: int) -> DataFrame:
     """bucket, n: how many features of all ``texts`` fall into each bucket that has any."""
-    rows = texts.select(words(F.col(text_col)).alias("_words"))
-    grams = rows.select(F.explode(runs(F.col("_words"), longest)).alias("_gram"))
+    rows = texts.select(words(F.col(text_col)).alias("_words")).select(runs(F.col("_words"), longest).alias("_runs"))
+    grams = rows.select(F.explode("_runs").alias("_gram"))
     return grams.select(_bucket("_gram", buckets).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
@@ -81,7 +81,9 @@ def importance_resample(
     """
     table = gains(docs, target, text_col, target_col, longest, buckets)
     rows = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("_words")).withColumn("_row", F.monotonically_increasing_id())
-    grams = rows.select("_row", "doc_id", F.size("_words").alias("_size"), F.explode_outer(runs(F.col("_words"), longest)).alias("_gram"))
+    # no array goes along with the exploded rows
+    rows = rows.select("_row", "doc_id", F.size("_words").alias("_size"), runs(F.col("_words"), longest).alias("_runs"))
+    grams = rows.select("_row", "doc_id", "_size", F.explode_outer("_runs").alias("_gram"))
     grams = grams.select("_row", "doc_id", "_size", _bucket("_gram", buckets).alias("bucket"))
     # a document's rows come one after another in one task, so they are summed before the shuffle
     summed = grams.join(F.broadcast(table), "bucket", "left").groupBy("_row", "doc_id", "_size").agg(F.count("gain").alias("n_features"), F.coalesce(F.sum("gain"), F.lit(0)).alias("_sum"))

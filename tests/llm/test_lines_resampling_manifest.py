@@ -15,7 +15,7 @@ from storyatlas.llm.resampling import importance_resample
 
 #: doc_id, text, lang, source, n_chars, and columns whose names clash with inner ones.
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, g string, _row int, _lines string, rank int, bucket int, pos int, root string"
-BIG = "\n".join(f"line number {i % 7000} of a very long text" for i in range(60000))  # some MB
+BIG = "\n".join(f"line number {i % 7000} of a very long text" for i in range(40000))  # over a MB
 
 
 def doc(i, text, lang="en", source="web"):
@@ -94,7 +94,8 @@ def plain_draw(rows, target, percent=25, longest=2):
     for x in target:
         for b in features(x)[1]:
             t[b] += 1
-    gain = [math.floor(1000 * math.log((float(t[b] + 1) * (sum(s) + 10000)) / (float(s[b] + 1) * (sum(t) + 10000)))) for b in range(10000)]
+    all_s, all_t = sum(s) + 10000, sum(t) + 10000
+    gain = [math.floor(1000 * math.log((float(t[b] + 1) * all_s) / (float(s[b] + 1) * all_t))) for b in range(10000)]
     out = []
     for i, text, *_ in rows:
         w, f = features(text)
