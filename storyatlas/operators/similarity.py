@@ -1,17 +1,20 @@
 """Closest names by matching-block ratio (Ratcliff/Obershelp), which no SQL engine has built in.
 
-Only names without an exact match get here.  Keys and the dictionary are cut into
-blocks of a bounded size, and every block of keys meets every block of names; the
-best of a key's blocks count.
+A ratio is costly, so a lossless filter names the pairs that can reach the cut-off.
+Of T letters in both names, a ratio of c needs M >= c T / 2 in matching blocks; the
+T - 2 M others part at most T - 2 M + 1 blocks, so the names share at least
+M - (q - 1) (T - 2 M + 1) runs of q letters.  A key leaves out as many of its most common
+runs as it must share but one, and meets the names that have one of the rest: an
+equi-join.  It takes the length of runs, up to ``LONGEST``, by which it meets fewest.  What
+meets is held against the lengths and the letters in common, and only then compared.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from difflib import SequenceMatcher, get_close_matches
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import places as P
@@ -20,10 +23,10 @@ from ..functions.text import name_key
 # fixed values: words that turn a place into its opposite, and how near a name must be
 DIRECTIONS = {"east", "west", "north", "south", "upper", "lower", "central"}
 CUTOFF = 0.86
-#: Names that are shipped to every task at most.
+#: Rows that are shipped to every task at most.
 SHIPPED = 100_000
-#: Keys and names that a block has, about.
-BLOCK = 2_000
+#: Letters that runs have at most.
+LONGEST = 4
 #: Near names among which one with the key's directions is looked for.
 NEAR = 3
 
@@ -53,28 +56,73 @@ def closest(key: str, names: list[str], cutoff: float = CUTOFF) -> str | None:
     return with_its_directions(key, [c for _, c in nearest_names(key, names, cutoff)])
 
 
-def fuzzy_match(keys: DataFrame, key: str, names: DataFrame, name: str, cutoff: float = CUTOFF) -> DataFrame:
-    """key, match: the nearest name of each distinct key, NULL without; see ``closest``.  Dictionaries of any size."""
-    own = keys.select(F.col(key).cast("string").alias("_k")).where(F.col("_k").isNotNull()).distinct()
-    table = names.select(F.col(name).cast("string").alias("_n")).where(F.col("_n").isNotNull()).distinct()
+def _numbered_tokens(parts: Column) -> Column:
+    """Tokens with their occurrence, so that a set of them stands for a multiset."""
+    once = F.array_distinct(parts)
+    times = F.transform(once, lambda t: F.struct(t.alias("t"), F.size(F.filter(parts, lambda p: p == t)).alias("n")))
+    return F.flatten(F.transform(times, lambda x: F.transform(F.sequence(F.lit(1), x["n"]), lambda i: F.concat(x["t"], F.lit("\x1f"), i.cast("string")))))
+
+
+def _letters(name: Column) -> Column:
+    return F.filter(F.split(name, ""), lambda c: c != "")
+
+
+def _runs(letters: Column, q: int) -> Column:
+    """Every ``q`` neighbouring letters, numbered, under the number of their letters."""
+    ends = F.sequence(F.lit(q), F.greatest(F.size(letters), F.lit(q)))
+    runs = F.transform(ends, lambda i: F.concat(F.lit(f"{q}:"), F.array_join(F.slice(letters, i - q + 1, F.lit(q)), "")))
+    return F.when(F.size(letters) >= q, _numbered_tokens(runs)).otherwise(F.array().cast("array<string>"))
+
+
+def _shared(n: Column, q: int, cutoff: float) -> Column:
+    """How many runs of ``q`` letters a name of ``n`` letters shares at least with any that reaches ``cutoff``."""
+    least, most = F.ceil(n * cutoff / (2 - cutoff) - 1e-9), F.floor(n * (2 - cutoff) / cutoff + 1e-9)
 
-    def blocks(df: DataFrame, column: str, out: str) -> DataFrame:
-        n = max(1, -(-df.count() // BLOCK))
-        return df.groupBy(F.pmod(F.xxhash64(column), F.lit(n)).alias("_b")).agg(F.sort_array(F.collect_list(column)).alias(out)).drop("_b")
+    def runs(other: Column) -> Column:
+        blocks = F.ceil((n + other) * cutoff / 2 - 1e-9)
+        return F.when(blocks <= F.least(n, other), blocks - (q - 1) * (n + other - 2 * blocks + 1))  # else the lengths alone forbid it
 
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            for some, against in zip(frame["keys"], frame["names"], strict=True):
-                against = list(against)
-                rows = [(k, r, n) for k in some if k for r, n in nearest_names(k, against, cutoff)]
-                yield pd.DataFrame(rows, columns=["_k", "r", "n"])
+    return F.coalesce(F.array_min(F.transform(F.sequence(least, F.greatest(most, least)), runs)), n.cast("long"))
 
-    # a row for each pair of blocks
-    met = blocks(own, "_k", "keys").crossJoin(blocks(table, "_n", "names")).repartition(own.sparkSession.sparkContext.defaultParallelism)
-    found = met.mapInPandas(near, "_k string, r double, n string").groupBy("_k").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("r", "n")))), 1, NEAR).alias("_f"))
-    words = lambda c: F.array_sort(F.array_intersect(F.split(c, r"(?U)\s+"), F.array(*map(F.lit, sorted(DIRECTIONS)))))
-    agreeing = F.filter("_f", lambda f: words(f["n"]) == words(F.col("_k")))
-    return own.join(found.select("_k", F.try_element_at(agreeing, F.lit(1))["n"].alias("match")), "_k", "left").select(F.col("_k").alias(key), "match")
+
+def fuzzy_candidates(keys: DataFrame, key: str, names: DataFrame, name: str, cutoff: float = CUTOFF) -> DataFrame:
+    """key, name: distinct pairs, among them all whose ratio reaches ``cutoff``.
+
+    Pairs agree in a run of letters, in lengths that can reach the ratio, and in enough letters.  NULLs and empty names meet nothing.
+    """
+    qs = range(LONGEST, 0, -1)
+
+    def lettered(df: DataFrame, c: str) -> DataFrame:
+        rows = df.select(F.col(c).cast("string").alias("name")).where("name <> ''").distinct().withColumn("_l", _letters(F.col("name")))
+        return rows.select("name", "_l", F.size("_l").alias("n"), _runs(F.col("_l"), 1).alias("letters"))
+
+    theirs = lettered(names, name).select("name", "n", "letters", F.explode(F.concat(*[_runs(F.col("_l"), q) for q in qs])).alias("token"))
+    often = theirs.groupBy("token").agg(F.count("*").alias("often"))
+    mine = lettered(keys, key).select("name", "n", "letters", "_l", *[_shared(F.col("n"), q, cutoff).alias(f"_s{q}") for q in qs])
+    ways = F.filter(F.array(*[F.struct(F.lit(q).alias("q"), F.col(f"_s{q}").alias("shared"), _runs(F.col("_l"), q).alias("runs")) for q in qs]), lambda w: w["shared"] >= 1)
+    mine = mine.select("name", "n", "letters", F.explode(ways).alias("_w")).select("name", "n", "letters", "_w.q", (F.size("_w.runs") - F.col("_w.shared") + 1).alias("_taken"), F.explode("_w.runs").alias("token"))
+    mine = mine.join(often, "token", "left").withColumn("often", F.coalesce("often", F.lit(0)))
+    mine = mine.withColumn("_at", F.row_number().over(Window.partitionBy("name", "q").orderBy("often", "token"))).where("_at <= _taken")
+    mine = mine.withColumn("_met", F.sum("often").over(Window.partitionBy("name", "q")))
+    mine = mine.withColumn("_best", F.min(F.struct("_met", "q")).over(Window.partitionBy("name"))).where("q = _best.q AND often > 0")
+    # lengths in bands as wide as the longest step: a partner is in the same band or beside it
+    step = (2 - cutoff) / cutoff
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(step))) if step > 1 else F.col("n")
+    left = mine.select("token", F.explode(F.array(band - 1, band, band + 1)).alias("_band"), F.col("name").alias("key"), F.col("n").alias("_n"), F.col("letters").alias("_letters"))
+    met = left.join(theirs.withColumn("_band", band), ["token", "_band"])
+    total = F.col("n") + F.col("_n")
+    met = met.where(F.least("n", "_n") * 2 >= total * cutoff - 1e-9).where(F.size(F.array_intersect("letters", "_letters")) * 2 >= total * cutoff - 1e-9)
+    return met.select("key", "name").distinct()
+
+
+def fuzzy_match(keys: DataFrame, key: str, names: DataFrame, name: str, cutoff: float = CUTOFF) -> DataFrame:
+    """key, match: the nearest name of each distinct key, NULL without; see ``closest``.  Dictionaries of any size."""
+    own = keys.select(F.col(key).cast("string").alias("_k")).where(F.col("_k").isNotNull()).distinct()
+    pairs = fuzzy_candidates(keys, key, names, name, cutoff).withColumn("r", ratio("name", "key")).where(F.col("r") >= cutoff)
+    near = pairs.withColumn("_at", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("r"), F.desc("name")))).where(F.col("_at") <= NEAR)
+    words = lambda c: F.array_sort(F.array_distinct(F.filter(F.split(c, r"(?U)\s+"), lambda w: w.isin(sorted(DIRECTIONS)))))
+    best = near.where(words(F.col("name")) == words(F.col("key"))).groupBy("key").agg(F.min_by("name", "_at").alias("match"))
+    return own.join(best, own["_k"] == best["key"], "left").select(F.col("_k").alias(key), "match")
 
 
 def guarded(query: Column, label: Column, house_number: Column, place: float = 0.55, address: float = 0.35) -> Column:
@@ -89,7 +137,7 @@ def covered_pairs(labels: DataFrame, label_id: str, label: str, queries: DataFra
     without identifying words (n_words = 0) is covered by every label that is not empty.
     """
     words = queries.select(query_id, P.distinct_tokens(query).alias("_words")).where(F.col("_words").isNotNull())
-    total, blank = words.agg(F.count("*"), F.count_if(F.size("_words") == 0)).first()
+    total, blank = words.agg(F.coalesce(F.sum(F.size("_words")), F.lit(0)), F.count_if(F.size("_words") == 0)).first()
     wanted = words.select(query_id, F.size("_words").cast("long").alias("n_words"), F.explode("_words").alias("_word"))
     own = labels.select(label_id, F.explode(F.array_distinct(F.split(name_key(label), " "))).alias("_word"))
     met = own.join(F.broadcast(wanted) if total <= SHIPPED else wanted, "_word")

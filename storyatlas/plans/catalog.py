@@ -417,9 +417,6 @@ def ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", P.ordinal(F.col("o_orderkey") % 190 + 1).alias("ordinal"), P.digit_ordinals("raw").alias("digits"))
 
 
-QUERIES["ordinals_all"], ORACLE["ordinals_all"] = ordinals, ORACLE["ordinals"]
-
-
 @_query(
     r"""
     WITH s AS (SELECT c_custkey, (['The Bronx', ' kings ', 'Queens', 'Staten Island', 'Hoboken'])[c_custkey % 5 + 1] AS raw FROM customer)
@@ -477,6 +474,22 @@ def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_match(keys, "key", part.select(name.alias("name")), "name")
 
 
+@_query(
+    """
+    WITH n AS (SELECT c_custkey AS k, left(md5(c_custkey::VARCHAR), 16) AS h FROM customer)
+    SELECT key, match FROM (SELECT CASE k % 4 WHEN 0 THEN 'east ' || h WHEN 1 THEN 'east ' || h WHEN 2 THEN 'west ' || left(h, 7) || right(h, 8) ELSE reverse(h) || ' upper' END AS key,
+      CASE k % 4 WHEN 0 THEN 'east ' || h WHEN 1 THEN NULL WHEN 2 THEN 'west ' || h END AS match FROM n)"""
+)
+def fuzzy_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of places that differ in their direction, lack a letter, or are like no other; a name for each customer."""
+    h = F.substring(F.md5(F.col("c_custkey").cast("string").cast("binary")), 1, 16)
+    rows = _table(spark, sf_dir, "customer").select((F.col("c_custkey") % 4).alias("k"), h.alias("h"))
+    names = rows.select(F.concat(F.when(F.col("k") == 0, "east ").otherwise("west "), "h").alias("name"))
+    east, west = F.concat(F.lit("east "), "h"), F.concat(F.lit("west "), F.left("h", F.lit(7)), F.right("h", F.lit(8)))
+    keys = rows.select(F.when(F.col("k") < 2, east).when(F.col("k") == 2, west).otherwise(F.concat(F.reverse("h"), F.lit(" upper"))).alias("key"))
+    return fuzzy_match(keys, "key", names, "name")
+
+
 # ---- geometry and views ------------------------------------------------------
 
 _SQUARES = "[{'name': 'A', 'x': 0.0, 'y': 0.0}, {'name': 'B', 'x': 10.0, 'y': 0.0}, {'name': 'C', 'x': 0.0, 'y': 10.0}, {'name': 'D', 'x': 10.0, 'y': 10.0}]"
