@@ -23,6 +23,8 @@ ENTITY_FIELDS = {
     "neighborhood_mentioned": "boolean", "neighborhoods": "array<string>",
     "borough_mentioned": "boolean", "boroughs": "array<string>",
 }
+#: Each opens a tail of a query.
+TAIL_WORD = r"(?i)\b(?:at|on|in)\s"
 ENTITY_SCHEMA = "entry_id string, " + ", ".join(f"{k} {v}" for k, v in ENTITY_FIELDS.items()) + ", error string"
 
 
@@ -93,29 +95,60 @@ def with_attempts(rows: DataFrame) -> DataFrame:
     name, or bounded (one borough only); ``covers`` is what a found label should name.  ``tail`` is a
     location at the query's end, to be routed as a query of its own when all attempts fail.
     """
-    q = F.col("query")
-    rows = _fenced(_fenced(rows).withColumns({"category": P.classify(q), "_core": P.station_core(q), "_tail": P.location_tail(q), "_first": P.street_pair(q)["one"], "_pinned": P.is_pinned_street(q)}))
-    rows = _fenced(rows.withColumns({"_pair": P.crossing_streets(q), "_core_kind": P.classify("_core"), "_digits": P.digit_ordinals(q)}))
-    rows = _fenced(rows.withColumn("_core_pair", P.crossing_streets("_core")))
-
     def attempt(kind: str, text: Column, low: bool, covers: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), text.alias("text"), F.lit(low).alias("low"), covers.alias("covers"))
 
-    def crossing(pair: str) -> Column:
-        return attempt("crossing", F.concat_ws(" & ", F.col(f"{pair}.one"), F.col(f"{pair}.other")), False, q)
+    def facts(q: Column) -> Column:
+        return F.struct(
+            q.alias("q"), P.classify(q).alias("category"), P.station_core(q).alias("core"), P.location_tail(q).alias("tail"), P.street_pair(q)["one"].alias("first"),
+            P.is_pinned_street(q).alias("pinned"), P.crossing_streets(q).alias("pair"), P.digit_ordinals(q).alias("digits"),
+        )
+
+    def of_core(f: Column) -> Column:
+        return F.struct(f.alias("f"), P.classify(f["core"]).alias("kind"), P.crossing_streets(f["core"]).alias("pair"))
+
+    def ways(x: Column) -> Column:
+        f, q, core = x["f"], x["f"]["q"], x["f"]["core"]
+        crossing = lambda pair: attempt("crossing", F.concat_ws(" & ", pair["one"], pair["other"]), False, q)
+        street = F.coalesce(f["pair"]["one"], f["first"])
+        station = [attempt("name", core, False, core), attempt("name", q, False, core), attempt("name", F.concat(core, F.lit(" station")), False, core)]
+        attempts = (
+            F.when(f["category"] == "intersection", F.array(crossing(f["pair"])))
+            .when(f["category"] == "relational", F.array(crossing(f["pair"]), attempt("name", street, True, street)))
+            .when((f["category"] == "station") & (x["kind"] == "intersection"), F.array(crossing(x["pair"]), *station))
+            .when(f["category"] == "station", F.array(*station))
+            .when(f["pinned"], F.array(attempt("bounded", f["digits"], True, f["digits"])))
+            .otherwise(F.array(attempt("name", q, False, q)))
+        )
+        ends = f["category"].isin("place", "bare_street") & ~f["pinned"]
+        return F.struct(f["category"].alias("category"), attempts.alias("attempts"), F.when(ends, f["tail"]).alias("tail"))
+
+    # rules inside lambdas are long trees that are walked, not long methods that a compiler gives up on
+    return rows.select("*", F.inline(F.transform(F.transform(F.transform(F.array("query"), facts), of_core), ways)))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def tail_chain(query: Column) -> Column:
+    """The query, its tail, the tail's tail and so on, as one array: every text is routed as a query of its own.
+
+    A chain ends at a fixed point, at a street, crossing, relation or station, and where no tail can be geocoded.
+    There are as many links at most as the query has words that open a tail.
+    """
+
+    def further(last: Column) -> Column:
+        ends = lambda q: F.when(P.classify(q).isin("place", "bare_street") & ~P.is_pinned_street(q), P.location_tail(q))
+        tail = _once(F.coalesce(P._lookup(name_key(last), P.ALIASES), last), ends)
+        return F.when(~name_key(last).isin(list(P.PINNED_POINTS)), tail)
+
+    def step(chain: Column, _: Column) -> Column:
+        return _once(_once(F.element_at(chain, -1), further), lambda t: F.when(t.isNull(), chain).otherwise(F.array_append(chain, t)))
 
-    core, street = F.col("_core"), F.coalesce("_pair.one", "_first")
-    station = [attempt("name", core, False, core), attempt("name", q, False, core), attempt("name", F.concat(core, F.lit(" station")), False, core)]
-    ways = (
-        F.when(F.col("category") == "intersection", F.array(crossing("_pair")))
-        .when(F.col("category") == "relational", F.array(crossing("_pair"), attempt("name", street, True, street)))
-        .when((F.col("category") == "station") & (F.col("_core_kind") == "intersection"), F.array(crossing("_core_pair"), *station))
-        .when(F.col("category") == "station", F.array(*station))
-        .when(F.col("_pinned"), F.array(attempt("bounded", F.col("_digits"), True, F.col("_digits"))))
-        .otherwise(F.array(attempt("name", q, False, q)))
-    )
-    ends = F.col("category").isin("place", "bare_street") & ~F.col("_pinned")
-    return _fenced(rows.withColumns({"attempts": ways, "tail": F.when(ends, F.col("_tail"))})).drop("_core", "_tail", "_first", "_pair", "_pinned", "_core_kind", "_core_pair", "_digits")
+    links = F.array_repeat(F.lit(0), F.coalesce(F.regexp_count(query, F.lit(TAIL_WORD)), F.lit(0)))
+    return F.aggregate(links, F.array(query), step)
 
 
 def resolve(queries: DataFrame, gazetteer: DataFrame, boroughs: dict[str, str] | None = None) -> DataFrame:
@@ -125,32 +158,25 @@ def resolve(queries: DataFrame, gazetteer: DataFrame, boroughs: dict[str, str] |
     looked for), and for crossings borough, if known.  Fixed points come first, aliases are followed, then the first
     attempt that finds a place counts; a crossing in several boroughs is taken in that of the entry's first known
     neighborhood (``boroughs``: name in lower case -> borough), then in a fixed order.  Places of the source
-    geosearch must be like the query.  Tails are routed in turn, and what they find is of low confidence.
+    geosearch must be like the query.  Tails are routed in turn, and what they find is of low confidence.  The plan
+    is the same however many tails a query has: the chain of tails is one array, exploded once with its depth.
     """
     hoods = "neighborhoods" if "neighborhoods" in queries.columns else None
     chosen = F.struct("query_raw", "query", *([hoods] if hoods else []))
     one = queries.groupBy("query_norm").agg(F.min(chosen).alias("_q")).select("query_norm", "_q.*")
     inferred = P.first_borough(hoods, boroughs or {}) if hoods else F.lit(None).cast("string")
     fixed = F.create_map(*[x for k, (lat, lon) in P.PINNED_POINTS.items() for x in (F.lit(k), F.struct(F.lit(lat).alias("lat"), F.lit(lon).alias("lon")))])
-    level = one.select("query_norm", "query_raw", inferred.alias("_borough"), "query")
-    tops, tries, depth = None, None, 0
-    while True:  # a tail is shorter than its query, so this ends
-        key = name_key("query")
-        level = _fenced(level.withColumns({"_fixed": F.try_element_at(fixed, key), "query": F.coalesce(P._lookup(key, P.ALIASES), F.col("query"))}))
-        rows = with_attempts(level)
-        if tops is None:
-            tops = rows.select("query_norm", "query_raw", "query", "category", "_fixed")
-        pins = F.filter(F.array(F.struct(F.lit("fixed").alias("kind"), F.col("query").alias("text"), F.lit(False).alias("low"), F.col("query").alias("covers"))), lambda _: F.col("_fixed").isNotNull())
-        at = rows.select("query_norm", "_borough", "_fixed", "category", F.posexplode(F.when(F.col("_fixed").isNotNull(), pins).otherwise(F.col("attempts"))).alias("_n", "_a"))
-        low = F.col("_a.low") | (F.col("category") == "bare_street") if not depth else F.lit(True)
-        at = at.select("query_norm", "_borough", F.struct(F.lit(depth).alias("depth"), "_n").alias("_n"), "_a.kind", "_a.text", "_a.covers", low.alias("low"), "_fixed")
-        tries = at if tries is None else tries.unionByName(at)
-        level = rows.where("_fixed IS NULL AND tail IS NOT NULL").select("query_norm", "query_raw", "_borough", F.col("tail").alias("query"))
-        depth += 1
-        if level.isEmpty():
-            break
+    links = one.select("query_norm", "query_raw", inferred.alias("_borough"), F.posexplode(tail_chain(F.col("query"))).alias("_depth", "query"))
+    key = name_key("query")
+    links = _fenced(links.withColumns({"_fixed": F.try_element_at(fixed, key), "query": F.coalesce(P._lookup(key, P.ALIASES), F.col("query"))}))
+    rows = with_attempts(links)
+    tops = rows.where("_depth = 0").select("query_norm", "query_raw", "query", "category", "_fixed")
+    pin = F.array(F.struct(F.lit("fixed").alias("kind"), F.col("query").alias("text"), F.lit(False).alias("low"), F.col("query").alias("covers")))
+    tries = rows.select("query_norm", "_borough", "_fixed", "category", "_depth", F.posexplode(F.when(F.col("_fixed").isNotNull(), pin).otherwise(F.col("attempts"))).alias("_n", "_a"))
+    low = F.col("_a.low") | (F.col("category") == "bare_street") | (F.col("_depth") > 0)
+    tries = tries.select("query_norm", "_borough", F.struct(F.col("_depth").alias("depth"), "_n").alias("_n"), "_a.kind", "_a.text", "_a.covers", low.alias("low"), "_fixed")
     tries = tries.where("text <> ''").withColumn("_key", name_key("text"))
-    pinned = tries.where("kind = 'fixed'").select("query_norm", "_n", F.lit(0).alias("_order"), F.struct(F.col("text").alias("label"), "_fixed.lat", "_fixed.lon", F.lit("manual").alias("source"), F.lit(None).cast("double").alias("confidence")).alias("_h"), F.lit(False).alias("low"), F.lit(None).cast("string").alias("covers"))
+    pinned = tries.where("kind = 'fixed'").select("query_norm", "_n", F.lit(0).alias("_order"), F.struct(F.col("text").alias("label"), "_fixed.lat", "_fixed.lon", F.lit("manual").alias("source"), F.lit(None).cast("double").alias("confidence")).alias("_h"), F.col("_n.depth").cast("boolean").alias("low"), F.lit(None).cast("string").alias("covers"))
     borough = F.col("borough") if "borough" in gazetteer.columns else F.lit(None).cast("string")
     places = gazetteer.select(name_key("name").alias("_key"), "lat", "lon", "label", "source", F.col("confidence").cast("double").alias("confidence"), "bounded", borough.alias("borough"))
     hits = tries.where("kind <> 'fixed'").join(places, "_key").where("kind <> 'bounded' OR bounded")

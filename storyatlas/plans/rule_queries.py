@@ -202,6 +202,29 @@ def routed_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries.select("n_name", "kind", "query_norm").join(got, "query_norm").select("n_name", "kind", "lat", "low_confidence")
 
 
+@_query(
+    """
+    WITH o AS (SELECT o_orderkey AS k, o_orderkey % 190 + 1 AS n FROM orders)
+    SELECT k AS o_orderkey, CASE k % 6 WHEN 0 THEN 'intersection' ELSE 'place' END AS category,
+      CASE k % 6 WHEN 0 THEN n WHEN 1 THEN k WHEN 2 THEN n WHEN 4 THEN -1 WHEN 5 THEN 40.76439744535597 END::DOUBLE AS lat,
+      CASE k % 6 WHEN 3 THEN 'unresolved' ELSE 'ok' END AS status, k % 6 = 2 OR (k % 6 = 5 AND k % 4 = 1) AS low_confidence FROM o"""
+)
+def routed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A location query for each order: crossings, places, tails within up to eleven tails, unknown places, aliases and fixed points."""
+    k, n = F.col("o_orderkey"), (F.col("o_orderkey") % 190 + 1).cast("string")
+    own, street = F.concat(F.lit("Hall "), k.cast("string")), F.concat(n, F.lit("th Street"))
+    nested = F.concat(F.repeat(F.lit("Booth in "), (k % 10 + 1).cast("int")), F.lit("the shop at "), street, F.lit(" and Park"))
+    raw = F.when(k % 6 == 0, F.concat(street, F.lit(" and Park"))).when(k % 6 == 1, own).when(k % 6 == 2, nested).when(k % 6 == 3, F.concat(F.lit("Zebra "), k.cast("string")))
+    raw = raw.when(k % 6 == 4, F.lit("JFK Airport")).otherwise(F.when(k % 4 == 1, F.lit("Stage in Studio 54")).otherwise(F.lit("Studio 54")))
+    orders = _table(spark, sf_dir, "orders")
+    queries = orders.select("o_orderkey", raw.alias("query_raw")).withColumn("query", P.clean_query("query_raw")).withColumn("query_norm", X.name_key("query"))
+    place = lambda name, lat, source: F.struct(name.alias("name"), lat.cast("double").alias("lat"), F.lit(source).alias("source"), name.alias("label"))
+    known = F.when(k % 6 == 1, place(own, k, "nominatim")).when(k % 6 == 4, place(F.lit("Kennedy Airport"), F.lit(-1), "nominatim")).otherwise(place(F.concat(street, F.lit(" & Park Avenue")), n, "geoservice"))
+    places = orders.select(known.alias("p")).select("p.*").distinct().withColumns({"lon": F.lit(0.0), "confidence": F.lit(1.0), "bounded": F.lit(True)})
+    got = E.resolve(queries, places)
+    return queries.select("o_orderkey", "query_norm").join(got, "query_norm").select("o_orderkey", "category", "lat", "status", "low_confidence")
+
+
 @_query(
     """
     SELECT doc_id::VARCHAR AS entry_id,
