@@ -42,9 +42,9 @@ CROWD = 64
 #: Largest set size of bands whose features are their own signatures.
 SMALL = 24
 #: Rows that a task groups at once.
-GROUP_ROWS = 3_000_000
+GROUP_ROWS = 1_000_000
 #: Ids that are sent to every task at most (8 or 16 bytes each); more are joined by shuffle.
-IDS = 2_000_000
+IDS = 200_000
 
 _M1, _M2, _M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
@@ -218,11 +218,13 @@ def _compare(sets: list[np.ndarray], side: np.ndarray, top: int, bottom: int) ->
     if n == 2:
         both[0, 1] = both[1, 0] = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
     else:
-        flat, row = np.concatenate(sets), np.repeat(np.arange(n), sizes)
+        flat, row = np.concatenate(sets), np.repeat(np.arange(n, dtype=np.int32), sizes)
         order = np.argsort(flat, kind="stable")
-        flat, row = flat[order], row[order]
-        head = np.concatenate([[True], flat[1:] != flat[:-1]])
-        group = np.cumsum(head) - 1
+        row = row[order]
+        flat = flat[order]
+        del order
+        group = np.cumsum(np.concatenate([[False], flat[1:] != flat[:-1]]), dtype=np.int32)
+        del flat
         shared = np.bincount(group)[group] > 1
         row, group = row[shared], group[shared]
         group = np.unique(group, return_inverse=True)[1]
