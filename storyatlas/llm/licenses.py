@@ -77,6 +77,20 @@ IDENTIFIERS = {
     "unlicense": "public-domain",
 }
 
+# Identifiers of the public list that have neither a digit nor a hyphen, as they are written there.
+PLAIN_IDENTIFIERS = frozenset(
+    [
+        "Abstyles", "ADSL", "Afmparse", "AMDPLPA", "AML", "AMPAS", "Artistic", "Bahyph", "Barr", "Beerware", "Borceux", "Caldera", "CATOSL",
+        "ClArtistic", "Condor", "Crossword", "CrystalStacker", "Cube", "curl", "diffmark", "DOC", "Dotseqn", "DSDP", "dvipdfm", "eGenix", "Entessa",
+        "EUDatagrid", "Eurosym", "Fair", "FSFAP", "FSFUL", "FTL", "Giftware", "Glide", "Glulxe", "gnuplot", "HaskellReport", "HPND", "ICU", "IJG",
+        "ImageMagick", "iMatix", "Intel", "IPA", "ISC", "JasPer", "JSON", "Leptonica", "LGPLLR", "Libpng", "libtiff", "MakeIndex", "MirOS", "MIT",
+        "Motosoto", "MTLL", "Multics", "Mup", "Naumen", "NCSA", "Newsletr", "NGPL", "NLPL", "Nokia", "NOSL", "Noweb", "NRL", "NTP", "OCLC",
+        "OGTSL", "OML", "OpenSSL", "Plexus", "PostgreSQL", "psfrag", "psutils", "Qhull", "Rdisc", "RPSL", "RSCPL", "Ruby", "Saxpath", "SCEA",
+        "Sendmail", "SimPL", "SISSL", "Sleepycat", "SMLNJ", "SNIA", "SWL", "TCL", "TMate", "TOSL", "Unlicense", "UPL", "Vim", "VSL", "Wsuipa",
+        "WTFPL", "Xerox", "Xnet", "xpp", "XSkat", "Zed", "Zlib",
+    ]
+)
+
 # How much a licence restricts, by label; other names come last.
 TERMS = ("free", "permissive", "weak copyleft", "copyleft", "restricted", "unknown")
 _RESTRICTS = {
@@ -132,13 +146,23 @@ def _applied(op: str, a: Value, b: Value) -> Value:
     return Value(taken.labels, taken.rank, _joined(a.named, b.named))
 
 
+def is_identifier(word: str) -> bool:
+    """Whether a word names a licence: by a known name, or as no word of prose is written (a digit, a hyphen inside, two capitals)."""
+    name = word.rstrip(".+")
+    lower = name.lower()
+    if lower in IDENTIFIERS or word in IDENTIFIERS or name in PLAIN_IDENTIFIERS:
+        return True
+    return any(c.isdigit() for c in name) or "-" in name.strip("-") or sum(c.isupper() for c in name) > 1
+
+
 def evaluate(tokens: Iterator[str]) -> Value | None:
-    """The value of a licence expression of lower-case tokens, by a shunting-yard parser.
+    """The value of a licence expression, by a shunting-yard parser.
 
     ``with`` binds most, then ``and``, then ``or``; operands of a kind group from the
-    left.  Reading ends before the first token that cannot follow, so prose behind the
-    expression does no harm, and an operator without a right side is dropped; None if
-    no operand was read.
+    left.  A licence must be an identifier (``is_identifier``); an exception may be
+    any word that the expression ends with.  Reading ends before the first token that cannot
+    follow, so prose behind the expression does no harm, and an operator without a
+    right side is dropped; None if no operand was read.
     """
     out: list[Value] = []
     stack: list[str] = []
@@ -148,12 +172,17 @@ def evaluate(tokens: Iterator[str]) -> Value | None:
         right, left = out.pop(), out.pop()
         out.append(_applied(stack.pop(), left, right))
 
-    for token in tokens:
+    words = iter(tokens)
+    following = next(words, None)
+    while following is not None:
+        written, following = following, next(words, None)
+        token = written.lower()
         if operand_next and token == "(":
             stack.append(token)
             depth += 1
         elif operand_next:
-            if token in _BINDING or token == ")":
+            closed = following is None or following == ")" or following.lower() in _BINDING
+            if token in _BINDING or token == ")" or not (is_identifier(written) or (closed and stack and stack[-1] == "with")):
                 break
             name = token.rstrip(".")
             out.append(Value.of(IDENTIFIERS.get(name, IDENTIFIERS.get(name.rstrip("+"), name.rstrip("+")))))
@@ -204,7 +233,7 @@ class Scanner:
 
     def expressions(self, data: bytes) -> Iterator[Value]:
         """The values of the expressions behind the tags of a text."""
-        text = data.lower().decode("latin-1")
+        written, text = data.decode("latin-1"), data.lower().decode("latin-1")
         known: dict[int, int] = {}  # where an identifier begins, and the end of the longest there
         tags: list[int] = []
         for end, mark in self.marks.iter(text):
@@ -214,20 +243,20 @@ class Scanner:
                 known[end + 1 - len(mark)] = end + 1
         for at, upto in zip(tags, [*(t - len(_TAG) for t in tags[1:]), len(text)], strict=True):
             ends = [e for e in (text.find("\n", at, upto), text.find("\r", at, upto)) if e >= 0]
-            value = evaluate(self._tokens(text, at, min(ends, default=upto), known))
+            value = evaluate(self._tokens(written, text, at, min(ends, default=upto), known))
             if value is not None:
                 yield value
 
     @staticmethod
-    def _tokens(text: str, at: int, upto: int, known: dict[int, int]) -> Iterator[str]:
-        """Identifiers as the automaton found them, and other words and brackets as they are."""
+    def _tokens(written: str, text: str, at: int, upto: int, known: dict[int, int]) -> Iterator[str]:
+        """Identifiers as the automaton found them, and other words and brackets, as they are ``written``; ``text`` is in lower case."""
         while True:
             m = _TOKEN.search(text, at, upto)
             if m is None:
                 return
             end = known.get(m.start(), m.end())
             at = end if end >= upto or text[end] not in _NAME_CHARS else m.end()
-            yield text[m.start() : at]
+            yield written[m.start() : at]
 
     def scan(self, text: str) -> tuple:
         data = text.encode("utf-8", "surrogatepass")

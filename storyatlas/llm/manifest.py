@@ -96,7 +96,7 @@ def _members(blocks: DataFrame, above: DataFrame, fan: int, depth: int) -> DataF
     """g, pos, path, top, root for each member of ``blocks``, whose own come from ``above`` (g, block, path, top, root)."""
     joined = blocks.join(above.select(F.col("g").alias("_g"), F.col("block").alias("_b"), "path", "top", "root"), (F.col("g") == F.col("_g")) & (F.col("block") == F.col("_b")))
     paths = F.transform("extras", lambda _, i: F.concat(_steps(i, F.col("nodes"), fan), F.col("path")))
-    return joined.select("g", "block", "top", "root", F.posexplode(paths).alias("_i", "path")).select("g", (F.col("block") * fan**depth + F.col("_i")).alias("pos"), "path", "top", "root")
+    return joined.select("g", "block", "top", "root", F.posexplode_outer(paths).alias("_i", "path")).select("g", (F.col("block") * fan**depth + F.col("_i")).alias("pos"), "path", "top", "root")
 
 
 def _down(rounds: list[DataFrame], start: DataFrame, fan: int, depth: int) -> DataFrame:
@@ -146,5 +146,5 @@ def merkle_manifest(docs: DataFrame, fan: int = FAN, depth: int = DEPTH, id_col:
         folded = F.aggregate(r["path"], F.coalesce(r["alt"], r["leaf"]), lambda acc, s: digest(F.concat(s["left"], acc, s["right"])))
         return F.struct(r["doc_id"].alias("doc_id"), r["leaf"].alias("leaf"), digest(siblings).alias("proof_sha256"), folded.alias("folded_root"))
 
-    rows = blocks.select("top", "root", F.inline(F.transform(F.transform("extras", row), held)))
+    rows = blocks.select("top", "root", F.inline_outer(F.transform(F.transform("extras", row), held)))
     return rows.select("doc_id", "leaf", F.col("top").alias("subroot"), "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))

@@ -47,7 +47,8 @@ def _bucket(feature: str, buckets: int) -> Column:
 def bucket_counts(texts: DataFrame, text_col: str, longest: int, buckets: int) -> DataFrame:
     """bucket, n: how many features of all ``texts`` fall into each bucket that has any."""
     rows = texts.select(words(F.col(text_col)).alias("_words")).select(runs(F.col("_words"), longest).alias("_runs"))
-    grams = rows.select(F.explode("_runs").alias("_gram"))
+    # (what is empty is left out after the arrays are taken apart, or they would be made a second time to be measured)
+    grams = rows.select(F.explode_outer("_runs").alias("_gram")).where("_gram IS NOT NULL")
     return grams.select(_bucket("_gram", buckets).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
 
 

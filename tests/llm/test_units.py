@@ -155,7 +155,11 @@ def value(text):
         ("GPL-2.0+ WITH Classpath-exception-2.0", ["gpl-2-with-classpath-exception-2.0"], "weak copyleft"),
         ("GPL-3.0 OR GPL-2.0 WITH x", ["gpl-2-with-x"], "weak copyleft"),
         ("(MIT AND ISC) WITH x", ["isc", "mit"], "permissive"),
-        ("MIT and this is prose", ["mit", "this"], "unknown"),
+        ("MIT and this is prose", ["mit"], "permissive"),
+        ("MIT and so on", ["mit"], "permissive"),
+        ("MIT or fair use", ["mit"], "permissive"),
+        ("MIT and LicenseRef-Own or more", ["licenseref-own", "mit"], "unknown"),
+        ("GPL-2.0 with some additions", ["gpl-2"], "copyleft"),
         ("MIT OR", ["mit"], "permissive"),
         ("((MIT)", ["mit"], "permissive"),
         ("MIT) OR CC0-1.0", ["mit"], "permissive"),
@@ -168,6 +172,7 @@ def test_expressions(text, labels, terms):
 
 
 def test_expressions_without_value():
+    assert value("see the file COPYING") is value("See") is value("all rights reserved") is None
     assert value("") is value("and") is value("(") is value(")") is None
     assert value("MIT or GPL-2.0")[2] == ["gpl-2", "mit"]
 
@@ -177,6 +182,8 @@ def test_scanner():
     assert got == (21, 4, 0, 18, "cc-by-nc,mit", "cc-by-nc,isc,mit", 1.0, "cc-by-nc,isc,mit", "restricted")
     assert licenses.Scanner().scan("") == (0, 0, None, None, "", "", 0.0, "", None)
     assert licenses.Scanner().scan("under the mit licenses")[1] == 0
+    assert licenses.Scanner().scan("SPDX-License-Identifier: see the file LICENSE")[5:] == ("", 0.0, "", None)
+    assert licenses.Scanner().scan("SPDX-License-Identifier: Zlib or Fair and so on")[5] == "zlib"
     got = licenses.Scanner().scan("x SPDX-License-Identifier: MITX and ISC SPDX-License-Identifier: GPL-2.0-or-later")
     assert got[5] == "gpl-2,isc,mitx"
 
