@@ -124,7 +124,7 @@ def with_attempts(rows: DataFrame) -> DataFrame:
         return F.struct(f["category"].alias("category"), attempts.alias("attempts"), F.when(ends, f["tail"]).alias("tail"))
 
     # rules inside lambdas are long trees that are walked, not long methods that a compiler gives up on
-    return rows.select("*", F.inline(F.transform(F.transform(F.transform(F.array("query"), facts), of_core), ways)))
+    return rows.select("*", F.inline_outer(F.transform(F.transform(F.transform(F.array("query"), facts), of_core), ways)))
 
 
 def _once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -166,7 +166,7 @@ def resolve(queries: DataFrame, gazetteer: DataFrame, boroughs: dict[str, str] |
     one = queries.groupBy("query_norm").agg(F.min(chosen).alias("_q")).select("query_norm", "_q.*")
     inferred = P.first_borough(hoods, boroughs or {}) if hoods else F.lit(None).cast("string")
     fixed = F.create_map(*[x for k, (lat, lon) in P.PINNED_POINTS.items() for x in (F.lit(k), F.struct(F.lit(lat).alias("lat"), F.lit(lon).alias("lon")))])
-    links = one.select("query_norm", "query_raw", inferred.alias("_borough"), F.posexplode(tail_chain(F.col("query"))).alias("_depth", "query"))
+    links = one.select("query_norm", "query_raw", inferred.alias("_borough"), F.posexplode_outer(tail_chain(F.col("query"))).alias("_depth", "query"))
     key = name_key("query")
     links = _fenced(links.withColumns({"_fixed": F.try_element_at(fixed, key), "query": F.coalesce(P._lookup(key, P.ALIASES), F.col("query"))}))
     rows = with_attempts(links)

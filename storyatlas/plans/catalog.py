@@ -18,8 +18,9 @@ from ..operators import geometry as G
 from ..operators import relational as R
 from ..operators.enrich import _fenced, dictionary_extract, resolve
 from ..operators.levels import name_levels
-from ..operators.segment import heading_entries, html_blocks, line_entries, lines_with_lookahead
+from ..operators.segment import entries_of_lines, fold_lines, heading_entries, html_blocks, lines_with_lookahead
 from ..operators.similarity import covered_pairs, fuzzy_match
+from ..operators.spatial import regions_at
 from . import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -393,9 +394,9 @@ _RAW = f"""o AS (SELECT o_orderkey, o_orderkey % 190 + 1 AS n, {_WORDS}[o_custke
 )
 def location_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean, classify and canonicalise location queries; the oracle tells what the rules say of each kind."""
-    pair = P.crossing_streets("query")
+    rules = lambda q: F.struct(P.classify(q).alias("category"), P.crossing_streets(q).alias("pair"))
     rows = _fenced(_street_names(spark, sf_dir).withColumn("query", P.clean_query("raw")))
-    rows = _fenced(rows.withColumns({"category": P.classify("query"), "pair": pair}))
+    rows = rows.select("o_orderkey", "raw", "query", F.inline_outer(F.transform(F.array("query"), rules)))
     return rows.select("o_orderkey", "raw", "query", "category", F.concat_ws(" & ", "pair.one", "pair.other").alias("streets"))
 
 
@@ -417,6 +418,19 @@ def ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", P.ordinal(F.col("o_orderkey") % 190 + 1).alias("ordinal"), P.digit_ordinals("raw").alias("digits"))
 
 
+@_query(
+    f"""
+    WITH n AS (SELECT l_orderkey, l_linenumber, (l_orderkey * 7 + l_linenumber) % 999 + 1 AS n FROM lineitem)
+    SELECT l_orderkey, l_linenumber, n || {_ORD} AS ordinal, 'West ' || n || {_ORD} || ' Street' AS digits FROM n"""
+)
+def ordinals_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every number of up to three digits, with a wrong ending or none mended."""
+    n = (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 999 + 1
+    ending = F.element_at(F.array(*map(F.lit, ["d", "th", "st", ""])), (F.col("l_linenumber") % 4 + 1).cast("int"))
+    text = F.concat(F.lit("West "), n.cast("string"), ending, F.lit(" Street"))
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", P.ordinal(n).alias("ordinal"), P.digit_ordinals(text).alias("digits"))
+
+
 @_query(
     r"""
     WITH s AS (SELECT c_custkey, (['The Bronx', ' kings ', 'Queens', 'Staten Island', 'Hoboken'])[c_custkey % 5 + 1] AS raw FROM customer)
@@ -450,7 +464,33 @@ def legacy_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of each document folded to entries."""
     block = lambda x: F.struct(F.lit(0).alias("pos"), F.lit("p").alias("tag"), F.trim(x).alias("text"), F.lit("").alias("italic"), F.lit("").alias("marked"))
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), block).alias("blocks"))
-    return docs.select("doc_id", F.posexplode(line_entries("blocks")).alias("pos", "e")).select("doc_id", "pos", "e.title", "e.author", "e.body")
+    return entries_of_lines(docs, "doc_id", "blocks")
+
+
+_FRESH = "(['opening', 'title', 'body'])[(l_orderkey + l_suppkey) % 3 + 1]"
+_OPEN = "(['opening', 'title', 'author', 'body', 'body'])[(l_partkey + l_linenumber) % 5 + 1]"
+
+
+@_query(
+    f"""
+    WITH RECURSIVE f AS (SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS n, l_orderkey, l_linenumber, l_partkey,
+      {_FRESH} AS fresh, {_OPEN} AS opened FROM lineitem),
+    s AS (SELECT l_suppkey, n, l_orderkey, l_linenumber, l_partkey, fresh AS kind, false AS ends, 0::BIGINT AS segment FROM f WHERE n = 1
+      UNION ALL SELECT f.l_suppkey, f.n, f.l_orderkey, f.l_linenumber, f.l_partkey, CASE WHEN s.kind IN ('body', 'opening') THEN opened ELSE fresh END,
+        s.kind IN ('body', 'opening') AND opened <> 'body', s.segment + (s.kind IN ('body', 'opening') AND opened <> 'body')::BIGINT
+      FROM s JOIN f ON f.l_suppkey = s.l_suppkey AND f.n = s.n + 1)
+    SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, kind, ends, segment FROM s"""
+)
+def folded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line for each line item, in a page for each supplier, folded to stories."""
+    rows = _table(spark, sf_dir, "lineitem")
+    pick = lambda n, *kinds: F.element_at(F.array(*map(F.lit, kinds)), (n % len(kinds) + 1).cast("int"))
+    lines = rows.select(
+        "l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("at"),
+        pick(F.col("l_orderkey") + F.col("l_suppkey"), "opening", "title", "body").alias("fresh"),
+        pick(F.col("l_partkey") + F.col("l_linenumber"), "opening", "title", "author", "body", "body").alias("opened"),
+    )
+    return fold_lines(lines, ["l_suppkey"], "at", "fresh", "opened").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "kind", "ends", "segment")
 
 
 @_query()
@@ -511,10 +551,31 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT event_id, name FROM p JOIN r ON p.x > r.x AND p.x < r.x + 10 AND p.y > r.y AND p.y < r.y + 10"""
 )
 def point_in_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points joined with the regions that hold them: by bounding box, then by crossing rays."""
-    areas = F.broadcast(_regions(spark).withColumn("box", G.bounds(F.col("rings"))))  # four rows
-    near = (F.col("x") >= F.col("box.minx")) & (F.col("x") <= F.col("box.maxx")) & (F.col("y") >= F.col("box.miny")) & (F.col("y") <= F.col("box.maxy"))
-    return _points(spark, sf_dir).join(areas, near).where(G.inside(F.col("x"), F.col("y"), F.col("rings"))).select("event_id", "name")
+    """Points joined with the regions that hold them, by cells."""
+    return regions_at(_points(spark, sf_dir), "x", "y", _regions(spark), "name", "rings").select("event_id", "name")
+
+
+_CORNERS = [[(0.0, 0.0), (9.0, 0.5), (8.0, 9.0), (4.5, 3.3), (0.7, 9.0), (0.0, 0.0)], [(2.0, 1.0), (4.0, 1.2), (3.1, 2.0), (2.0, 1.0)]]
+_EDGES = [(*a, *b) for ring in _CORNERS for a, b in zip(ring[:-1], ring[1:], strict=True)]
+_AT = "({0} * (1 + k % 4) / 6.0 + {1})"
+
+
+@_query(
+    f"""
+    WITH p AS (SELECT event_id, (event_id * 37 % 2000) / 100.0::DOUBLE + 0.003::DOUBLE AS x, (event_id * 91 % 2000) / 100.0::DOUBLE + 0.003::DOUBLE AS y FROM events),
+    s AS (SELECT s_suppkey AS k, (s_suppkey * 13 % 37) / 2.0::DOUBLE AS dx, (s_suppkey * 29 % 41) / 2.0::DOUBLE AS dy FROM supplier),
+    c AS (SELECT unnest([{", ".join(f"{{'a': {a}::DOUBLE, 'b': {b}::DOUBLE, 'c': {c}::DOUBLE, 'd': {d}::DOUBLE}}" for a, b, c, d in _EDGES)}], recursive := true)),
+    e AS (SELECT k, {_AT.format('a', 'dx')} AS x0, {_AT.format('b', 'dy')} AS y0, {_AT.format('c', 'dx')} AS x1, {_AT.format('d', 'dy')} AS y1 FROM s, c)
+    SELECT event_id, k AS s_suppkey FROM p JOIN e ON (y0 > y) <> (y1 > y) AND x < (x1 - x0) * (y - y0) / (y1 - y0) + x0
+    GROUP BY event_id, k HAVING count(*) % 2 = 1"""
+)
+def points_in_many_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points joined with a region for each supplier: concave, with a hole, of several sizes, over one another."""
+    k, dx, dy = F.col("s_suppkey"), (F.col("s_suppkey") * 13 % 37) / 2.0, (F.col("s_suppkey") * 29 % 41) / 2.0
+    at = lambda v, d: F.lit(v) * (1 + k % 4) / 6.0 + d
+    ring = lambda corners: F.array(*[F.struct(at(x, dx).alias("x"), at(y, dy).alias("y")) for x, y in corners])
+    areas = _table(spark, sf_dir, "supplier").select("s_suppkey", F.array(*map(ring, _CORNERS)).alias("rings"))
+    return regions_at(_points(spark, sf_dir), "x", "y", areas, "s_suppkey", "rings").select("event_id", "s_suppkey")
 
 
 @_query("SELECT event_id, round((event_id % 101) / 101.0 * 30, 6) AS along, CASE WHEN (event_id % 101) / 101.0 * 30 <= 20 THEN 0.0 ELSE round((event_id % 101) / 101.0 * 30 - 20, 6) END AS y FROM events")
@@ -557,7 +618,7 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         key.cast("string").alias("entry_id"),
         F.col("o_orderpriority").alias("title"), F.lit(None).cast("string").alias("author"), F.year("o_orderdate").alias("pub_year"), F.lit(None).cast("string").alias("web_url"),
         F.when(key % 3 == 0, F.array(F.lit("Queens"))).alias("boroughs"),
-        F.when(key % 5 == 0, F.array(hood)).alias("neighborhoods"),
+        F.when(key % 5 == 0, F.array(hood)).when((key % 11 == 7) & (key % 3 != 0), F.array(F.lit("Nowhere"))).alias("neighborhoods"),
         F.when(key % 7 == 0, F.array(F.lit("R"))).alias("subway_lines"),
         F.when(key % 2 == 0, F.array(F.concat(F.lit("Place "), key.cast("string")))).alias("specific_locations"),
         F.when(key % 2 == 0, F.when(key % 22 == 0, F.lit("A")).otherwise(F.concat(F.lit("Place "), key.cast("string")))).alias("query_raw"),

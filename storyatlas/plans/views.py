@@ -174,16 +174,15 @@ def publish(rows: DataFrame, areas: DataFrame, boroughs: DataFrame, lines: DataF
     written = {}
     for name, view in views.items():
         features = view.select("entry_id", feature(F.col("x"), F.col("y"), F.col("placement")).alias("feature"))
-        feature_collection(features, f"{folder}/{name}.geojson", order=["entry_id"])
-        written[name] = view.count()
+        written[name] = feature_collection(features, f"{folder}/{name}.geojson", order=["entry_id"])
     for name, df, properties, kind in (("boroughs", boroughs, ["name"], "MultiPolygon"), ("lines", network_lines(lines), ["service", "service_name"], "MultiLineString")):
-        feature_collection(shapes(df, properties, kind=kind), f"{folder}/basemap_{name}.geojson", order=properties[:1])
-        written[f"basemap_{name}"] = df.count()
+        written[f"basemap_{name}"] = feature_collection(shapes(df, properties, kind=kind), f"{folder}/basemap_{name}.geojson", order=properties[:1])
     return written | {"skipped": skipped(finest).first()[0]}
 
 
 def skipped(placed: DataFrame) -> DataFrame:
-    return placed.agg(F.count_if(F.col("placement").isNull()).alias("skipped"))
+    """How many entries name a neighborhood and land nowhere."""
+    return placed.agg(F.count_if(F.col("placement").isNull() & (F.size("neighborhoods") > 0)).alias("skipped"))
 
 
 # ---- interactive filters -----------------------------------------------------

@@ -113,8 +113,8 @@ def json_lines(df: DataFrame, column: str, path: str) -> None:
     df.select(F.col(column).alias("value")).write.mode("overwrite").text(path)
 
 
-def feature_collection(features: DataFrame, path: str, feature: str = "feature", order: list[str] | None = None) -> None:
-    """A feature collection as one compact JSON file at ``path``.
+def feature_collection(features: DataFrame, path: str, feature: str = "feature", order: list[str] | None = None) -> int:
+    """A feature collection as one compact JSON file at ``path``; how many features it has.
 
     A map file is what one browser loads, so it has one writer; features reach it one at a time, in ``order``.
     """
@@ -122,22 +122,16 @@ def feature_collection(features: DataFrame, path: str, feature: str = "feature",
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place, True)
     rows = features.orderBy(*order) if order else features
+    written = 0
     try:
         out.write(bytearray(b'{"type":"FeatureCollection","features":['))
-        for n, row in enumerate(rows.select(F.to_json(feature, {"ignoreNullFields": "false"})).toLocalIterator()):
-            out.write(bytearray((("," if n else "") + row[0]).encode()))
+        for row in rows.select(F.to_json(feature, {"ignoreNullFields": "false"})).toLocalIterator():
+            out.write(bytearray((("," if written else "") + row[0]).encode()))
+            written += 1
         out.write(bytearray(b"]}"))
     finally:
         out.close()
-
-
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """One file of text at ``path``, in any store."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
-    out.write(bytearray(text.encode()))
-    out.close()
+    return written
 
 
 def review_csv(df: DataFrame, path: str, geometry: str = "rings") -> None:

@@ -250,12 +250,12 @@ def test_publish(spark, tmp_path):
     boroughs = spark.createDataFrame([("Queens", square(0.0))], f"name string, rings {G.RINGS}")
     lines = spark.createDataFrame([("R", "r line", [[(1.0, 1.0), (9.0, 1.0)]]), ("R", "r line", [[(9.0, 1.0), (9.0, 3.0)]])], f"service string, service_name string, rings {G.RINGS}")
     entries = spark.createDataFrame(
-        [("1", ["west"], None, None, False, 1.0, 1.0, None), ("2", ["Hill"], None, None, False, None, None, None), ("3", None, ["Queens"], ["r"], True, None, None, None), ("4", None, None, ["Z"], True, None, None, None), ("5", None, None, None, False, None, None, None), ("6", None, None, None, False, 1.0, 1.0, " hill ")],
+        [("1", ["west"], None, None, False, 1.0, 1.0, None), ("2", ["Hill"], None, None, False, None, None, None), ("3", None, ["Queens"], ["r"], True, None, None, None), ("4", None, None, ["Z"], True, None, None, None), ("5", None, None, None, False, None, None, None), ("6", None, None, None, False, 1.0, 1.0, " hill "), ("7", ["Nowhere"], None, None, False, None, None, None)],
         "entry_id string, neighborhoods array<string>, boroughs array<string>, subway_lines array<string>, subway_mentioned boolean, lat double, lon double, query_raw string",
     ).withColumns({c: F.lit(None).cast(t) for c, t in (("title", "string"), ("author", "string"), ("pub_year", "int"), ("web_url", "string"), ("specific_locations", "array<string>"), ("confidence", "double"), ("low_confidence", "boolean"), ("source", "string"), ("category", "string"))})
     placed = V.with_neighborhood(V.with_borough(entries, boroughs, V.learned_boroughs(entries)), found)
     told = V.publish(placed, areas.where("NOT is_admin_0_union"), boroughs, lines, str(tmp_path))
-    assert told == {"locations": 2, "subway": 2, "areas": 4, "basemap_boroughs": 1, "basemap_lines": 1, "skipped": 2}
+    assert told == {"locations": 2, "subway": 2, "areas": 4, "basemap_boroughs": 1, "basemap_lines": 1, "skipped": 1}
     load = lambda n: json.loads((tmp_path / f"{n}.geojson").read_text())["features"]
     assert [(f["properties"]["entry_id"], f["properties"]["placement"]) for f in load("areas")] == [("1", "specific"), ("2", "neighborhood"), ("3", "borough"), ("6", "area:Hill")]
     assert [f["properties"]["placement"] for f in load("subway")] == ["subway:R", "subway:network"]
