@@ -10,7 +10,7 @@ from ..functions.text import first_item, join_items, name_key
 from ..operators.geometry import clipped, dissolve, point_on_line, points_in_regions, region_pieces, rounded, spread_coincident, uniform
 from ..operators.relational import keep_first, modal_value
 from ..operators.similarity import fuzzy_match
-from ..sources.files import feature_collection
+from ..sources.files import feature_collection, settled
 
 DIGITS = 6
 
@@ -48,18 +48,17 @@ def with_neighborhood(rows: DataFrame, areas: DataFrame) -> DataFrame:
     ``areas`` (key, name, broad, rings): a name is looked for exactly among
     specific areas, then among broad ones, then by likeness in the same order.
     """
-    names = rows.select("entry_id", F.posexplode("neighborhoods").alias("_p", "_n")).withColumn("key", name_key("_n")).where("key <> ''")
-    tiers = None
+    # looked at once for each tier, so written once; only names without an exact match are compared
+    names = settled(rows.select("entry_id", F.posexplode("neighborhoods").alias("_p", "_n")).withColumn("key", name_key("_n")).where("key <> ''").drop("_n"))
     distinct = names.select("key").distinct()
-    for tier, (broad, fuzzy) in enumerate([(False, False), (True, False), (False, True), (True, True)]):
-        own = areas.where(F.col("broad") == broad).select("key").distinct()
-        if fuzzy:
-            hit = fuzzy_match(distinct.join(tiers.select("key"), "key", "left_anti"), "key", own, "key").where("match IS NOT NULL")
-        else:
-            hit = distinct.join(own, "key").withColumn("match", F.col("key"))
-            hit = hit if tiers is None else hit.join(tiers.select("key"), "key", "left_anti")
-        hit = hit.select("key", "match", F.lit(broad).alias("broad"))
-        tiers = hit if tiers is None else tiers.unionByName(hit)
+    exact = distinct.join(areas.groupBy("key").agg(F.min("broad").alias("broad")), "key")  # a specific area comes first
+    tiers = exact.select("key", F.col("key").alias("match"), "broad")
+    rest = settled(distinct.join(exact, "key", "left_anti"))
+    if not rest.isEmpty():
+        for broad in (False, True):
+            hit = settled(fuzzy_match(rest, "key", areas.where(F.col("broad") == broad).select("key"), "key").where("match IS NOT NULL"))
+            tiers = tiers.unionByName(hit.withColumn("broad", F.lit(broad)))
+            rest = rest.join(hit, "key", "left_anti")
     best = names.join(tiers, "key").groupBy("entry_id").agg(F.min_by(F.struct("match", "broad"), "_p").alias("_m"))
     titles = areas.select(F.col("key").alias("_k"), F.col("broad").alias("_b"), F.col("name").alias("nbhd_name"))
     best = best.join(titles, (F.col("_m.match") == F.col("_k")) & (F.col("_m.broad") == F.col("_b"))).select("entry_id", "nbhd_name")

@@ -5,6 +5,8 @@ Every reader goes through Spark, so paths may be in any store that Spark reads.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 from operator import or_
 
@@ -108,6 +110,22 @@ def kml_areas(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("name", F.flatten(F.transform(all_, rings)).alias("rings")).where("size(rings) > 0")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written once and read back, so that what is derived from it several times is not computed as often.
+
+    The table is in the shared folder that ``spark.checkpoint.dir`` names; without it, in one of a local
+    master's own, or beside the warehouse.  Executors that are lost lose nothing of it.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
+        root = "file://" + tempfile.mkdtemp(prefix="storyatlas-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_settled"
+    path = f"{root.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def json_lines(df: DataFrame, column: str, path: str) -> None:
     """One compact JSON text per line."""
     df.select(F.col(column).alias("value")).write.mode("overwrite").text(path)

@@ -232,12 +232,12 @@ def test_first_borough(spark):
 
 
 def test_names_of_any_number(spark, monkeypatch):
-    """Blocks of keys and names give what one list of names gives."""
+    """Keys that meet names by short runs of letters alone find what one list of names gives."""
     names = [f"{d} {w}town" for d in ("east", "west", "north") for w in ("korea", "china", "hills", "old")] + ["koreatown", "k", "plain hills"]
     keys = ["korea town", "west koreatown", "east chinatwn", "nort oldtown", "zzz", "", None, "plain hill", "k"]
     frame = lambda values, c: spark.createDataFrame([(v,) for v in values], f"{c} string")
     want = {k: similarity.closest(k, sorted(names)) if k else None for k in keys if k is not None}
-    monkeypatch.setattr(similarity, "BLOCK", 2)
+    monkeypatch.setattr(similarity, "LONGEST", 2)
     got = {r.key: r.match for r in similarity.fuzzy_match(frame(keys * 2, "key"), "key", frame(names, "name"), "name").collect()}
     assert got == want and want["korea town"] == "koreatown" and want["west koreatown"] == "west koreatown"
 
