@@ -76,8 +76,38 @@ def most_common(df: DataFrame, value: str) -> DataFrame:
     return df.groupBy(value).agg(F.count("*").alias("n")).orderBy(F.desc("n"), value)
 
 
-def date_windows(spark, start: int, end: int, step: int) -> DataFrame:
-    """Windows of ``step`` years from ``start`` to ``end``, as first and last days."""
-    years = spark.range(1).select(F.explode(F.sequence(F.lit(start), F.lit(end), F.lit(step))).alias("y"))
-    last = F.least(F.col("y") + step - 1, F.lit(end))
-    return years.select(F.format_string("%d0101", "y").alias("begin_date"), F.format_string("%d1231", last).alias("end_date"))
+def date_windows(years: DataFrame, start: str, end: str, step: int) -> DataFrame:
+    """Windows of ``step`` years from ``start`` to ``end`` of each row of ``years``, as first and last days."""
+    each = years.select(F.explode(F.sequence(start, end, F.lit(step))).alias("y"), F.col(end).alias("_end"))
+    last = F.least(F.col("y") + step - 1, F.col("_end"))
+    return each.select(F.format_string("%d0101", "y").alias("begin_date"), F.format_string("%d1231", last).alias("end_date"))
+
+
+def bisected_windows(rows: DataFrame, at: str, start: int, end: int, step: int, limit: int, page: int, most_pages: int) -> DataFrame:
+    """first, last, hits, pages, complete: windows over ``at`` (whole numbers) that hold at most ``limit`` rows.
+
+    Windows of ``step`` numbers from ``start`` to ``end`` are halved, the lower half being the larger,
+    until they hold no more than ``limit`` rows or one number.  Windows without rows are kept, with no pages; ``complete`` says
+    whether ``most_pages`` pages show all rows.  Each number knows its way down the halves, so one
+    histogram is summed once; a window is halved exactly if it holds too many, and then so were all above it.
+    """
+    window = lambda a, b: F.struct(a.cast("long").alias("first"), b.cast("long").alias("last"))
+    middle = lambda w: F.floor((w["first"] + w["last"]) / 2)
+    lower, upper = lambda w: window(w["first"], middle(w)), lambda w: window(middle(w) + 1, w["last"])
+    root = lambda first: window(first, F.least(first + step - 1, F.lit(end)))
+    x = F.col("_x")
+    counts = rows.where(F.col(at).between(start, end)).groupBy(F.col(at).cast("long").alias("_x")).agg(F.count("*").alias("_n"))
+
+    def down(way: Column, _: Column) -> Column:
+        w = F.element_at(way, -1)
+        return F.when(w["first"] == w["last"], way).otherwise(F.array_append(way, F.when(x <= middle(w), lower(w)).otherwise(upper(w))))
+
+    halvings = F.array_repeat(F.lit(0), max(step - 1, 0).bit_length())
+    way = F.aggregate(halvings, F.array(root(x - (x - start) % step)), down)
+    held = counts.select(F.explode_outer(way).alias("_w"), "_n").groupBy("_w.first", "_w.last").agg(F.sum("_n").alias("hits"))
+    full = (F.col("hits") > limit) & (F.col("first") < F.col("last"))
+    halved = held.where(full).select(window(F.col("first"), F.col("last")).alias("_w")).select(F.explode(F.array(lower(F.col("_w")), upper(F.col("_w")))).alias("_w"))
+    roots = rows.sparkSession.range(start, end + 1, step).select(root(F.col("id")).alias("_w"))
+    every = roots.unionByName(halved).select("_w.*").join(held, ["first", "last"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    pages = F.least(F.lit(most_pages), F.ceil(F.col("hits") / page)).cast("int")
+    return every.where(~full).select("first", "last", "hits", pages.alias("pages"), (F.col("hits") <= page * most_pages).alias("complete"))

@@ -311,10 +311,29 @@ def schema_widening_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    "SELECT y || '0101' AS begin_date, least(y + 2, 2026) || '1231' AS end_date FROM (SELECT unnest(generate_series(1976, 2026, 3)) AS y)"
+    """
+    WITH b AS (SELECT min(year(o_orderdate)) AS low, max(year(o_orderdate)) AS high FROM orders)
+    SELECT y || '0101' AS begin_date, least(y + 2, high) || '1231' AS end_date FROM (SELECT unnest(generate_series(low, high, 3)) AS y, high FROM b)"""
 )
 def date_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.date_windows(spark, 1976, 2026, 3)
+    """Windows of three years over all years of orders."""
+    bounds = _table(spark, sf_dir, "orders").agg(F.min(F.year("o_orderdate")).alias("low"), F.max(F.year("o_orderdate")).alias("high"))
+    return R.date_windows(bounds, "low", "high", 3)
+
+
+@_query(
+    """
+    WITH RECURSIVE h AS (SELECT datediff('day', DATE '1970-01-01', o_orderdate::DATE) AS x, count(*) AS n FROM orders GROUP BY 1),
+    w AS (SELECT b AS first, least(b + 999, 12000) AS last FROM (SELECT unnest(generate_series(9000, 12000, 1000)) AS b)
+      UNION ALL SELECT CASE half WHEN 0 THEN first ELSE (first + last) // 2 + 1 END, CASE half WHEN 0 THEN (first + last) // 2 ELSE last END
+      FROM (SELECT first, last FROM w WHERE first < last AND (SELECT coalesce(sum(n), 0) FROM h WHERE x BETWEEN first AND last) > 150), (SELECT unnest([0, 1]) AS half)),
+    c AS (SELECT first, last, (SELECT coalesce(sum(n), 0) FROM h WHERE x BETWEEN first AND last)::BIGINT AS hits FROM w)
+    SELECT first, last, hits, least(12, ceil(hits / 10.0))::INT AS pages, hits <= 120 AS complete FROM c WHERE hits <= 150 OR first = last"""
+)
+def bisected_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows over the days of orders, halved until each holds at most 150 orders, with their pages of ten."""
+    days = _table(spark, sf_dir, "orders").select(F.unix_date(F.col("o_orderdate").cast("date")).alias("day"))
+    return R.bisected_windows(days, "day", 9000, 12000, 1000, 150, 10, 12)
 
 
 # ---- text rules --------------------------------------------------------------
