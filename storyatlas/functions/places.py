@@ -56,7 +56,6 @@ GENERIC_TOKENS = [
     "market", "park", "building", "hotel", "theater", "theatre", "house", "company", "co",
 ]
 BOROUGHS = {"the bronx": "Bronx", "bronx": "Bronx", "kings": "Brooklyn", "brooklyn": "Brooklyn", "manhattan": "Manhattan", "queens": "Queens", "staten island": "Staten Island"}
-BOROUGH_CODES = {"Manhattan": 1, "Bronx": 2, "Brooklyn": 3, "Queens": 4, "Staten Island": 5}
 #: Boroughs in the order in which a crossing is looked for.
 BOROUGH_ORDER = ["Manhattan", "Brooklyn", "Queens", "Bronx", "Staten Island"]
 #: Points that every variant of a name is pinned to, and names that stand for another.

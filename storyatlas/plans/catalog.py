@@ -282,7 +282,7 @@ def line_lookahead(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT count(*) AS n, min(year(o_orderdate)) AS first, max(year(o_orderdate)) AS last FROM orders")
 def year_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     years = _table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("pub_year"))
-    return years.agg(F.count("*").alias("n"), F.min("pub_year").alias("first"), F.max("pub_year").alias("last"))
+    return V.year_bounds(years)
 
 
 @_query(

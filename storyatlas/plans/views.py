@@ -201,7 +201,8 @@ def year_and_confidence(low: int, high: int, least: float) -> str:
 
 
 def year_bounds(df: DataFrame, year: str = "pub_year") -> DataFrame:
-    return df.agg(F.min(year).alias("first"), F.max(year).alias("last"))
+    """How many rows there are, and the first and last year; missing years don't count for these."""
+    return df.agg(F.count("*").alias("n"), F.min(year).alias("first"), F.max(year).alias("last"))
 
 
 def shown(ids: list[DataFrame], table: DataFrame, column: str) -> DataFrame:

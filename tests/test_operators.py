@@ -275,3 +275,28 @@ def test_every_covered_pair(spark):
     got = similarity.covered_pairs(labels, "doc", "text", queries, "item", "text")
     assert rows(got.select("doc", "item")) == rows(brute)
     assert {r[2:] for r in rows(got) if r[1] == 102} == {(0, 0)} and (6, 103, 4, 3) in rows(got)
+
+
+def test_sinks(spark, tmp_path):
+    """Compact JSON with all fields, and the review table without shapes."""
+    df = spark.createDataFrame([("a", None, [[(1.0, 2.0)]]), ("é", 2, [[(3.0, 4.0)]])], f"name string, n int, rings {G.RINGS}").coalesce(1)
+    S.json_lines(df.select(F.to_json(F.struct("name", "n"), {"ignoreNullFields": "false"}).alias("j")), "j", str(tmp_path / "lines"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "lines")).collect()] == ['{"name":"a","n":null}', '{"name":"é","n":2}']
+    S.review_csv(df, str(tmp_path / "review"))
+    got = spark.read.option("header", True).csv(str(tmp_path / "review"))
+    assert got.columns == ["name", "n"] and got.count() == 2
+
+
+def test_windows_are_halved(spark):
+    """Against recursion over the same numbers; a single number may hold too many."""
+    numbers = [3] * 9 + [4, 5, 11] + list(range(20, 30)) * 2 + [99, None]
+
+    def halves(a, b):
+        n = sum(1 for x in numbers if x is not None and a <= x <= b)
+        if n > 4 and a < b:
+            m = (a + b) // 2
+            return [*halves(a, m), *halves(m + 1, b)]
+        return [(a, b, n, min(2, -(-n // 2)), n <= 4)]
+
+    got = R.bisected_windows(spark.createDataFrame([(x,) for x in numbers], "x int"), "x", 0, 29, 13, 4, 2, 2)
+    assert sorted(map(tuple, got.collect())) == [w for a in (0, 13, 26) for w in halves(a, min(a + 12, 29))]
