@@ -2,8 +2,8 @@
 
 A region is an array of rings, a ring an array of struct(x, y); a point is
 inside if a ray crosses the rings an odd number of times, which also holds for
-parts and holes.  A line is an array of paths.  Work on rows is JVM-side; only the
-dimensions, regions and lines, are prepared in Python: cut into trapezoids, or clipped.
+parts and holes.  A line is an array of paths.  Work on rows is JVM-side; only
+regions are prepared in Python, where each is cut into trapezoids.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,6 +75,8 @@ def trapezoids(rings: list) -> np.ndarray:
             cuts = np.unique(np.concatenate([[low, high], at]))
             slabs += zip(cuts[:-1], cuts[1:], strict=True)
             continue
+        order = np.argsort(x0 + x1, kind="stable")  # at a crossing both ends of a slab may be off by a bit, its middle tells
+        x0, x1 = x0[order], x1[order]
         out += [(low, high, x0[i], x1[i], x0[i + 1], x1[i + 1]) for i in range(0, len(x0) - 1, 2)]
     return np.array(sorted(out), float).reshape(-1, 6)
 
@@ -167,45 +168,37 @@ def point_on_line(paths: Column, u: Column) -> Column:
     return F.when(F.size(edges) > 0, F.struct(F.coalesce(end["x"], last["x1"]).alias("x"), F.coalesce(end["y"], last["y1"]).alias("y")))
 
 
-def clip_paths(paths: list, rings: list) -> list:
-    """The parts of the paths that lie inside the rings."""
-    edges = [(a["x"], a["y"], b["x"], b["y"]) for ring in rings for a, b in zip(ring[:-1], ring[1:], strict=True)]
-    e = np.array(edges, float).reshape(-1, 4)
+def clipped_lines(lines: DataFrame, line: str, paths: str, regions: DataFrame, region: str, rings: str) -> DataFrame:
+    """``line``, ``region`` and ``paths``: the parts of each line within each region that it enters.
 
-    def is_in(x: float, y: float) -> bool:
-        over = (e[:, 1] > y) != (e[:, 3] > y)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return bool((over & (x < (e[:, 2] - e[:, 0]) * (y - e[:, 1]) / (e[:, 3] - e[:, 1]) + e[:, 0])).sum() % 2)
-
-    out = []
-    for path in paths:
-        for a, b in zip(path[:-1], path[1:], strict=True):
-            dx, dy = b["x"] - a["x"], b["y"] - a["y"]
-            ex, ey = e[:, 2] - e[:, 0], e[:, 3] - e[:, 1]
-            cross = dx * ey - dy * ex
-            with np.errstate(divide="ignore", invalid="ignore"):
-                t = ((e[:, 0] - a["x"]) * ey - (e[:, 1] - a["y"]) * ex) / cross
-                s = ((e[:, 0] - a["x"]) * dy - (e[:, 1] - a["y"]) * dx) / cross
-            cuts = np.unique(np.concatenate([[0.0, 1.0], t[(cross != 0) & (t > 0) & (t < 1) & (s >= 0) & (s <= 1)]]))
-            for p, q in zip(cuts[:-1], cuts[1:], strict=True):
-                m = (p + q) / 2
-                if is_in(a["x"] + m * dx, a["y"] + m * dy):
-                    out.append([{"x": a["x"] + p * dx, "y": a["y"] + p * dy}, {"x": a["x"] + q * dx, "y": a["y"] + q * dy}])
-    return out
-
-
-def _clipped(paths: pd.Series, rings: pd.Series) -> pd.Series:
-    return pd.Series([p if p is None or r is None else (clip_paths(p, r) or p) for p, r in zip(paths, rings, strict=True)])
-
-
-def clipped(paths: Column | str, rings: Column | str) -> Column:
-    """Paths inside the rings, or whole where there are no rings or none of it is inside."""
-    return F.pandas_udf(_clipped, RINGS)(paths, rings)
-
-
-def dissolve(df: DataFrame, key: str, parts: str) -> DataFrame:
-    """One geometry per key: its distinct parts together; membership and darts are as in the union."""
-    return df.select(key, F.explode(parts).alias("_part")).distinct().groupBy(key).agg(F.array_sort(F.collect_list("_part")).alias(parts))
+    Segments meet the regions' trapezoids in rows of their mean height, so that the rows grow with both and no pair
+    is looked at elsewhere; a segment is cut by an expression.  What runs along the left or lower edge of
+    a region is in it, along the right or upper edge is not.  Both keys name one row each.
+    """
+    shapes = region_pieces(regions, region, rings).where("own.y1 > own.y0").select(region, F.col("own").alias("_t"))
+    segments = lines.where(F.col(line).isNotNull()).select(line, F.posexplode(ring_edges(F.col(paths))).alias("_at", "_s")).where("_s.x0 <> _s.x1 OR _s.y0 <> _s.y1")
+    heights = segments.select(F.abs(F.col("_s.y1") - F.col("_s.y0")).alias("h")).unionByName(shapes.select((F.col("_t.y1") - F.col("_t.y0")).alias("h")))
+    size = F.lit(heights.agg(F.avg("h")).first()[0] or 1.0)
+    s, t = F.col("_s"), F.col("_t")
+    span = lambda low, high: F.explode(F.sequence(F.floor(low / size), F.floor(high / size)))
+    low, high = F.least("_s.y0", "_s.y1"), F.greatest("_s.y0", "_s.y1")
+    met = segments.withColumn("_row", span(low, high)).join(shapes.withColumn("_band", span(F.col("_t.y0"), F.col("_t.y1"))), F.col("_row") == F.col("_band"))
+    # a pair counts in the first row that both reach
+    met = met.where((low <= t["y1"]) & (high >= t["y0"]) & (F.col("_row") == F.floor(F.greatest(low, t["y0"]) / size)))
+    dx, dy, tall = s["x1"] - s["x0"], s["y1"] - s["y0"], t["y1"] - t["y0"]
+    lean = lambda side: (t[f"{side}1"] - t[f"{side}0"]) / tall
+    beyond = lambda side: (s["x0"] - t[f"{side}0"] - lean(side) * (s["y0"] - t["y0"]), dx - lean(side) * dy)
+    left, right = beyond("l"), beyond("r")
+    # start + share * rise >= 0 on the inner side of each; the last two do not hold their own edge
+    walls = [(s["y0"] - t["y0"], dy, True), (*left, True), (t["y1"] - s["y0"], -dy, False), (-right[0], -right[1], False)]
+    met = met.withColumn("_w", F.array(*(F.struct(a.alias("start"), b.alias("rise"), F.lit(own).alias("own")) for a, b, own in walls)))
+    level = F.forall("_w", lambda w: (w["rise"] != 0) | (w["start"] > 0) | (w["own"] & (w["start"] == 0)))
+    share = lambda up: F.transform(F.filter("_w", lambda w: (w["rise"] > 0) if up else (w["rise"] < 0)), lambda w: -w["start"] / w["rise"])
+    start, end = F.array_max(F.concat(F.array(F.lit(0.0)), share(True))), F.array_min(F.concat(F.array(F.lit(1.0)), share(False)))
+    cut = met.where(level).select(line, region, "_at", "_s", start.alias("_from"), end.alias("_to")).where("_from < _to")
+    at = lambda c: F.when(F.col(c) == 1, F.struct(s["x1"].alias("x"), s["y1"].alias("y"))).otherwise(F.struct((s["x0"] + F.col(c) * dx).alias("x"), (s["y0"] + F.col(c) * dy).alias("y")))
+    parts = F.array_sort(F.collect_list(F.struct("_at", "_from", "_to", F.array(at("_from"), at("_to")).alias("_p"))))
+    return cut.groupBy(line, region).agg(F.transform(parts, lambda q: q["_p"]).alias(paths))
 
 
 def spread_coincident(df: DataFrame, x: str, y: str, id_col: str, radius_m: float = 120.0, seed: int = 7, digits: int = 6) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import collapse, name_key
 from .levels import name_levels
+from .union import united_areas
 
 COLUMNS = ["name", "admin_0", "admin_1", "admin_2", "name_raw", "is_admin_0_union", "rings"]
 
@@ -18,11 +19,8 @@ def named_areas(placemarks: DataFrame) -> DataFrame:
 
 
 def with_unions(areas: DataFrame) -> DataFrame:
-    """``areas`` and behind them a row for each ``admin_0``: its distinct rings together, flagged.
-
-    Edges that neighbours share stay in the union; membership and draws are as without them.
-    """
-    rings = areas.select("admin_0", F.explode("rings").alias("_ring")).distinct().groupBy("admin_0").agg(F.array_sort(F.collect_list("_ring")).alias("rings"))
+    """``areas`` and behind them a row for each ``admin_0``: the union of its areas, flagged."""
+    rings = united_areas(areas, "admin_0", "rings").where("size(rings) > 0")
     top = F.col("admin_0")
     unions = rings.select(top.alias("name"), top, top.alias("admin_1"), top.alias("admin_2"), top.alias("name_raw"), F.lit(True).alias("is_admin_0_union"), "rings")
     return areas.select(*COLUMNS).unionByName(unions)

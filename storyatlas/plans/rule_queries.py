@@ -15,6 +15,7 @@ from ..operators import geometry as G
 from ..operators import neighborhoods as N
 from ..operators import relational as R
 from ..operators.spatial import regions_at
+from ..operators.union import united_areas, united_lines
 from ..sources import files as S
 from . import views as V
 from .catalog import _areas, _boroughs, _entries, _points, _query, _regions, _table
@@ -274,6 +275,74 @@ def area_unions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.regexp_replace("name", " x$", "").alias("_n"), F.upper("admin_0").alias("admin_0"), "is_admin_0_union", F.size("rings").alias("n_rings")).select(F.when(F.col("is_admin_0_union"), F.upper("_n")).otherwise(F.col("_n")).alias("name"), "admin_0", "is_admin_0_union", "n_rings")
 
 
+_BOX = "c_custkey * 37 % 60 AS x, c_custkey * 91 % 53 AS y, 1 + c_custkey % 5 AS w, 1 + c_custkey % 7 AS h"
+
+
+def _boxed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column, Column, Column, Column]:
+    """Customers, and the sides of a box on a grid for each: left, lower, right, upper."""
+    k = F.col("c_custkey")
+    x, y = (k * 37 % 60).cast("double"), (k * 91 % 53).cast("double")
+    return _table(spark, sf_dir, "customer"), x, y, x + 1 + k % 5, y + 1 + k % 7
+
+
+def _way(*corners: tuple[Column, Column]) -> Column:
+    return F.array(F.array(*(F.struct(x.alias("x"), y.alias("y")) for x, y in corners)))
+
+
+def _length(paths: str) -> Column:
+    size = lambda e: F.sqrt((e["x1"] - e["x0"]) * (e["x1"] - e["x0"]) + (e["y1"] - e["y0"]) * (e["y1"] - e["y0"]))
+    return F.round(F.aggregate(G.ring_edges(F.col(paths)), F.lit(0.0), lambda a, e: a + size(e)), 6)
+
+
+@_query(
+    f"""
+    WITH r AS (SELECT c_nationkey, {_BOX} FROM customer),
+    c AS (SELECT DISTINCT c_nationkey, x + i AS x, y + j AS y FROM r, range(5) AS t(i), range(7) AS u(j) WHERE i < w AND j < h),
+    n AS (SELECT c_nationkey, count(*) AS n FROM c GROUP BY 1),
+    j AS (SELECT a.c_nationkey, count(*) AS n FROM c a JOIN c b ON a.c_nationkey = b.c_nationkey AND (b.x = a.x + 1 AND b.y = a.y OR b.x = a.x AND b.y = a.y + 1) GROUP BY 1)
+    SELECT n.c_nationkey, n.n::DOUBLE AS area, (4 * n.n - 2 * coalesce(j.n, 0))::DOUBLE AS outline FROM n LEFT JOIN j ON n.c_nationkey = j.c_nationkey"""
+)
+def united_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boxes of each nation's customers, which touch, overlap and hold one another, as one area: its size, holes taken off, and outline."""
+    customers, x, y, right, top = _boxed(spark, sf_dir)
+    box = _way((x, y), (right, y), (right, top), (x, top), (x, y))
+    got = united_areas(customers.select("c_nationkey", box.alias("rings")), "c_nationkey", "rings")
+    area = F.aggregate(G.ring_edges(F.col("rings")), F.lit(0.0), lambda a, e: a + (e["x0"] * e["y1"] - e["y0"] * e["x1"]) / 2)
+    return got.select("c_nationkey", F.round(area, 6).alias("area"), _length("rings").alias("outline"))
+
+
+@_query(
+    f"""
+    WITH r AS (SELECT c_nationkey, {_BOX} FROM customer),
+    s AS (SELECT c_nationkey, x + i AS x, y, 'level' AS way FROM r, range(5) AS t(i) WHERE i < w UNION SELECT c_nationkey, x + w, y + j, 'upright' FROM r, range(7) AS u(j) WHERE j < h)
+    SELECT c_nationkey, count(*)::DOUBLE AS length FROM s GROUP BY 1"""
+)
+def united_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bent ways of each nation's customers as one network: its length, with common stretches once."""
+    customers, x, y, right, top = _boxed(spark, sf_dir)
+    got = united_lines(customers.select("c_nationkey", _way((x, y), (right, y), (right, top)).alias("paths")), "c_nationkey", "paths")
+    return got.select("c_nationkey", _length("paths").alias("length"))
+
+
+@_query(
+    f"""
+    WITH r AS (SELECT c_custkey, {_BOX} FROM customer),
+    s AS (SELECT c_custkey, x AS x0, y AS y0, x + w AS x1, y AS y1 FROM r UNION ALL SELECT c_custkey, x + w, y, x + w, y + h FROM r),
+    b AS (SELECT n_nationkey, n_nationkey * 13 % 50 AS l, n_nationkey * 29 % 50 AS d, n_nationkey * 13 % 50 + 6 + n_nationkey % 9 AS r, n_nationkey * 29 % 50 + 5 + n_nationkey % 7 AS u FROM nation),
+    c AS (SELECT c_custkey, n_nationkey, CASE WHEN y0 = y1 AND y0 >= d AND y0 < u THEN least(x1, r) - greatest(x0, l) WHEN x0 = x1 AND x0 >= l AND x0 < r THEN least(y1, u) - greatest(y0, d) END AS n FROM s, b)
+    SELECT c_custkey, n_nationkey, sum(n)::DOUBLE AS length FROM c WHERE n > 0 GROUP BY 1, 2"""
+)
+def clipped_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each customer's way lies in the box of each nation, also along its edges."""
+    customers, x, y, right, top = _boxed(spark, sf_dir)
+    k = F.col("n_nationkey")
+    l, d = (k * 13 % 50).cast("double"), (k * 29 % 50).cast("double")  # noqa: E741
+    r, u = l + 6 + k % 9, d + 5 + k % 7
+    boxes = _table(spark, sf_dir, "nation").select("n_nationkey", _way((l, d), (r, d), (r, u), (l, u), (l, d)).alias("rings"))
+    cut = G.clipped_lines(customers.select("c_custkey", _way((x, y), (right, y), (right, top)).alias("paths")), "c_custkey", "paths", boxes, "n_nationkey", "rings")
+    return cut.select("c_custkey", "n_nationkey", _length("paths").alias("length"))
+
+
 @_query("SELECT c_custkey, (['A', 'B', 'C', 'D', 'unknown'])[c_nationkey % 5 + 1] AS name, c_nationkey % 5 < 4 AS inside FROM customer")
 def sampled_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points drawn from regions lie inside them; an unknown region has none."""

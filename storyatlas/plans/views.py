@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.places import borough_phrase, canonical_borough
 from ..functions.text import first_item, join_items, name_key
-from ..operators.geometry import clipped, dissolve, point_on_line, points_in_regions, region_pieces, rounded, spread_coincident, uniform
+from ..operators.geometry import clipped_lines, point_on_line, points_in_regions, region_pieces, rounded, spread_coincident, uniform
 from ..operators.relational import keep_first, modal_value
 from ..operators.similarity import fuzzy_match
+from ..operators.union import united_lines
 from ..sources.files import feature_collection, settled
 
 DIGITS = 6
@@ -116,16 +117,17 @@ def subway_view(rows: DataFrame, lines: DataFrame, boroughs: DataFrame, seed: in
 
     ``lines``: service, paths; ``boroughs``: name, rings.  A line is clipped to the entry's borough if it enters it.
     """
-    lines = dissolve(lines.withColumn("service", F.upper("service")), "service", "paths")
-    network = dissolve(lines.select(F.lit("network").alias("service"), "paths"), "service", "paths")
+    lines = lines.select(F.upper("service").alias("service"), "paths").where("service IS NOT NULL")
+    # a stretch that several paths or lines share is as likely as any other
+    lines = settled(united_lines(lines.unionByName(lines.select(F.lit("network").alias("service"), "paths")), "service", "paths"))
     wanted = rows.where("subway_mentioned")
-    first = wanted.select("entry_id", F.posexplode("subway_lines").alias("_p", "_l")).withColumn("service", F.upper("_l")).join(lines.select("service"), "service")
+    first = wanted.select("entry_id", F.posexplode("subway_lines").alias("_p", "_l")).withColumn("service", F.upper("_l")).join(lines.where("service <> 'network'").select("service"), "service")
     first = first.groupBy("entry_id").agg(F.min_by("service", "_p").alias("service"))
     named = wanted.join(first, "entry_id", "left").withColumn("service", F.coalesce("service", F.lit("network")))
-    # a line is clipped once for each borough it is used in, not once for each entry
-    used = named.select("service", "borough_name").distinct().join(lines.unionByName(network), "service")
-    used = used.join(boroughs.select(F.col("name").alias("borough_name"), F.col("rings").alias("borough_rings")), "borough_name", "left")
-    cut = used.select("service", F.col("borough_name").alias("_b"), clipped("paths", "borough_rings").alias("paths"))
+    # a line is clipped once for each borough, not once for each entry; it stays whole where it does not enter
+    inside = clipped_lines(lines, "service", "paths", boroughs.withColumnRenamed("name", "borough_name"), "borough_name", "rings").withColumnRenamed("paths", "_inside")
+    used = named.select("service", "borough_name").distinct().join(lines, "service").join(inside, ["service", "borough_name"], "left")
+    cut = used.select("service", F.col("borough_name").alias("_b"), F.coalesce("_inside", "paths").alias("paths"))
     placed = named.join(cut, (named["service"] == cut["service"]) & named["borough_name"].eqNullSafe(cut["_b"])).drop(cut["service"])
     point = point_on_line(F.col("paths"), uniform(seed, F.col("entry_id"), F.lit("line")))
     return placed.withColumn("_p", point).withColumns({"x": F.col("_p.x"), "y": F.col("_p.y"), "placement": F.concat(F.lit("subway:"), "service")})
@@ -156,9 +158,9 @@ def shapes(df: DataFrame, properties: list[str], digits: int = 5, kind: str = "M
 
 
 def network_lines(lines: DataFrame) -> DataFrame:
-    """One row per service of ``lines`` (service, service_name, rings): all its paths, and its first name."""
+    """One row per service of ``lines`` (service, service_name, rings): its paths united, and its first name."""
     names = lines.groupBy("service").agg(F.min("service_name").alias("service_name"))
-    return dissolve(lines, "service", "rings").join(names, "service")
+    return united_lines(lines, "service", "rings").join(names, "service")
 
 
 def publish(rows: DataFrame, areas: DataFrame, boroughs: DataFrame, lines: DataFrame, folder: str, seed: int = 0) -> dict[str, int]:

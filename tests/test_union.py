@@ -90,3 +90,39 @@ def test_lines_count_once(spark, paths, length):
     edges = [(a, b) for p in row.rings for a, b in zip(p[:-1], p[1:])]
     assert sum(((a.x - b.x) ** 2 + (a.y - b.y) ** 2) ** 0.5 for a, b in edges) == pytest.approx(length)
     assert len({frozenset([(a.x, a.y), (b.x, b.y)]) for a, b in edges}) == len(edges)
+
+
+def test_lines_clipped_by_any_shape(spark):
+    """Every short stretch of a line is in a region's part of it if its middle is in the region."""
+    rng = random.Random(4)
+    shapes = []
+    for i in range(12):
+        x, y, s = rng.uniform(-6, 6), rng.uniform(-6, 6), rng.uniform(0.5, 5)
+        ring = [(x + rng.uniform(-s, s), y + rng.uniform(-s, s)) for _ in range(rng.randint(3, 7))]
+        shapes.append((f"r{i}", [[*ring, ring[0]]]))
+    lines = [(f"l{i}", [[(rng.uniform(-9, 9), rng.uniform(-9, 9)) for _ in range(rng.randint(2, 5))], [(1.0, 1.0)]]) for i in range(15)]
+    ways = spark.createDataFrame([*lines, ("none", []), ("null", None)], f"line string, paths {geometry.RINGS}").repartition(3)
+    regions = spark.createDataFrame([*shapes, ("null", None), ("flat", [[(0.0, 0.0), (1.0, 0.0), (0.0, 0.0)]])], f"k string, rings {geometry.RINGS}")
+    got = {(r.line, r.k): r.paths for r in geometry.clipped_lines(ways, "line", "paths", regions, "k", "rings").collect()}
+    n, met = 400, 0
+    for name, paths in lines:
+        for k, rings in shapes:
+            length = 0.0
+            for a, b in zip(paths[0][:-1], paths[0][1:]):
+                size = ((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2) ** 0.5
+                length += size / n * sum(holds(rings, a[0] + (i + 0.5) / n * (b[0] - a[0]), a[1] + (i + 0.5) / n * (b[1] - a[1])) for i in range(0, n))
+            mine = sum(((p.x - q.x) ** 2 + (p.y - q.y) ** 2) ** 0.5 for p, q in got.get((name, k), []))
+            assert mine == pytest.approx(length, abs=0.1)
+            met += mine > 0
+    assert met > 20 and geometry.clipped_lines(ways, "line", "paths", regions.limit(0), "k", "rings").count() == 0
+
+
+def test_trapezoids_of_rings_that_cross_themselves():
+    rng = random.Random(1)
+    steps = [-4 + 8 * (i + 0.5) / 60 for i in range(60)]
+    for _ in range(60):
+        ring = [(rng.uniform(-4, 4), rng.uniform(-4, 4)) for _ in range(rng.randint(3, 8))]
+        ring.append(ring[0])
+        t = geometry.trapezoids([[{"x": x, "y": y} for x, y in ring]])
+        areas = (t[:, 1] - t[:, 0]) * (t[:, 4] - t[:, 2] + t[:, 5] - t[:, 3]) / 2
+        assert (areas > -1e-9).all() and areas.sum() == pytest.approx(sum(holds([ring], x, y) for x in steps for y in steps) * (8 / 60) ** 2, abs=0.8)
