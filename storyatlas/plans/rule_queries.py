@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import places as P
 from ..functions import text as X
+from ..functions.filters import filter_condition, filter_counts
 from ..operators import enrich as E
 from ..operators import geometry as G
 from ..operators import neighborhoods as N
@@ -386,6 +387,41 @@ def _finest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.areas_view(V.area_positions(_entries(spark, sf_dir), _regions(spark), 3), _areas(spark), _boroughs(spark), 3)
 
 
+_DATED = """SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 1 THEN year(o_orderdate) END AS pub_year, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice / 500000 END AS confidence,
+      CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END AS kind FROM orders"""
+
+
+def _dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as entries, of which some lack a year, a confidence or a kind."""
+    k = F.col("o_orderkey")
+    return _table(spark, sf_dir, "orders").select("o_orderkey", F.when(k % 5 != 1, F.year("o_orderdate")).alias("pub_year"), F.when(k % 3 != 0, F.col("o_totalprice") / 500000).alias("confidence"), F.when(k % 7 != 0, F.col("o_orderpriority")).alias("kind"))
+
+
+@_query(
+    f"""
+    SELECT o_orderkey FROM ({_DATED}) WHERE (coalesce(confidence, 1) >= 0.3 AND coalesce(pub_year, 0) >= 1994 AND coalesce(pub_year, 9999) <= 1997)
+      OR (coalesce(kind IN ('1-URGENT', '5-LOW'), false) AND NOT coalesce(pub_year < 1996, false)) OR (kind IS NULL AND pub_year IS NULL)
+      OR (CASE WHEN confidence IS NULL THEN 'none' WHEN coalesce(confidence < 0.05, false) THEN 'low' ELSE kind END) IS NOT DISTINCT FROM 'low'"""
+)
+def tree_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries that a filter of nested arrays shows, where what is missing is told apart."""
+    rows = _dated(spark, sf_dir)
+    get = lambda n: ["get", n]
+    tree = ["any", V.shown_tree(1994, 1997, 0.3), ["all", ["in", get("kind"), ["literal", ["1-URGENT", "5-LOW"]]], ["!", ["<", get("pub_year"), 1996]]]]
+    tree += [["all", ["==", get("kind"), None], ["!", ["has", "pub_year"]]], ["==", ["case", ["!", ["has", "confidence"]], "none", ["<", get("confidence"), 0.05], "low", get("kind")], "low"]]
+    return rows.where(filter_condition(tree, rows.schema)).select("o_orderkey")
+
+
+@_query(
+    f"""
+    SELECT y::VARCHAR || ' ' || c::VARCHAR AS name, (SELECT count(*) FROM ({_DATED}) WHERE pub_year BETWEEN y AND y + 1 AND coalesce(confidence, 1) >= c / 10.0) AS n
+    FROM range(1992, 2000) AS t(y), range(0, 10, 3) AS u(c)"""
+)
+def tree_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many entries each setting of the filters shows; those without a year are hidden."""
+    return filter_counts(_dated(spark, sf_dir), {f"{y} {c}": V.shown_tree(y, y + 1, c / 10) for y in range(1992, 2000) for c in range(0, 10, 3)})
+
+
 @_query(
     f"""
     WITH {_TIERS}

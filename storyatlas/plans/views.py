@@ -202,6 +202,12 @@ def year_and_confidence(low: int, high: int, least: float) -> str:
     return f"coalesce(confidence, 1) >= {least} AND coalesce(pub_year, 0) >= {low} AND coalesce(pub_year, 9999) <= {high}"
 
 
+def shown_tree(low: int, high: int, least: float) -> list:
+    """The same as a tree for ``filters.filter_condition``."""
+    year = lambda missing: ["coalesce", ["get", "pub_year"], missing]
+    return ["all", [">=", ["coalesce", ["get", "confidence"], 1], least], [">=", year(0), low], ["<=", year(9999), high]]
+
+
 def year_bounds(df: DataFrame, year: str = "pub_year") -> DataFrame:
     """How many rows there are, and the first and last year; missing years don't count for these."""
     return df.agg(F.count("*").alias("n"), F.min(year).alias("first"), F.max(year).alias("last"))
