@@ -92,8 +92,12 @@ def split_edges(edges: DataFrame, digits: int = DIGITS) -> DataFrame:
 
     A part's piece counts where the part has it an odd number of times, as two edges of one part take each other away.
     """
-    edges = settled(edges.withColumn("id", F.monotonically_increasing_id()))
-    cut = edges.join(_cuts(edges, digits), "id", "left")
+    up = (F.col("y0") < F.col("y1")) | ((F.col("y0") == F.col("y1")) & (F.col("x0") < F.col("x1")))
+    ends = [F.when(up, F.col(c)).otherwise(F.col(o)).alias(c) for c, o in zip(_ENDS, ["x1", "y1", "x0", "y0"], strict=True)]
+    edges = settled(edges.select("_k", "part", *ends))
+    # an edge that many parts have is cut once
+    lone = settled(edges.select("_k", *_ENDS).distinct().withColumn("id", F.monotonically_increasing_id()))
+    cut = edges.join(lone.join(_cuts(lone, digits), "id", "left"), ["_k", *_ENDS])
     point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
     inner = F.transform(F.coalesce("cuts", F.array().cast("array<struct<t:double,x:double,y:double>>")), lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y")))
     chain = cut.select("_k", "part", F.concat(F.array(point("x0", "y0")), inner, F.array(point("x1", "y1"))).alias("_c"))
