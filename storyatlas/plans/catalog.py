@@ -439,15 +439,19 @@ def ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     f"""
-    WITH n AS (SELECT l_orderkey, l_linenumber, (l_orderkey * 7 + l_linenumber) % 999 + 1 AS n FROM lineitem)
-    SELECT l_orderkey, l_linenumber, n || {_ORD} AS ordinal, 'West ' || n || {_ORD} || ' Street' AS digits FROM n"""
+    WITH own AS ({ORACLE["ordinals"]}),
+    n AS (SELECT l_orderkey, l_linenumber, (l_orderkey * 7 + l_linenumber) % 999 + 1 AS n FROM lineitem)
+    SELECT o_orderkey AS l_orderkey, NULL::INTEGER AS l_linenumber, ordinal, digits FROM own
+    UNION ALL SELECT l_orderkey, l_linenumber, n || {_ORD} AS ordinal, 'West ' || n || {_ORD} || ' Street' AS digits FROM n"""
 )
 def ordinals_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every number of up to three digits, with a wrong ending or none mended."""
+    """Every kind of location query of all orders (no line number), and on all lines every number of up to three digits, with a wrong ending or none mended."""
     n = (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 999 + 1
     ending = F.element_at(F.array(*map(F.lit, ["d", "th", "st", ""])), (F.col("l_linenumber") % 4 + 1).cast("int"))
     text = F.concat(F.lit("West "), n.cast("string"), ending, F.lit(" Street"))
-    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", P.ordinal(n).alias("ordinal"), P.digit_ordinals(text).alias("digits"))
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", P.ordinal(n).alias("ordinal"), P.digit_ordinals(text).alias("digits"))
+    own = ordinals(spark, sf_dir).select(F.col("o_orderkey").alias("l_orderkey"), F.lit(None).cast("int").alias("l_linenumber"), "ordinal", "digits")
+    return own.unionByName(lines)
 
 
 @_query(

@@ -67,3 +67,13 @@ def test_ordinals_of_every_kind(spark, sf):
     got = {r.o_orderkey: r.digits for r in catalog.ordinals(spark, sf).collect()}
     assert len(got) == spark.read.parquet(f"{sf}/orders.parquet").count()
     assert {k % 7 for k in got} == set(range(7)) and set(got.values()) >= {"Bleecker and Perry Streets", "Fairway, 23rd Broadway"}
+
+
+def test_ordinals_all_keep_every_kind(spark, sf):
+    rows = catalog.ordinals_all(spark, sf).collect()
+    of_orders = {r.l_orderkey: (r.ordinal, r.digits) for r in rows if r.l_linenumber is None}
+    assert of_orders == {r.o_orderkey: (r.ordinal, r.digits) for r in catalog.ordinals(spark, sf).collect()}
+    assert {k % 7 for k in of_orders} == set(range(7))
+    lines = [r for r in rows if r.l_linenumber is not None]
+    assert len(lines) == spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert len(rows) == len(of_orders) + len(lines)
