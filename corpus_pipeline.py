@@ -16,6 +16,9 @@ from storyatlas.llm.quality import keep_quality
 from storyatlas.llm.queries import vocabulary
 from storyatlas.llm.scratch import store
 
+#: Text that a worker encodes at once; less than by default, as executors have held all other stages before.
+SLICE_BYTES = 1 << 20
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
@@ -39,7 +42,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their places in sequences."""
-    return pack_best_fit(docs, vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096)
+    return pack_best_fit(docs, vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096, slice_bytes=SLICE_BYTES)
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mix", mix), ("pack", pack)]

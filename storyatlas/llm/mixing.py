@@ -14,7 +14,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import sized_broadcast, store
+from .scratch import sized_broadcast, small_table, store
 
 #: Word characters of the size: all but white space of ASCII.
 WORDS = r"[^\\x20\\x09-\\x0D]+"
@@ -173,7 +173,7 @@ def mixing_plan(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: in
         copies, rest = divmod(sum(f), n) if n else (0, 0)
         members = [place[m] for m in r["_members"]]
         plan.append((r["_key"], i, copies, rest, float(sum(target[m] for m in members)), sum(own[m] for m in members)))
-    table = docs.sparkSession.createDataFrame(plan, "_key string, _pattern int, _copies long, _rest long, target double, source_size long")
+    table = small_table(docs.sparkSession, plan, "_key string, _pattern int, _copies long, _rest long, target double, source_size long")
     cut = _cutoffs(rows.join(sized_broadcast(table, len(plan)), "_key").where("_rest > 0").select("_pattern", "_rest", "size", "_h", "doc_id", "_tie"))
     return rows, table.join(cut, "_pattern", "left")
 

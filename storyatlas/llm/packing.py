@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .ranking import ranked
-from .scratch import store
-from .tokens import encoded
+from .scratch import small_table, store
+from .tokens import CHUNK_BYTES, encoded
 
 #: Gaps and pieces that a task of a superstep sorts, about.
 TASK_ROWS = 200_000
@@ -161,7 +161,7 @@ class _Packing:
         hits = own.select(F.col("id").alias("pid"), F.col("mate").alias("seq"), F.col("size").alias("length"), F.col("place").alias("gap"))
         n = sum(r["n1"] for r in counts) - sum(b - a for _, a, b, _, _ in met)
         if met:
-            table = F.broadcast(self.spark.createDataFrame(met, "_p int, _from long, _to long, _g int, _top long"))  # at most two rows a task
+            table = F.broadcast(small_table(self.spark, met, "_p int, _from long, _to long, _g int, _top long"))  # at most two rows a task
             sent = free.join(table, (F.col("task") == F.col("_p")) & (F.col("place") >= F.col("_from")) & (F.col("place") < F.col("_to")), "left")
             far = left.select(F.col("task").alias("_g"), F.col("place").alias("_at"), F.col("id").alias("seq"), F.col("size").alias("gap"))
             cross = sent.where("_p IS NOT NULL").select(F.col("id").alias("pid"), F.col("size").alias("length"), "_g", (F.col("_top") - F.col("place") + F.col("_from")).alias("_at"))
@@ -185,7 +185,7 @@ class _Packing:
         for (task, kind), n in sorted(sums.items()):
             bases.append((task, kind, total[kind]))
             total[kind] += n
-        base = F.broadcast(self.spark.createDataFrame(bases, "task int, kind int, _base long"))
+        base = F.broadcast(small_table(self.spark, bases, "task int, kind int, _base long"))
         laid = laid.join(base, ["task", "kind"]).select("kind", "id", "size", (F.col("_base") + F.col("at")).alias("start"))
         gaps, pieces = laid.where("kind = 0"), laid.where("kind = 1")
         if opening and total[1] > total[0]:
@@ -221,7 +221,7 @@ class _Packing:
             opened = -(-r["n"] // r["_q"]) if all_ else r["n"] // r["_q"]
             plan.append((r["_q"], opened * r["_q"], self.opened))
             self.opened, self.n_gaps, n = self.opened + opened, self.n_gaps + opened, n + max(0, r["n"] - opened * r["_q"])
-        rows = rows.join(F.broadcast(self.spark.createDataFrame(plan, "_q long, _full long, _first long")), "_q")
+        rows = rows.join(F.broadcast(small_table(self.spark, plan, "_q long, _full long, _first long")), "_q")
         new = rows.where("_rank < _full").select("pid", "length", (-1 - F.col("_first") - F.expr("_rank DIV _q")).alias("seq"))
         self._place(new)
         self.gaps = self.gaps.unionByName(new.groupBy("seq").agg((self.capacity - F.sum("length")).alias("gap")).where("gap > 0"))
@@ -266,12 +266,12 @@ def best_fit(pieces: DataFrame, capacity: int) -> DataFrame:
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = CHUNK_BYTES) -> DataFrame:
     """The ids of every document, cut where they pass ``capacity``: one row per piece."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = int(end_id).to_bytes(4, "little")
-        for batch, ids, bounds in encoded(batches, tokenizer):
+        for batch, ids, bounds in encoded(batches, tokenizer, most=slice_bytes):
             n = np.diff(bounds) + 1
             pieces = -(-n // capacity)
             row = np.repeat(np.arange(len(n)), pieces)
@@ -288,14 +288,15 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id
     return rows.mapInArrow(cut, _PIECES)
 
 
-def pack_best_fit(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_best_fit(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece.
 
     NULL texts are empty: their end id alone.  Rows that repeat an id are
     documents of their own.  Sequences are filled without gaps from offset 0.
     An empty table gives an empty result; other columns are ignored.
+    ``slice_bytes`` of text are encoded at once; smaller slices take more time and less memory.
     """
-    pieces = token_pieces(docs, tokenizer, end_id, capacity, id_col, text_col).withColumn("pid", F.monotonically_increasing_id())
+    pieces = token_pieces(docs, tokenizer, end_id, capacity, id_col, text_col, slice_bytes).withColumn("pid", F.monotonically_increasing_id())
     pieces = store(pieces, "pieces")  # the numbers hold from here on
     found = best_fit(pieces, capacity)
     return pieces.join(found, "pid").select("doc_id", "piece", "start", "length", "ids_crc32", F.col("seq").alias("sequence_id"), "offset")

@@ -13,8 +13,11 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 _CONF = "spark.checkpoint.dir"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -55,6 +58,15 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few ``rows`` of the driver as a table.  They go by Arrow: tuples would start a second daemon of Python with workers in every executor."""
+    if not rows:
+        return spark.createDataFrame([], schema)
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    columns = [pa.array(list(values), kind.type) for values, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=kinds), schema)
+
+
 def sized_broadcast(df: DataFrame, rows: int, limit: int = 1_000_000):
     """Broadcast ``df`` when its counted ``rows`` are few; else leave the join to Spark."""
     return F.broadcast(df) if rows <= limit else df
@@ -82,7 +94,7 @@ def numbered(docs: DataFrame, row: str) -> DataFrame:
     meta = docs.metadataColumn("_metadata")
     path, at, first = (unused(docs, f"{row}_{x}") for x in ("path", "at", "first"))
     paths = sorted(r[0] for r in docs.select(meta["file_path"]).distinct().collect())  # one for each file
-    files = docs.sparkSession.createDataFrame([(p, n << 40) for n, p in enumerate(paths)], f"{path} string, {first} long")
+    files = small_table(docs.sparkSession, [(p, n << 40) for n, p in enumerate(paths)], f"{path} string, {first} long")
     placed = docs.select("*", meta["file_path"].alias(path), meta["row_index"].alias(at)).join(F.broadcast(files), path)
     return placed.withColumn(row, F.col(first) + F.col(at)).drop(path, at, first)
 

@@ -193,8 +193,13 @@ def _release() -> None:
         trim(0)
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of about ``most`` bytes of text, so that memory does not follow the batch."""
+def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CHUNK_BYTES, vocabulary: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``most`` bytes of text, so that memory does not follow the batch.
+
+    Encoders that earlier tasks left in this worker go, but for that of ``vocabulary``.
+    """
+    for path in _ENCODERS.keys() - {vocabulary}:
+        del _ENCODERS[path]
     _release()  # workers outlive tasks, and keep what earlier ones have freed
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
@@ -208,7 +213,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CH
 def encoded(batches: Iterator[pa.RecordBatch], path: str, text: str = "text", most: int = CHUNK_BYTES, remembered: int | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with their ids and bounds.  Larger slices and more pieces to remember save time and cost memory."""
     own = encoder(path, remembered)
-    for batch in chunks(batches, text, most):
+    for batch in chunks(batches, text, most, path):
         yield batch, *own.encode(batch.column(text))
 
 

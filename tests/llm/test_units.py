@@ -236,3 +236,29 @@ def test_tree_reaches_all():
     assert leaves > 8 and set(tree.file(x)) == set(range(leaves))
     assert all(sorted(w) == list(range(leaves)) for w in tree.walk(x[:5], leaves))
     assert int(ann.fit_tree(np.ones((100, 3))).leaf.max()) == 0
+
+
+def test_small_tables_need_no_python_workers(spark):
+    from storyatlas.llm.scratch import small_table
+
+    rows = [(1 << 40, "a", 2, 0.5), (2, None, None, 1.0)]
+    got = small_table(spark, rows, "n long, s string, i int, x double")
+    assert got.dtypes == [("n", "bigint"), ("s", "string"), ("i", "int"), ("x", "double")]
+    assert sorted(map(tuple, got.collect())) == sorted(rows)
+    assert small_table(spark, [], "n long").count() == 0
+    tuples = spark.createDataFrame(rows, got.schema)
+    lineage = lambda df: df._jdf.queryExecution().toRdd().toDebugString()
+    assert "PythonRDD" in lineage(tuples) and "PythonRDD" not in lineage(got)
+
+
+def test_other_tasks_give_up_vocabularies():
+    import public_tokenizers
+    import pyarrow as pa
+
+    from storyatlas.llm import tokens
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    batch = pa.RecordBatch.from_arrays([pa.array(["one two", None])], ["text"])
+    assert [len(b) for _, _, b in tokens.encoded(iter([batch]), path)] == [3] and path in tokens._ENCODERS
+    assert [len(b) for _, _, b in tokens.encoded(iter([batch]), path)] == [3] and path in tokens._ENCODERS
+    assert sum(b.num_rows for b in tokens.chunks(iter([batch]))) == 2 and not tokens._ENCODERS
