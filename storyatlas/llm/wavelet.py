@@ -25,14 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import small_batches
 from .tokens import crc_of, encoded
 
 MAGIC = b"WVM2"
 BLOCK = 512
 #: Ids after which a shard is closed; bounds the memory of writers and readers.
 SHARD_IDS = 1 << 21
-#: Text that a writer encodes at once, and pieces that it remembers: it has its worker for itself.
-ENCODED_BYTES, REMEMBERED = 8 << 20, 500_000
+#: Text that a writer encodes at once, and pre-tokens that it remembers.
+ENCODED_BYTES, REMEMBERED = 4 << 20, 500_000
+#: Ids of a plane that are moved at once, so that their places stay in the processor's cache.
+STRETCH = 1 << 15
 _HEADER = "<4sIQQ"
 
 
@@ -58,7 +61,8 @@ def pack(ids: np.ndarray, sizes: np.ndarray | None = None, names: list | None =
     for level in range(planes - 1, -1, -1):
         bit = ((v >> level) & 1).astype(bool)
         out += _plane(bit)[1]
-        v = np.concatenate([np.compress(~bit, v), np.compress(bit, v)])
+        each = [(v[a : a + STRETCH], bit[a : a + STRETCH]) for a in range(0, len(v), STRETCH)]
+        v = np.concatenate([*(x.compress(~b) for x, b in each), *(x.compress(b) for x, b in each), v[:0]])
     out += _plane(last)[1]
     names = [None] * len(sizes) if names is None else names
     return b"".join([*out, zlib.compress(np.array([n or 0 for n in names], "<i8").tobytes() + bytes(n is None for n in names), 1)])
@@ -165,9 +169,13 @@ class WaveletMatrix:
         for p in range(len(self.planes) - 1, -1, -1):
             zeros, _, bits = self.planes[p]
             bit = np.unpackbits(bits, bitorder="little", count=self.n).astype(bool)
-            above = np.empty_like(order)
-            above[np.flatnonzero(~bit)] = order[:zeros]
-            above[np.flatnonzero(bit)] = order[zeros:] | order.dtype.type(1 << (len(self.planes) - 1 - p))
+            order[zeros:] |= order.dtype.type(1 << (len(self.planes) - 1 - p))
+            above, low, high = np.empty_like(order), 0, zeros
+            for a in range(0, self.n, STRETCH):
+                at, own = bit[a : a + STRETCH], above[a : a + STRETCH]
+                zero, one = np.flatnonzero(~at), np.flatnonzero(at)
+                own[zero], own[one] = order[low : low + len(zero)], order[high : high + len(one)]
+                low, high = low + len(zero), high + len(one)
             order = above
         return order
 
@@ -223,7 +231,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
         if held:
             yield flush()
 
-    rows.mapInArrow(shards, _SHARD).write.parquet(path)
+    with small_batches(docs.sparkSession):
+        rows.mapInArrow(shards, _SHARD).write.parquet(path)
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
