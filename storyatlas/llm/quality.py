@@ -203,13 +203,15 @@ def _counted(rows: DataFrame, model: QualityModel | None, confidence: float) ->
         for key, n in sums.items():
             yield pa.RecordBatch.from_arrays([*(pa.array([k]) for k in key), pa.array([n.tobytes()], pa.binary())], [*_KEY, "n"])
 
-    # a row of counts for each task, view, kind and class; they are added up in GROUPS places, and the rest here
-    each = rows.mapInArrow(count, _COUNTS).repartition(*_KEY)
+    # a row of counts for each task, view, kind and class; they are added up in GROUPS places, and then over these, so that the driver gets one table
+    each = rows.mapInArrow(count, _COUNTS).repartition(*_KEY).mapInArrow(added, _COUNTS)
     with small_batches(rows.sparkSession):
-        got = each.mapInArrow(added, _COUNTS).toArrow()
+        got = each.withColumn("grp", F.lit(0).cast("long")).repartition(*_KEY[1:]).mapInArrow(added, _COUNTS).toArrow()
     out = {v: np.zeros((KINDS[v], 2, BUCKETS)) for v in VIEWS}
-    for r in got.to_pylist():
-        out[VIEWS[r["view"]]][r["kind"], r["cls"]] += np.frombuffer(r["n"], np.int64) * COUNT_UNIT
+    for batch in got.to_batches():
+        view, kind, cls = (batch.column(c).to_pylist() for c in _KEY[1:])
+        for i, n in enumerate(batch.column("n")):
+            out[VIEWS[view[i]]][kind[i], cls[i]] += np.frombuffer(n.as_buffer(), np.int64) * COUNT_UNIT
     return out
 
 

@@ -21,6 +21,9 @@ from pyspark.sql.types import StructType
 
 _CONF = "spark.checkpoint.dir"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: No file that marks success, as nobody reads a table before its write has returned: on local folders every file
+#: and folder that is made starts a process beside the JVM, which for a moment counts the JVM's memory again.
+_UNMARKED = {"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
 #: Rows that a Python worker gets at once at most.
 BATCH_ROWS = 1024
 
@@ -54,7 +57,7 @@ def store(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/storyatlas/{name}-{uuid.uuid4().hex}"
     with small_batches(spark):
-        df.write.parquet(path)
+        df.write.options(**_UNMARKED).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
