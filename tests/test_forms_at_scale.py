@@ -109,3 +109,55 @@ def test_scan_is_the_fold(spark):
     folded = rows.select("k", F.posexplode(segment.line_entries("blocks")).alias("pos", "e")).select("k", "pos", "e.title", "e.author", "e.body")
     order = lambda df: sorted(map(tuple, df.collect()), key=str)
     assert order(segment.entries_of_lines(rows, "k", "blocks")) == order(folded)
+
+
+def joined_rows(df):
+    """The most rows that a join of the query made, once it has been collected."""
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        inner = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else []
+        children = node.children()
+        own = node.metrics().get("numOutputRows").get().value() if kind.endswith("JoinExec") and node.metrics().contains("numOutputRows") else 0
+        return max([own, *map(walk, [*inner, *(children.apply(i) for i in range(children.size()))])])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_names_alike_in_their_beginnings_meet_few(spark):
+    """Names of a few beginnings and many endings: none near is lost, and rows grow with the names, not with their pairs."""
+    rng = random.Random(7)
+    ending = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    known = sorted({rng.choice(["east ", "west ", "west "]) + ending(rng.choice([15, 16, 16, 16])) for _ in range(3000)})
+    keys = sorted({edited(rng, k, "0123456789abcdef") for k in known} | {ending(16) + " upper" for _ in range(1000)})
+    frame = lambda xs, c: spark.createDataFrame([(x,) for x in xs], f"{c} string")
+    spark.conf.set("spark.sql.optimizer.excludedRules", "org.apache.spark.sql.catalyst.optimizer.PushDownPredicates")  # joins count what meets, before conditions
+    try:
+        found = similarity.fuzzy_candidates(frame(keys, "k"), "k", frame(known, "n"), "n")
+        got = {tuple(r) for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.optimizer.excludedRules")
+    some = rng.sample(keys, 60)
+    assert {(a, b) for a in some for b in known if SequenceMatcher(None, b, a).ratio() >= similarity.CUTOFF} <= got
+    assert joined_rows(found) < 60 * len(keys)
+
+
+def test_some_chosen_segments_are_whole():
+    """Whatever the edits: of the places where segments are looked for, one has them all."""
+    rng = random.Random(9)
+    for _ in range(3000):
+        edits, together = rng.randint(0, 6), rng.randint(1, 3)
+        segments = [list(f"{i}{c}" for c in "abcd"[: rng.randint(1, 4)]) for i in range(edits + together)]
+        letters = [x for s in segments for x in s]
+        starts = [sum(map(len, segments[:i])) for i in range(len(segments) + 1)]
+        key = list(letters)
+        for i in range(rng.randint(0, edits)):
+            if key and rng.random() < 0.5:
+                key.pop(rng.randrange(len(key)))
+            else:
+                key.insert(rng.randrange(len(key) + 1), f"x{i}")
+        if (len(key) - len(letters) - edits) % 2:
+            continue  # lengths and the most edits are even or odd together
+        ways = similarity._whole_segments(edits, together, len(key) - len(letters))
+        at = lambda k, to: starts[k] + to >= 0 and key[starts[k] + to : starts[k + 1] + to] == segments[k]  # noqa: B023, E731
+        assert any(all(at(k, to) for k, to in way) for way in ways)
